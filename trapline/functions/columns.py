@@ -69,3 +69,22 @@ def first_match(conditions: list[tuple[Column, object]], default) -> Column:
         expr = F.when(cond, v) if expr is None else expr.when(cond, v)
     d = default if isinstance(default, Column) else F.lit(default)
     return d if expr is None else expr.otherwise(d)
+
+
+EXACT_SCALE = 1_000_000_000
+
+
+def micro_units(c: Column, scale: int = EXACT_SCALE) -> Column:
+    """Value as an integer count of 1/scale units (floor(x*scale + 0.5))."""
+    return F.floor(c * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
+
+
+def exact_sum(c: Column, scale: int = EXACT_SCALE) -> Column:
+    """Order-independent sum of short decimals: sum integer micro-units, then
+    scale back.  Float sums depend on the order rows arrive in, which varies
+    with partitioning; this does not."""
+    return F.sum(micro_units(c, scale)).cast("double") / F.lit(float(scale))
+
+
+def exact_avg(c: Column, scale: int = EXACT_SCALE) -> Column:
+    return exact_sum(c, scale) / F.count(c).cast("double")

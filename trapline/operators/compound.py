@@ -1,14 +1,14 @@
 """D36 — compound dark-pattern scorer over a scan's raw findings.
 
-Two pre-aggregating group-bys on scan_id (partial aggregation happens before
-the shuffle, so a scan with a huge number of findings is reduced map-side),
-then one join.  Only the first six distinct finding types are carried, picked
-with a bounded top-k, never a whole-scan list.
+Two chained group-bys, (scan, type, category) then scan; both are satisfied
+by the hash(scan_id) partitioning of the findings, so no extra shuffle and
+no join.  Level one is pre-aggregated, so the per-scan lists hold one entry
+per distinct finding type, bounded by the detector vocabulary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions import fixed
@@ -31,21 +31,20 @@ def compound_findings(raw: DataFrame, brand: str = fixed.SUMMARY_BRAND) -> DataF
         .otherwise(lookup(cat_l, fixed.COMPOUND_CATEGORY_WEIGHTS, 1)).alias("w"),
         F.when(ml_only, F.lit("ml_signal")).otherwise(cat_l).alias("track"),
     )
-    totals = weighted.groupBy("scan_id").agg(
+    # level 1: per (scan, type, track) — pre-aggregated map-side
+    lvl1 = weighted.groupBy("scan_id", "type", "track").agg(
+        F.sum("w").alias("w"), F.min("pos").alias("p"))
+    # level 2: per scan; the collected sets are bounded by the detector
+    # vocabulary (distinct finding types / categories), not by row counts
+    t = lvl1.groupBy("scan_id").agg(
         F.sum("w").cast("bigint").alias("total_weight"),
-        F.countDistinct("track").cast("bigint").alias("n_categories"),
+        F.size(F.collect_set("track")).cast("bigint").alias("n_categories"),
         F.max(in_list(F.col("track"), fixed.COMPOUND_CRITICAL_CATEGORIES)).alias("high_harm"),
+        F.array_sort(F.collect_list(F.struct("p", "type"))).alias("_tp"),
     ).where((F.col("total_weight") >= fixed.COMPOUND_TRIGGER_WEIGHT)
             & (F.col("n_categories") >= fixed.COMPOUND_MIN_CATEGORIES))
-
-    first_types = (weighted.groupBy("scan_id", "type").agg(F.min("pos").alias("p"))
-                   .withColumn("r", F.row_number().over(Window.partitionBy("scan_id").orderBy("p")))
-                   .where(F.col("r") <= fixed.COMPOUND_MAX_TYPES)
-                   .groupBy("scan_id")
-                   .agg(F.array_sort(F.collect_list(F.struct("p", "type"))).alias("ts"))
-                   .select("scan_id", F.transform("ts", lambda s: s["type"]).alias("types")))
-
-    t = totals.join(first_types, "scan_id")
+    t = t.withColumn("types", F.slice(F.array_distinct(F.transform("_tp", lambda s: s["type"])),
+                                      1, fixed.COMPOUND_MAX_TYPES))
     conf = round_half_up(
         F.least(F.lit(0.95), F.lit(0.60) + F.lit(0.35) * (F.lit(1.0) - F.exp(-F.col("total_weight") / F.lit(12.0)))), 3)
     return t.select(

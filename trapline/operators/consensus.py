@@ -3,10 +3,9 @@
 Order semantics: a finding's position after the gate is the struct
 ``k5 = (element-group first position, -confidence, pos)``.  The three dedupe
 passes keep the best-confidence member of each key (earliest on ties) at the
-earliest position of the key, so each pass is one pre-aggregating
-``groupBy(...).agg(min_by(row, (-conf, position)), min(position))`` — partial
-aggregation shrinks hot keys before the shuffle.  The cap (A11) is a
-``row_number() <= cap`` filter, which Catalyst turns into a WindowGroupLimit.
+earliest position of the key.  Every step is a window keyed by scan_id
+first, so after the single hash(scan_id) exchange no step shuffles again; a
+scan is one captured page, so its findings are bounded by the page size.
 """
 
 from __future__ import annotations
@@ -124,9 +123,10 @@ def consensus_tag(kept: DataFrame) -> DataFrame:
 def _keep_best(df: DataFrame, keys: list, pos_col: str, new_pos: str) -> DataFrame:
     """Keep per key the highest-confidence row (earliest ``pos_col`` on ties),
     placed at the key's earliest position ``new_pos``."""
-    w = Window.partitionBy(*keys)
-    wo = w.orderBy(F.col("confidence").desc(), F.col(pos_col).asc())
-    return (df.withColumn(new_pos, F.min(pos_col).over(w))
+    # one partition+order spec for both expressions -> one sort
+    wo = Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), F.col(pos_col).asc())
+    whole = wo.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (df.withColumn(new_pos, F.min(pos_col).over(whole))
             .withColumn("_best", F.row_number().over(wo))
             .where(F.col("_best") == 1).drop("_best", pos_col))
 
@@ -149,7 +149,7 @@ def dedupe_and_cap(tagged: DataFrame, cap: int = fixed.MAX_PER_CATEGORY,
                                                          F.col("k10").asc())
     limit = F.when(F.col("category") == fixed.COMPOUND_CATEGORY, compound_cap).otherwise(cap)
     # category order = earliest position of any member before the cap
-    wc = Window.partitionBy("scan_id", "category")
+    wc = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (d.withColumn("cat_first", F.min("k10").over(wc))
             .withColumn("rank_in_category", F.row_number().over(w))
             .where(F.col("rank_in_category") <= limit)

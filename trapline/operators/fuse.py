@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.functions import fixed
-from trapline.functions.columns import lookup, round_half_up
+from trapline.functions.columns import EXACT_SCALE, exact_avg, exact_sum, lookup, micro_units, round_half_up
 
 
 def engine_weight(engine=None, weights: dict | None = None, default: float = fixed.FUSION_DEFAULT_WEIGHT):
@@ -32,7 +32,7 @@ def category_fusion(findings: DataFrame, weights: dict | None = None) -> DataFra
     total = sum(weights.values()) or 1.0
     return (category_engine_evidence(findings, weights)
             .groupBy("scan_id", "category")
-            .agg(F.sum("weighted").alias("_s"), F.count(F.lit(1)).alias("engine_count"),
+            .agg(exact_sum(F.col("weighted")).alias("_s"), F.count(F.lit(1)).alias("engine_count"),
                  F.array_sort(F.collect_list("engine")).alias("fusion_engines"))
             .select("scan_id", "category",
                     F.least(F.lit(1.0), F.col("_s") / F.lit(total)).alias("category_score"),
@@ -47,14 +47,14 @@ def fuse(findings: DataFrame, weights: dict | None = None) -> DataFrame:
     no shuffle on scan_id-partitioned input)."""
     weights = weights or fixed.FUSION_WEIGHTS
     total = sum(weights.values()) or 1.0
-    w_ce = Window.partitionBy("scan_id", "category", "engine")
-    w_ceo = w_ce.orderBy("pos")
+    w_ceo = Window.partitionBy("scan_id", "category", "engine").orderBy("pos")
+    w_ce = w_ceo.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w_c = Window.partitionBy("scan_id", "category")
     f = (findings
          .withColumn("_m", F.max(F.col("confidence") * engine_weight(weights=weights)).over(w_ce))
          .withColumn("_first", F.row_number().over(w_ceo) == 1))
-    f = (f.withColumn("category_score", F.least(F.lit(1.0), F.sum(F.when(F.col("_first"), F.col("_m"))).over(w_c)
-                                                / F.lit(total)))
+    f = (f.withColumn("category_score", F.least(F.lit(1.0), F.sum(micro_units(F.when(F.col("_first"), F.col("_m")))).over(w_c).cast("double")
+                                                / F.lit(float(EXACT_SCALE)) / F.lit(total)))
          .withColumn("engine_count", F.count(F.when(F.col("_first"), F.lit(1))).over(w_c).cast("bigint"))
          .withColumn("fusion_engines", F.array_sort(F.collect_set("engine").over(w_c)))
          .drop("_m", "_first"))
@@ -72,7 +72,7 @@ def scan_fusion_score(fused: DataFrame, scans: DataFrame | None = None) -> DataF
     """scan-level agreement score; 0 for scans without findings when
     ``scans`` is given (left join from scans)."""
     agg = fused.groupBy("scan_id").agg(
-        F.avg("fusion_score").alias("_af"), F.avg("engine_count").alias("_ae"))
+        exact_avg(F.col("fusion_score")).alias("_af"), F.avg("engine_count").alias("_ae"))
     val = round_half_up(F.least(F.lit(1.0), F.col("_af") * F.lit(0.6)
                                 + F.least(F.col("_ae") / F.lit(4.0), F.lit(1.0)) * F.lit(0.4)), 3)
     agg = agg.select("scan_id", val.alias("fusion_scan_score"))
@@ -86,7 +86,7 @@ def weighted_signal_mean(df: DataFrame, group_cols, signal_col: str, weight_col:
     """sum(s*w)/sum(w) clamped to [0, 1], 3 dp; 0 when empty or zero weight."""
     s = F.col(signal_col)
     w = F.col(weight_col)
-    agg = df.groupBy(*group_cols).agg(F.sum(s * w).alias("_sw"), F.sum(w).alias("_w"))
+    agg = df.groupBy(*group_cols).agg(exact_sum(s * w).alias("_sw"), exact_sum(w).alias("_w"))
     v = F.when(F.col("_w") > 0,
                round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_sw") / F.col("_w"))), 3)
                ).otherwise(F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions import fixed
-from trapline.functions.columns import lookup, round_half_up
+from trapline.functions.columns import exact_sum, lookup, round_half_up
 
 
 def _dist_string(col_name: str) -> F.Column:
@@ -23,7 +23,7 @@ def risk_assessment(findings: DataFrame, scans: DataFrame | None = None) -> Data
     fusion = F.coalesce(F.col("fusion_score"), F.lit(0.5))
     contrib = sev_score * F.col("confidence") * (F.lit(0.7) + F.lit(0.3) * fusion)
     per_scan = findings.groupBy("scan_id").agg(
-        F.sum(contrib).alias("total_risk"),
+        exact_sum(contrib).alias("total_risk"),
         F.count(F.lit(1)).cast("bigint").alias("finding_count"),
         F.collect_set("category").alias("_cats"),
     )

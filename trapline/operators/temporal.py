@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapline.functions import fixed
-from trapline.functions.columns import round_half_up
+from trapline.functions.columns import exact_avg, exact_sum, round_half_up
 
 
 def _smoothing_fold(key: str, score: str, window: int, decay: float):
@@ -143,7 +143,7 @@ def rolling_metrics(timings: DataFrame, name: str = "name", ts: str = "ts", tie:
     last = timings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= window)
     return last.groupBy(name).agg(
         F.count(F.lit(1)).cast("bigint").alias("count"),
-        round_half_up(F.avg(value), 2).alias("avg_ms"),
+        round_half_up(exact_avg(F.col(value)), 2).alias("avg_ms"),
         round_half_up(F.min(value), 2).alias("min_ms"),
         round_half_up(F.max(value), 2).alias("max_ms"),
         round_half_up(F.max(F.when(F.col("_r") == 1, F.col(value))), 2).alias("last_ms"),
@@ -157,6 +157,6 @@ def metric_totals(timings: DataFrame, name: str = "name", ts: str = "ts", tie: s
     return timings.groupBy(name).agg(
         F.count(F.lit(1)).cast("bigint").alias("calls"),
         F.count_if(F.col(error_flag)).cast("bigint").alias("errors"),
-        round_half_up(F.sum(value), 2).alias("total_ms"),
+        round_half_up(exact_sum(F.col(value)), 2).alias("total_ms"),
         round_half_up(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))), 2).alias("last_ms"),
     )

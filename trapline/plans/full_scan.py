@@ -21,6 +21,7 @@ from trapline.operators import report as R
 from trapline.operators import risk as K
 from trapline.operators import temporal as T
 from trapline.operators.compound import with_compound
+from trapline.session import materialize
 
 
 @dataclass
@@ -33,14 +34,20 @@ class ScanRun:
 
 
 def run_findings(scans: DataFrame, detector_findings: DataFrame, brand: str = fixed.SUMMARY_BRAND,
-                 partitions: int | None = None) -> ScanRun:
+                 partitions: int | None = None, materialize_stages: bool = True) -> ScanRun:
     """D36 → H → F → A → R → K → funnel counts → T2 smoothing."""
     f = detector_findings.repartition(partitions, "scan_id") if partitions \
         else detector_findings.repartition("scan_id")
     raw = with_compound(f, brand)
+    if materialize_stages:
+        # the raw findings table feeds calibration and the funnel counts
+        raw = materialize(raw, "raw-findings").repartition(*( [partitions] if partitions else []), "scan_id")
     cal = H.calibrate(raw)
     fused = Fu.fuse(cal)
     validated = A.aggregate(fused, scans)
+    if materialize_stages:
+        # validated findings feed the report, risk and funnel branches
+        validated = materialize(validated, "validated-findings")
     reports = R.scan_reports(validated, scans, brand)
     risk = K.risk_assessment(validated).select(
         "scan_id", "risk_score", F.col("risk_level").alias("assessed_risk_level"), "compound_bonus")
