@@ -89,13 +89,17 @@ def trend(smoothed: DataFrame, key: str = "domain", order=("scan_ts", "scan_id")
     cnt = F.count(F.lit(1)).over(w)
     prev = F.lag(s, 1).over(wo)
     enough = cnt >= 2
+    # scans without a trend (fewer than two recorded) get has_trend=false and
+    # zero / 'none' fillers instead of nulls
     return smoothed.select(
         "*",
-        F.when(enough, cnt.cast("bigint")).alias("trend_scan_count"),
-        F.when(enough, prev).alias("previous_score"),
-        F.when(enough, round_half_up(F.avg(s).over(w), 1)).alias("average_score"),
-        F.when(enough, F.when(s > prev, "improving").when(s < prev, "declining").otherwise("stable")).alias("trend"),
-        F.when(enough, s - prev).alias("delta"),
+        enough.alias("has_trend"),
+        cnt.cast("bigint").alias("trend_scan_count"),
+        F.when(enough, prev).otherwise(F.lit(0)).cast("bigint").alias("previous_score"),
+        F.when(enough, round_half_up(F.avg(s).over(w), 1)).otherwise(F.lit(0.0)).alias("average_score"),
+        F.when(enough, F.when(s > prev, "improving").when(s < prev, "declining").otherwise("stable"))
+        .otherwise("none").alias("trend"),
+        F.when(enough, s - prev).otherwise(F.lit(0)).cast("bigint").alias("delta"),
     )
 
 

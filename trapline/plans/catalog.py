@@ -243,3 +243,245 @@ FROM pre p JOIN sm USING (scan_id)"""
 def q_full_scan(spark, sf):
     scans = fx.overlay_scans(spark, sf)
     return P.full_scan(scans, fx.overlay_findings(spark, sf)).select(*FULL_COLS)
+
+
+# ======================================================= temporal T3–T7 =====
+def _smoothed_raw(spark, sf):
+    scans = fx.overlay_scans(spark, sf)
+    return T.smooth_trust(scans.select("scan_id", "domain", "scan_ts", "raw_score"), score="raw_score")
+
+
+SMOOTH_RAW = [O.overlay_a(), O.smoothing_ctes("scans_a2", score="raw_score")]
+
+
+@register("temporal_trend", _with_pipeline(*SMOOTH_RAW) + f""",
+t AS (SELECT s.scan_id, s.domain, s.scan_ts, sm.smoothed_score FROM scans_a2 s JOIN sm USING (scan_id)),
+w AS (SELECT *, count(*) OVER w5 AS c, lag(smoothed_score) OVER wo AS prev, avg(smoothed_score) OVER w5 AS a
+      FROM t WINDOW w5 AS (PARTITION BY domain ORDER BY scan_ts, scan_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+                    wo AS (PARTITION BY domain ORDER BY scan_ts, scan_id))
+SELECT scan_id, domain, smoothed_score, c >= 2 AS has_trend, CAST(c AS BIGINT) AS trend_scan_count,
+       CAST(CASE WHEN c >= 2 THEN prev ELSE 0 END AS BIGINT) AS previous_score,
+       CASE WHEN c >= 2 THEN {O.rnd('a', 1)} ELSE 0.0 END AS average_score,
+       CASE WHEN c >= 2 THEN (CASE WHEN smoothed_score > prev THEN 'improving' WHEN smoothed_score < prev THEN 'declining'
+                                   ELSE 'stable' END) ELSE 'none' END AS trend,
+       CAST(CASE WHEN c >= 2 THEN smoothed_score - prev ELSE 0 END AS BIGINT) AS delta
+FROM w""")
+def q_trend(spark, sf):
+    tr = T.trend(_smoothed_raw(spark, sf))
+    return tr.select("scan_id", "domain", "smoothed_score", "has_trend", "trend_scan_count", "previous_score",
+                     "average_score", "trend", "delta")
+
+
+@register("history_summary", _with_pipeline(*SMOOTH_RAW) + f""",
+t AS (SELECT s.scan_id, s.domain, s.scan_ts, sm.smoothed_score,
+             row_number() OVER (PARTITION BY s.domain ORDER BY s.scan_ts DESC, s.scan_id DESC) AS r
+      FROM scans_a2 s JOIN sm USING (scan_id))
+SELECT domain, CAST(count(*) AS BIGINT) AS scans, max(CASE WHEN r = 1 THEN smoothed_score END) AS latest_score,
+       min(smoothed_score) AS min_score, max(smoothed_score) AS max_score, {O.rnd('avg(smoothed_score)', 1)} AS avg_score
+FROM t WHERE r <= 5 GROUP BY domain""")
+def q_history_summary(spark, sf):
+    return T.history_summary(_smoothed_raw(spark, sf))
+
+
+@register("persistent_findings", _with_pipeline(O.overlay_a()) + """,
+sq AS (SELECT scan_id, domain, row_number() OVER (PARTITION BY domain ORDER BY scan_ts, scan_id) AS scan_seq FROM scans_a2),
+ft AS (SELECT DISTINCT scan_id, type FROM raw_f),
+c AS (SELECT ft.scan_id, ft.type, sq.scan_seq,
+             count(*) OVER (PARTITION BY sq.domain, ft.type ORDER BY sq.scan_seq RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING) AS n
+      FROM ft JOIN sq USING (scan_id))
+SELECT scan_id, type, CAST(least(scan_seq - 1, 5) AS BIGINT) AS history_depth, CAST(n AS BIGINT) AS type_history_count,
+       (least(scan_seq - 1, 5) < 2 OR n >= 2) AS persistent
+FROM c""")
+def q_persistent(spark, sf):
+    f = fx.overlay_findings(spark, sf).select("scan_id", "type").distinct()
+    out = T.persistent_split(f, fx.overlay_scans(spark, sf))
+    return out.select("scan_id", "type", "history_depth", "type_history_count", "persistent")
+
+
+def _timings(spark, sf):
+    from trapline.sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    return ev.select(F.col("event_type").alias("name"), F.col("value").alias("ms"), "ts", "event_id",
+                     (F.col("event_type") == "error").alias("is_error"))
+
+
+@register("rolling_metrics", f"""
+SELECT name, CAST(count(*) AS BIGINT) AS count, {O.rnd(O.exact_avg('ms'), 2)} AS avg_ms, {O.rnd('min(ms)', 2)} AS min_ms,
+       {O.rnd('max(ms)', 2)} AS max_ms, {O.rnd('max(CASE WHEN r = 1 THEN ms END)', 2)} AS last_ms
+FROM (SELECT event_type AS name, value AS ms,
+             row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
+WHERE r <= 100 GROUP BY name""")
+def q_rolling(spark, sf):
+    return T.rolling_metrics(_timings(spark, sf))
+
+
+@register("metric_totals", f"""
+SELECT event_type AS name, CAST(count(*) AS BIGINT) AS calls, CAST(count_if(event_type = 'error') AS BIGINT) AS errors,
+       {O.rnd(O.exact_sum('value'), 2)} AS total_ms, {O.rnd('arg_max(value, (ts, event_id))', 2)} AS last_ms
+FROM events GROUP BY event_type""")
+def q_metric_totals(spark, sf):
+    return T.metric_totals(_timings(spark, sf))
+
+
+# ======================================================= analytics N1–N7 ====
+from trapline.operators import analytics as N  # noqa: E402
+
+BANDS = [("type-0", 40, 90, 1, 6), ("type-1", 20, 70, 2, 7), ("type-2", 60, 95, 0, 3), ("type-3", 5, 95, 0, 10)]
+TRUTH = [("type-0", ["preselection"], ["cookie_wall"], False),
+         ("type-1", ["urgency", "privacy"], [], False),
+         ("type-2", [], ["preselection", "urgency"], True),
+         ("type-3", [], [], False)]
+
+
+def report_store(spark, sf):
+    """Stored report rows derived from orders / line items (overlay A)."""
+    from trapline.sources.tables import read_table
+    scans = fx.overlay_scans(spark, sf)
+    n = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("scan_id")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("total_patterns"))
+    s = scans.join(n, "scan_id", "left")
+    return s.select("scan_id", "url", "domain", F.col("raw_score").cast("bigint").alias("trust_score"),
+                    R.grade(F.col("raw_score")).alias("grade"),
+                    F.coalesce("total_patterns", F.lit(0).cast("bigint")).alias("total_patterns"),
+                    R.risk_label(F.col("raw_score")).alias("risk_label"),
+                    F.date_format("scan_ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+                    F.concat(F.lit("type-"), (F.col("scan_id") % 4).cast("string")).alias("site_type"))
+
+
+def store_sql() -> str:
+    return O.overlay_a() + f""",
+store AS (
+  SELECT s.scan_id, s.url, s.domain, CAST(s.raw_score AS BIGINT) AS trust_score, {O.grade_sql('s.raw_score')} AS grade,
+         CAST(coalesce(n.total_patterns, 0) AS BIGINT) AS total_patterns, {O.risk_label_sql('s.raw_score')} AS risk_label,
+         strftime(s.scan_ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'type-' || CAST(s.scan_id % 4 AS VARCHAR) AS site_type
+  FROM scans_a2 s LEFT JOIN (SELECT l_orderkey AS scan_id, count(*) AS total_patterns FROM lineitem GROUP BY l_orderkey) n
+       USING (scan_id))"""
+
+
+def bands_sql():
+    rows = ", ".join(f"('{t}', {a}, {b}, {c}, {d})" for t, a, b, c, d in BANDS)
+    return f"bands(site_type, min_score, max_score, min_patterns, max_patterns) AS (VALUES {rows})"
+
+
+def bands_df(spark):
+    return spark.createDataFrame(BANDS, "site_type string, min_score bigint, max_score bigint, "
+                                        "min_patterns bigint, max_patterns bigint")
+
+
+@register("history_page", "WITH " + store_sql() + """
+SELECT * FROM (
+  SELECT scan_id, url, domain, trust_score, grade, total_patterns, risk_label, timestamp,
+         row_number() OVER (ORDER BY timestamp DESC, scan_id DESC) AS position FROM store)
+WHERE position > 40 AND position <= 60""")
+def q_history_page(spark, sf):
+    return N.paged_history(report_store(spark, sf), page=3, limit=20)
+
+
+@register("top_categories", "WITH " + store_sql() + """,
+last AS (SELECT scan_id FROM store ORDER BY timestamp DESC, scan_id DESC LIMIT 50),
+c AS (SELECT category, CAST(count(*) AS BIGINT) AS n FROM raw_f WHERE scan_id IN (SELECT scan_id FROM last)
+      AND coalesce(category, '') <> '' GROUP BY category)
+SELECT * FROM (SELECT category, n, row_number() OVER (ORDER BY n DESC, category) AS rank FROM c) WHERE rank <= 5""")
+def q_top_categories(spark, sf):
+    out = N.top_categories(report_store(spark, sf), fx.overlay_findings(spark, sf))
+    return out.select("category", "n", F.col("rank").cast("bigint").alias("rank"))
+
+
+STATS_SQL = f"""SELECT CAST(count(*) AS BIGINT) AS total_scans,
+       coalesce({O.rnd(O.exact_avg('CAST(trust_score AS DOUBLE)'), 1)}, 0.0) AS avg_trust_score,
+       CAST(count_if(risk_label LIKE '%High%' OR risk_label LIKE '%Critical%') AS BIGINT) AS high_risk_count,
+       CAST(coalesce(min(trust_score), 0) AS BIGINT) AS min_trust_score,
+       CAST(coalesce(max(trust_score), 0) AS BIGINT) AS max_trust_score,
+       coalesce({O.rnd(O.exact_avg('CAST(total_patterns AS DOUBLE)'), 1)}, 0.0) AS avg_patterns
+FROM store"""
+
+
+@register("global_stats", "WITH " + store_sql() + "\n" + STATS_SQL)
+def q_global_stats(spark, sf):
+    return N.global_stats(report_store(spark, sf))
+
+
+@register("dashboard_summary", "WITH " + store_sql() + f""",
+g AS ({STATS_SQL}),
+last AS (SELECT scan_id, risk_label, row_number() OVER (ORDER BY timestamp DESC, scan_id DESC) AS pos
+         FROM store ORDER BY timestamp DESC, scan_id DESC LIMIT 50),
+d AS (SELECT risk_label, count(*) AS n, min(pos) AS first FROM last GROUP BY risk_label)
+SELECT total_scans, avg_trust_score, max_trust_score AS highest_trust, min_trust_score AS lowest_trust,
+       (SELECT risk_label FROM d ORDER BY n DESC, first LIMIT 1) AS most_common_risk,
+       (SELECT string_agg(risk_label || ':' || CAST(n AS VARCHAR), ',' ORDER BY risk_label || ':' || CAST(n AS VARCHAR)) FROM d)
+         AS risk_distribution,
+       (SELECT string_agg(CAST(scan_id AS VARCHAR), ',' ORDER BY pos) FROM last WHERE pos <= 20) AS recent_scan_ids
+FROM g""")
+def q_dashboard(spark, sf):
+    return N.dashboard(report_store(spark, sf))
+
+
+EXPECT_SQL = "WITH " + store_sql() + ",\n" + bands_sql() + """,
+e AS (
+  SELECT scan_id, site_type, trust_score, total_patterns,
+         concat_ws('; ',
+           CASE WHEN trust_score < min_score THEN 'Score ' || CAST(trust_score AS VARCHAR) || ' below expected min '
+                     || CAST(min_score AS VARCHAR) || ' (possible FALSE POSITIVES)'
+                WHEN trust_score > max_score THEN 'Score ' || CAST(trust_score AS VARCHAR) || ' above expected max '
+                     || CAST(max_score AS VARCHAR) || ' (possible FALSE NEGATIVES)' END,
+           CASE WHEN total_patterns < min_patterns THEN 'Only ' || CAST(total_patterns AS VARCHAR)
+                     || ' patterns found, expected ≥' || CAST(min_patterns AS VARCHAR) || ' (FALSE NEGATIVE risk)'
+                WHEN total_patterns > max_patterns THEN CAST(total_patterns AS VARCHAR) || ' patterns found, expected ≤'
+                     || CAST(max_patterns AS VARCHAR) || ' (FALSE POSITIVE risk)' END) AS notes
+  FROM store JOIN bands USING (site_type))"""
+
+
+@register("expectation_check", EXPECT_SQL + """
+SELECT scan_id, site_type, trust_score, total_patterns, CASE WHEN notes = '' THEN 'PASS' ELSE 'WARN' END AS verdict, notes
+FROM e""")
+def q_expectation(spark, sf):
+    return N.expectation_check(report_store(spark, sf), bands_df(spark))
+
+
+@register("site_type_summary", EXPECT_SQL + f""",
+v AS (SELECT *, CASE WHEN notes = '' THEN 'PASS' ELSE 'WARN' END AS verdict FROM e)
+SELECT site_type, CAST(count_if(verdict = 'PASS') AS BIGINT) AS pass_count,
+       CAST(count_if(verdict IN ('WARN', 'FAIL')) AS BIGINT) AS warn_count,
+       CAST(count_if(verdict NOT IN ('PASS', 'WARN', 'FAIL')) AS BIGINT) AS error_count,
+       coalesce({O.rnd(O.exact_avg('CAST(trust_score AS DOUBLE)'), 1)}, 0.0) AS avg_score
+FROM v GROUP BY site_type""")
+def q_site_summary(spark, sf):
+    return N.site_type_summary(N.expectation_check(report_store(spark, sf), bands_df(spark)))
+
+
+def _truth_sql():
+    def arr(xs):
+        return "CAST([" + ", ".join(O.q(x) for x in xs) + "] AS VARCHAR[])"
+    rows = ", ".join(f"('{t}', {arr(m)}, {arr(n)}, {str(c).lower()})" for t, m, n, c in TRUTH)
+    return f"truth(site_type, must_have, must_not_have, clean) AS (VALUES {rows})"
+
+
+@register("rule_check", "WITH " + store_sql() + ",\n" + bands_sql() + ",\n" + _truth_sql() + """,
+st AS (SELECT * FROM store JOIN bands USING (site_type) JOIN truth USING (site_type)),
+fc AS (SELECT DISTINCT scan_id, category FROM raw_f),
+req AS (SELECT scan_id, count(*) AS missing_required
+        FROM (SELECT scan_id, unnest(must_have) AS category FROM st) x
+        WHERE NOT EXISTS (SELECT 1 FROM fc WHERE fc.scan_id = x.scan_id AND fc.category = x.category) GROUP BY scan_id),
+forb AS (SELECT x.scan_id, count(*) AS forbidden_found
+         FROM (SELECT scan_id, unnest(must_not_have) AS category FROM st) x JOIN raw_f r
+              ON r.scan_id = x.scan_id AND r.category = x.category GROUP BY x.scan_id),
+fs AS (SELECT r.scan_id, count_if(st.clean AND r.severity = 'CRITICAL') AS critical_on_clean,
+              count_if(r.confidence < 0.50) AS low_confidence
+       FROM raw_f r JOIN st USING (scan_id) GROUP BY r.scan_id),
+j AS (
+  SELECT st.scan_id, st.site_type, st.trust_score, st.total_patterns,
+         CAST(CASE WHEN trust_score < min_score OR trust_score > max_score THEN 1 ELSE 0 END AS BIGINT) AS score_issue,
+         CAST(CASE WHEN total_patterns > max_patterns OR total_patterns < min_patterns THEN 1 ELSE 0 END AS BIGINT) AS count_issue,
+         CAST(coalesce(missing_required, 0) AS BIGINT) AS missing_required,
+         CAST(coalesce(forbidden_found, 0) AS BIGINT) AS forbidden_found,
+         CAST(coalesce(critical_on_clean, 0) AS BIGINT) AS critical_on_clean,
+         CAST(coalesce(low_confidence, 0) AS BIGINT) AS low_confidence
+  FROM st LEFT JOIN req USING (scan_id) LEFT JOIN forb USING (scan_id) LEFT JOIN fs USING (scan_id))
+SELECT *, score_issue + count_issue + missing_required + forbidden_found + critical_on_clean + low_confidence AS issues,
+       score_issue + count_issue + missing_required + forbidden_found + critical_on_clean + low_confidence = 0 AS passed
+FROM j""")
+def q_rule_check(spark, sf):
+    truth = spark.createDataFrame(TRUTH, "site_type string, must_have array<string>, must_not_have array<string>, "
+                                         "clean boolean").join(bands_df(spark), "site_type")
+    out = N.rule_check(report_store(spark, sf), fx.overlay_findings(spark, sf), truth)
+    return out
