@@ -485,3 +485,63 @@ def q_rule_check(spark, sf):
                                          "clean boolean").join(bands_df(spark), "site_type")
     out = N.rule_check(report_store(spark, sf), fx.overlay_findings(spark, sf), truth)
     return out
+
+
+# ============================================== readability D29–D35 =========
+from trapline.operators.detectors import readability as RD  # noqa: E402
+
+
+def _rd_words_sql(t):
+    return f"regexp_extract_all({t}, '[a-zA-Z'']+')"
+
+
+def _rd_grade_sql(t="text"):
+    words = _rd_words_sql(t)
+    syl = (f"coalesce(list_sum(list_transform({words}, lambda w: CASE WHEN length(w) <= 3 THEN 1 ELSE "
+           f"greatest(1, len(regexp_extract_all(lower(w), '[aeiouy]+')) - CASE WHEN ends_with(lower(w), 'e') THEN 1 "
+           f"ELSE 0 END) END)), 0)")
+    n_s = f"len(list_filter(string_split_regex({t}, '[.!?]+'), lambda s: regexp_matches(s, '\\S')))"
+    return f"""CAST(len({words}) AS BIGINT) AS n_words, CAST({n_s} AS BIGINT) AS n_sentences,
+       CAST({syl} AS BIGINT) AS n_syllables,
+       CASE WHEN len({words}) = 0 OR {n_s} = 0 THEN 0.0 ELSE
+         {O.rnd(f"0.39 * (len({words}) / {n_s}) + 11.8 * ({syl} / len({words})) - 15.59", 1)} END AS fk_grade"""
+
+
+@register("readability_grades", f"""
+SELECT doc_id, {_rd_grade_sql("coalesce(text, '')")} FROM documents""")
+def q_readability_grades(spark, sf):
+    from trapline.sources.tables import read_table
+    return RD.readability_grades(read_table(spark, sf, "documents"))
+
+
+def _rd_findings_sql():
+    lw = _rd_words_sql("l")
+    jarg = "[" + ", ".join(O.q(w) for w in RD.JARGON_WORDS) + "]"
+    hits = f"len(list_filter({lw}, lambda w: list_contains({jarg}, w)))"
+    dens = f"({hits} / greatest(len({lw}) / 1000.0, 0.5))"
+    phr = O.count_contains("l", RD.JARGON_PHRASES)
+
+    def anyre(pats):
+        return "regexp_matches(l, " + O.q("(?:" + "|".join(f"(?:{p})" for p in pats) + ")") + ")"
+
+    def row(tpl, cond, ev):
+        typ, cat, sev, conf, el = tpl
+        return (f"SELECT doc_id, {O.q(typ)} AS type, {O.q(cat)} AS category, {O.q(sev)} AS severity, "
+                f"{O.dbl(conf)} AS confidence, {O.q(el)} AS element, {ev} AS evidence FROM g WHERE {cond}")
+    g1 = "printf('%.1f', fk_grade)"
+    return f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS l FROM documents
+           WHERE length(coalesce(text, '')) >= {RD.MIN_TEXT_CHARS}),
+g AS (SELECT doc_id, l, {_rd_grade_sql("t")}, CAST(len({lw}) AS BIGINT) AS nlw,
+             CASE WHEN len({lw}) > 0 THEN {dens} ELSE 0.0 END AS density, {phr} AS phr FROM b)
+{row(RD.D30, "fk_grade >= 16", f"'FK Grade Level: ' || {g1} || '/20 (college graduate+ required to comprehend)'")}
+UNION ALL {row(RD.D31, "fk_grade >= 14 AND fk_grade < 16", f"'FK Grade Level: ' || {g1} || '/20'")}
+UNION ALL {row(RD.D32, "nlw > 0 AND (density > 5 OR phr >= 2)", f"'Jargon density: ' || printf('%.1f', {O.rnd('density', 1)}) || ' per 1000 words'")}
+UNION ALL {row(RD.D33, anyre(RD.ARBITRATION_PATTERNS), "'Arbitration / class-action waiver language detected in page text.'")}
+UNION ALL {row(RD.D34, anyre(RD.PRICE_HIKE_PATTERNS), "'Introductory price with future price hike clause detected in page text.'")}
+UNION ALL {row(RD.D35, anyre(RD.EXIT_FEE_PATTERNS), "'Early cancellation / exit fee clause detected in page text.'")}"""
+
+
+@register("readability_findings", _rd_findings_sql())
+def q_readability_findings(spark, sf):
+    from trapline.sources.tables import read_table
+    return RD.readability_findings(read_table(spark, sf, "documents"))
