@@ -54,7 +54,7 @@ def lookup(c: Column, mapping: Mapping, default) -> Column:
     pairs = []
     for k, v in mapping.items():
         pairs.extend([F.lit(k), F.lit(v)])
-    return F.coalesce(F.element_at(F.create_map(*pairs), c), F.lit(default))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), c), F.lit(default))
 
 
 def in_list(c: Column, values: Iterable[str]) -> Column:

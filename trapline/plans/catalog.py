@@ -545,3 +545,104 @@ UNION ALL {row(RD.D35, anyre(RD.EXIT_FEE_PATTERNS), "'Early cancellation / exit
 def q_readability_findings(spark, sf):
     from trapline.sources.tables import read_table
     return RD.readability_findings(read_table(spark, sf, "documents"))
+
+
+# ======================================================= page path ==========
+from trapline.operators.detectors import engines as E  # noqa: E402
+from trapline.plans import page_scan as PS  # noqa: E402
+from trapline.sources.planted import planted_pages, planted_pages_sql  # noqa: E402
+
+TRACKER_SQL_NAMES = "list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(html, {O.q('(?i)' + p)}) THEN {O.q(n)} END" for p, n in E.TRACKERS) + "], lambda x: x IS NOT NULL)"
+
+
+@register("page_extract")
+def q_page_extract(spark, sf):
+    """Bulk extraction; counts per page (rows-only check)."""
+    ext = PS.extract(planted_pages(spark, sf), write=False)
+    return ext.select("page_id", "page_title", F.length("text_content").cast("bigint").alias("text_chars"),
+                      *[F.size(c).cast("bigint").alias(f"n_{c}") for c in
+                        ["forms", "buttons", "links", "checkboxes", "timers", "prices", "text_elements"]])
+
+
+@register("page_signals", "WITH " + planted_pages_sql() + f""",
+s AS (SELECT page_id, url, html, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) AS domain,
+             string_split(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), '^www\\.', ''), '.') AS parts
+      FROM planted)
+SELECT page_id, domain,
+       CASE WHEN len(parts) >= 2 THEN array_to_string(parts[len(parts) - 1:], '.') ELSE array_to_string(parts, '.') END AS apex,
+       coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), domain) AS title,
+       CASE WHEN {O.any_contains('lower(html)', E.AUTH_PHRASES)} THEN 'unauthenticated' ELSE 'unknown' END AS auth_state,
+       CAST(coalesce(nullif(regexp_extract(html, {O.q(E.META_REFRESH)}, 1), ''), '-1') AS BIGINT) AS refresh_delay,
+       array_to_string(list_slice(list_distinct_ordered, 1, {E.MAX_TRACKERS}), ', ') AS trackers
+FROM (SELECT *, {TRACKER_SQL_NAMES} AS list_distinct_ordered FROM s)""")
+def q_page_signals(spark, sf):
+    """S6 domain, S7 apex, S9 title (regex variant), S17 auth state, D16
+    refresh delay and D26 tracker names — all regex over raw HTML."""
+    p = planted_pages(spark, sf)
+    dom = E._netloc(F.col("url"))
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return p.select(
+        "page_id", dom.alias("domain"), E.apex(F.col("url")).alias("apex"),
+        F.coalesce(F.nullif(title, F.lit("")), dom).alias("title"),
+        E.auth_state(F.col("html")).alias("auth_state"),
+        F.coalesce(F.nullif(F.regexp_extract("html", E.META_REFRESH, 1), F.lit("")), F.lit("-1")).cast("bigint")
+        .alias("refresh_delay"),
+        F.array_join(E.tracker_names(F.col("html")), ", ").alias("trackers"))
+
+
+@register("visible_text_regex", "WITH " + planted_pages_sql() + """
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+         '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'),
+         '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS visible_text
+FROM planted""")
+def q_visible_text_regex(spark, sf):
+    """S8 regex variant: drop script/style blocks and tags, collapse spaces."""
+    h = F.col("html")
+    t = F.regexp_replace(h, r"(?is)<script[^>]*>.*?</script>", " ")
+    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", " ")
+    t = F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"\s+", " ")
+    return planted_pages(spark, sf).select("page_id", F.trim(t).alias("visible_text"))
+
+
+@register("link_regex", "WITH " + planted_pages_sql() + """
+SELECT page_id, CAST(len(h) AS BIGINT) AS n_links, array_to_string(h, ' ') AS hrefs
+FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM planted)""")
+def q_link_regex(spark, sf):
+    """S12 regex variant: hrefs of <a> tags in document order."""
+    h = F.regexp_extract_all(F.col("html"), F.lit(r'<a\s[^>]*href="([^"]*)"'), 1)
+    return planted_pages(spark, sf).select("page_id", F.size(h).cast("bigint").alias("n_links"),
+                                           F.array_join(h, " ").alias("hrefs"))
+
+
+DETECT_COLS = ["scan_id", "seq", "engine", "type", "category", "severity", "confidence", "element", "evidence",
+               "is_critical"]
+
+
+@register("detect_pages")
+def q_detect_pages(spark, sf):
+    """D1–D35 on extracted planted pages (rows-only; fixture tests assert
+    the planted positives and negatives)."""
+    return E.detect(PS.extract(planted_pages(spark, sf))).select(*DETECT_COLS)
+
+
+@register("dom_snapshot_diff")
+def q_dom_diff(spark, sf):
+    """Original pages (before) vs planted pages (after)."""
+    from trapline.sources.tables import read_table
+    before = PS.extract(read_table(spark, sf, "pages"))
+    after = PS.extract(planted_pages(spark, sf))
+    return PS.snapshot_diff(before, after).select("scan_id", "type", "severity", "confidence", "evidence")
+
+
+@register("quick_page_scan")
+def q_quick_page_scan(spark, sf):
+    """P2 over planted pages."""
+    return PS.quick_page_scan(planted_pages(spark, sf)).select(*CONS_COLS[:-1], "rank_in_category")
+
+
+@register("full_page_scan")
+def q_full_page_scan(spark, sf):
+    """P1 over planted pages: extract → detect (+S17/S18) → report."""
+    from trapline.sources.tables import read_table
+    return PS.full_page_scan(planted_pages(spark, sf), read_table(spark, sf, "pages")).select(*FULL_COLS)

@@ -79,7 +79,7 @@ def catalogue_df(spark: SparkSession) -> DataFrame:
 
 def _engine_rank(cat_id, engine):
     rank = F.coalesce(
-        F.element_at(F.create_map(*[x for i, e in enumerate(fixed.ENGINE_ORDER)
+        F.try_element_at(F.create_map(*[x for i, e in enumerate(fixed.ENGINE_ORDER)
                                     for x in (F.lit(e), F.lit(i))]), engine),
         F.lit(fixed.CUSTOM_ENGINE_RANK))
     return F.when(cat_id.isin(*DYNAMIC_IDS), F.lit(fixed.DYNAMIC_RANK)).otherwise(rank)
