@@ -646,3 +646,85 @@ def q_full_page_scan(spark, sf):
     """P1 over planted pages: extract → detect (+S17/S18) → report."""
     from trapline.sources.tables import read_table
     return PS.full_page_scan(planted_pages(spark, sf), read_table(spark, sf, "pages")).select(*FULL_COLS)
+
+
+# ===================================================== requests S2–S5 =======
+from trapline.sources import requests as RQ  # noqa: E402
+
+
+def _requests_sql() -> str:
+    host = ("'Host' || CAST(user_id % 8 AS VARCHAR) || '.example.com/p' || CAST(event_id % 3 AS VARCHAR) "
+            "|| CASE WHEN event_id % 2 = 0 THEN '/' ELSE '' END")
+    u = "regexp_replace(coalesce(url, ''), '^\\s+|\\s+$', '', 'g')"
+    pseudo = " ".join(f"WHEN starts_with(lower({u}), {O.q(p)}) THEN {O.q(f'Scheme {chr(39)}{p}{chr(39)} is not allowed. Only http and https are supported.')}"
+                      for p in RQ.PSEUDO_SCHEMES)
+    clean = (f"(CASE WHEN starts_with({u}, 'http://') OR starts_with({u}, 'https://') THEN {u} "
+             f"ELSE 'https://' || {u} END)")
+    netloc = f"regexp_extract({clean}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)"
+    scheme = f"lower(split_part({u}, '://', 1))"
+    return f"""req AS (
+  SELECT event_id, ts,
+         CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'ftp://' || {host}
+              WHEN event_id % 17 = 0 THEN 'javascript:void(0)' WHEN event_id % 19 = 0 THEN '  ' || {host}
+              WHEN event_id % 23 = 0 THEN 'https://' || {host} || ' x' ELSE 'https://' || {host} END AS url,
+         CASE WHEN event_type = 'signup' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 END AS cookie_count,
+         event_type = 'error' AS force_refresh
+  FROM events),
+v0 AS (
+  SELECT *, CASE WHEN url IS NULL OR url = '' THEN {O.q(RQ.ERR_REQUIRED)}
+                 WHEN length({u}) > {RQ.MAX_URL_LENGTH} THEN {O.q(RQ.ERR_LENGTH)}
+                 WHEN contains({u}, '://') AND {scheme} NOT IN ('http', 'https')
+                   THEN 'Scheme ''' || {scheme} || '://'' is not allowed. Only http and https are supported.'
+                 {pseudo}
+                 WHEN NOT regexp_matches({clean}, {O.q(RQ.URL_RE)}) THEN {O.q(RQ.ERR_FORMAT)}
+                 WHEN {netloc} = '' THEN {O.q(RQ.ERR_HOST)}
+                 WHEN cookie_count > {RQ.MAX_COOKIES} THEN {O.q(RQ.ERR_COOKIES)}
+                 WHEN length(url) > {RQ.MAX_FIELD_CHARS} THEN {O.q(RQ.ERR_FIELD)} END AS error,
+         {clean} AS _clean
+  FROM req),
+v AS (
+  SELECT event_id, ts, url, cookie_count, force_refresh, error IS NULL AS ok, error,
+         CASE WHEN error IS NULL THEN _clean END AS clean_url,
+         CASE WHEN error IS NULL THEN substring(sha256(regexp_replace(regexp_replace(lower(_clean), '^\\s+|\\s+$', '', 'g'),
+                                                '/+$', '')), 1, 32) END AS cache_key
+  FROM v0)"""
+
+
+@register("request_validation", "WITH " + _requests_sql() + """
+SELECT event_id, ok, error, clean_url, cache_key FROM v""")
+def q_request_validation(spark, sf):
+    return RQ.validated_requests(RQ.request_overlay(spark, sf)).select(
+        "event_id", "ok", "error", "clean_url", "cache_key")
+
+
+SUPPRESS_SQL = "WITH RECURSIVE " + _requests_sql() + f""",
+r AS (SELECT event_id, cache_key, force_refresh, cookie_count IS NOT NULL AS ck, epoch_us(ts) AS t,
+             row_number() OVER (PARTITION BY cache_key ORDER BY ts, event_id) AS rn FROM v WHERE ok),
+rec AS (
+  SELECT cache_key, rn, event_id, false AS cache_hit, (NOT ck AND NOT force_refresh) AS cache_lookup,
+         CASE WHEN ck THEN NULL ELSE t END AS lw
+  FROM r WHERE rn = 1
+  UNION ALL
+  SELECT cache_key, rn, event_id, hit AS cache_hit, lookup AS cache_lookup,
+         CASE WHEN ck OR hit THEN w ELSE t END AS lw
+  FROM (SELECT r.cache_key, r.rn, r.event_id, r.ck, r.t, rec.lw AS w,
+               (NOT r.ck AND NOT r.force_refresh) AS lookup,
+               (NOT r.ck AND NOT r.force_refresh AND rec.lw IS NOT NULL AND r.t - rec.lw < {RQ.CACHE_TTL_SECONDS * 1_000_000})
+                 AS hit
+        FROM rec JOIN r ON r.cache_key = rec.cache_key AND r.rn = rec.rn + 1))"""
+
+
+@register("repeat_scan_suppression", SUPPRESS_SQL + """
+SELECT event_id, cache_key, cache_hit, cache_lookup FROM rec""")
+def q_suppress(spark, sf):
+    return RQ.suppress_repeats(RQ.validated_requests(RQ.request_overlay(spark, sf))).select(
+        "event_id", "cache_key", "cache_hit", "cache_lookup")
+
+
+@register("cache_stats", SUPPRESS_SQL + """
+SELECT CAST(count_if(cache_hit) AS BIGINT) AS hits, CAST(count_if(cache_lookup) - count_if(cache_hit) AS BIGINT) AS misses,
+       CASE WHEN count_if(cache_lookup) > 0 THEN round(count_if(cache_hit) / count_if(cache_lookup), 3) ELSE 0.0 END AS hit_rate,
+       CAST(count(DISTINCT cache_key) AS BIGINT) AS keys
+FROM rec""")
+def q_cache_stats(spark, sf):
+    return RQ.cache_stats(RQ.suppress_repeats(RQ.validated_requests(RQ.request_overlay(spark, sf))))
