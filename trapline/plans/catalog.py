@@ -728,3 +728,80 @@ SELECT CAST(count_if(cache_hit) AS BIGINT) AS hits, CAST(count_if(cache_lookup)
 FROM rec""")
 def q_cache_stats(spark, sf):
     return RQ.cache_stats(RQ.suppress_repeats(RQ.validated_requests(RQ.request_overlay(spark, sf))))
+
+
+# ===================================================== ML M1–M6 =============
+from trapline.operators import ml as M  # noqa: E402
+
+
+def _chunks_sql() -> str:
+    strip = O.strip("c")
+    return f"""WITH p AS (SELECT doc_id, string_split_regex(coalesce(text, ''), {O.q(M.CHUNK_SPLIT)}) AS parts FROM documents),
+e AS (SELECT doc_id, unnest(parts) AS c, unnest(range(len(parts))) AS chunk_no FROM p),
+ch AS (SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, {strip} AS chunk FROM e)"""
+
+
+@register("text_chunks", _chunks_sql() + f"""
+SELECT * FROM ch WHERE length(chunk) > {M.CHUNK_MIN} AND length(chunk) < {M.CHUNK_MAX}""")
+def q_chunks(spark, sf):
+    from trapline.sources.tables import read_table
+    return M.chunks(read_table(spark, sf, "documents"))
+
+
+def _features_sql() -> str:
+    n1 = "(CAST(length(chunk) AS DOUBLE) + 1.0)"
+
+    def frac(removed):
+        return O.rnd(f"CAST(length(chunk) - length({removed}) AS DOUBLE) / {n1}", 6)
+    low = "lower(chunk)"
+    feats = [
+        frac("replace(chunk, '!', '')"),
+        frac("regexp_replace(chunk, '\\p{Lu}', '', 'g')"),
+        frac("regexp_replace(chunk, '[0-9]', '', 'g')"),
+        f"CAST({O.count_contains(low, M.URGENCY_WORDS)} AS DOUBLE)",
+        f"CAST({O.count_contains(low, M.SHAME_WORDS)} AS DOUBLE)",
+        O.rnd("least(len(string_split_regex(chunk, '\\s+')) / 50.0, 1.0)", 6),
+        *[f"CASE WHEN regexp_matches({low}, {O.q(p)}) THEN 1.0 ELSE 0.0 END" for p in M.FLAG_PATTERNS],
+    ]
+    cols = ", ".join(f"{f} AS {n}" for f, n in zip(feats, M.FEATURE_COLS))
+    return f"SELECT doc_id, chunk_no, chunk, {cols} FROM ch WHERE length(chunk) > {M.CHUNK_MIN} AND length(chunk) < {M.CHUNK_MAX}"
+
+
+@register("chunk_features", _chunks_sql() + "\n" + _features_sql())
+def q_chunk_features(spark, sf):
+    from trapline.sources.tables import read_table
+    return M.chunk_features(M.chunks(read_table(spark, sf, "documents")))
+
+
+def _trained(spark, sf):
+    from trapline.sources.tables import read_table
+    docs = read_table(spark, sf, "documents")
+    data = M.with_features(M.training_set(docs, read_table(spark, sf, "labels")), "text")
+    train, test = M.stratified_split(data)
+    model = M.build_pipeline().fit(train)
+    return model, test
+
+
+@register("ml_train_eval")
+def q_ml_train_eval(spark, sf):
+    """M3 + M5: train on the 85% stratified split of documents ⋈ labels
+    (label = quality), evaluate on the held-out 15% (rows-only check)."""
+    model, test = _trained(spark, sf)
+    return M.evaluate(M.predict(model, test))
+
+
+@register("ml_chunk_predictions")
+def q_ml_chunk_predictions(spark, sf):
+    """M6 + M7: batch inference on every document chunk, then the
+    safe/low-confidence filter, prefix dedupe and per-category floor."""
+    from trapline.sources.tables import read_table
+    model, _ = _trained(spark, sf)
+    ch = M.chunk_features(M.chunks(read_table(spark, sf, "documents"))).withColumnRenamed("chunk", "text")
+    pred = M.predict(model, ch).withColumnRenamed("text", "chunk")
+    gated = M.gate_predictions(pred, {0.0: "safe", 1.0: "quality"})
+    return gated.select("doc_id", "chunk_no", "category", round_half_up_col("confidence"))
+
+
+def round_half_up_col(c):
+    from trapline.functions.columns import round_half_up
+    return round_half_up(F.col(c), 4).alias(c)
