@@ -805,3 +805,181 @@ def q_ml_chunk_predictions(spark, sf):
 def round_half_up_col(c):
     from trapline.functions.columns import round_half_up
     return round_half_up(F.col(c), 4).alias(c)
+
+
+# ===================================================== streaming ============
+from trapline.streaming import incremental as ST  # noqa: E402
+
+
+def _orders_stream_path(sf):
+    import os
+    # a glob over the orders file: the file source lists it like a folder
+    return os.path.join(sf, "orders.parque[t]")
+
+
+@register("stream_trust_smoothing", ORACLES["trust_smoothing"])
+def q_stream_smoothing(spark, sf):
+    """T1/T2 as a stateful stream over the orders file (available-now);
+    must equal the batch fold."""
+    from trapline.sources.tables import read_table
+    schema = read_table(spark, sf, "orders").schema
+    o = ST.file_stream(spark, _orders_stream_path(sf), schema)
+    scans = o.select(F.col("o_orderkey").alias("scan_id"),
+                     F.concat(F.lit("site-"), F.col("o_custkey").cast("string")).alias("domain"),
+                     F.col("o_orderdate").alias("scan_ts"),
+                     (F.lit(5) + F.floor("o_totalprice").cast("bigint") % 91).cast("bigint").alias("raw_score"))
+    path = ST.run_available_now(ST.smoothing_stream(scans), "stream-smoothing")
+    return spark.read.parquet(path).select("scan_id", "domain", "raw_score", "smoothed_score", "history_depth")
+
+
+@register("stream_request_dedupe")
+def q_stream_dedupe(spark, sf):
+    """S5 streaming: requests re-read as a file stream, repeat requests of a
+    cache key dropped within the TTL watermark (rows-only check)."""
+    import os
+    from trapline.sources.tables import read_table
+    schema = read_table(spark, sf, "events").schema
+    ev = ST.file_stream(spark, os.path.join(sf, "events.parque[t]"), schema)
+    host = F.concat(F.lit("https://Host"), (F.col("user_id") % 8).cast("string"), F.lit(".example.com/p"),
+                    (F.col("event_id") % 3).cast("string"))
+    req = ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"), host.alias("url"))
+    req = req.withColumn("cache_key", RQ.cache_key(F.col("url")))
+    path = ST.run_available_now(RQ.dedupe_stream(req), "stream-dedupe")
+    return spark.read.parquet(path).select("event_id", "cache_key")
+
+
+@register("report_upsert", """
+SELECT user_id AS scan_id, arg_max(event_id, (ts, event_id)) AS event_id,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS write_ts,
+       arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value
+FROM events GROUP BY user_id""")
+def q_report_upsert(spark, sf):
+    """S19 batch: last write wins per scan id (write ts, event id tie-break),
+    as one pre-aggregated max_by per key."""
+    from trapline.sources.tables import read_table
+    ev = read_table(spark, sf, "events").select(F.col("user_id").alias("scan_id"), "event_id", "ts", "event_type",
+                                                "value")
+    best = F.max_by(F.struct("event_id", "ts", "event_type", "value"), F.struct("ts", "event_id"))
+    r = ev.groupBy("scan_id").agg(best.alias("r"))
+    return r.select("scan_id", "r.event_id", F.date_format("r.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("write_ts"),
+                    "r.event_type", "r.value")
+
+
+# ============================================= S20, S21, R18, R19, F5 =======
+ID_RE = r"^[A-Za-z0-9-]{1,64}$"
+
+
+def _report_table(spark, sf):
+    """Stored reports keyed 'scan-<user>' (users with user_id % 3 <> 0)."""
+    r = q_report_upsert(spark, sf).where(F.col("scan_id") % 3 != 0)
+    return r.select(F.concat(F.lit("scan-"), F.col("scan_id").cast("string")).alias("report_id"),
+                    F.to_json(F.struct("event_type", "value")).alias("report_json"))
+
+
+@register("report_lookup", """
+WITH ids AS (SELECT DISTINCT CASE WHEN event_id % 5 = 0 THEN 'scan-' || CAST(user_id AS VARCHAR) || '!'
+                                  WHEN event_id % 7 = 0 THEN 'scan-' || repeat('x', 70)
+                                  ELSE 'scan-' || CAST(user_id AS VARCHAR) END AS request_id FROM events),
+rep AS (SELECT 'scan-' || CAST(user_id AS VARCHAR) AS report_id,
+               arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value
+        FROM events WHERE user_id % 3 <> 0 GROUP BY user_id)
+SELECT request_id,
+       CASE WHEN NOT regexp_matches(request_id, '^[A-Za-z0-9-]{1,64}$') THEN 'invalid'
+            WHEN rep.report_id IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+       CASE WHEN regexp_matches(request_id, '^[A-Za-z0-9-]{1,64}$') THEN rep.event_type END AS event_type,
+       CASE WHEN regexp_matches(request_id, '^[A-Za-z0-9-]{1,64}$') THEN rep.value END AS value
+FROM ids LEFT JOIN rep ON rep.report_id = ids.request_id""")
+def q_report_lookup(spark, sf):
+    """Requested ids joined to the report table; malformed ids are
+    rejected; the stored JSON is parsed back (round trip)."""
+    from trapline.sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    rid = (F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("scan-"), F.col("user_id").cast("string"), F.lit("!")))
+           .when(F.col("event_id") % 7 == 0, F.concat(F.lit("scan-"), F.lit("x" * 70)))
+           .otherwise(F.concat(F.lit("scan-"), F.col("user_id").cast("string"))))
+    ids = ev.select(rid.alias("request_id")).distinct()
+    valid = F.col("request_id").rlike(ID_RE)
+    j = ids.join(_report_table(spark, sf), ids.request_id == F.col("report_id"), "left")
+    parsed = F.from_json("report_json", "event_type string, value double")
+    return j.select("request_id",
+                    F.when(~valid, "invalid").when(F.col("report_id").isNull(), "not_found").otherwise("ok")
+                    .alias("status"),
+                    F.when(valid, parsed["event_type"]).alias("event_type"),
+                    F.when(valid, parsed["value"]).alias("value"))
+
+
+@register("report_export", "WITH " + store_sql() + """
+SELECT scan_id,
+       to_json(struct_pack(scan_id := scan_id, domain := domain, trust_score := trust_score, grade := grade,
+                           risk_label := risk_label, total_patterns := total_patterns)) AS json_line,
+       concat_ws(' | ', CAST(scan_id AS VARCHAR), domain, 'score ' || CAST(trust_score AS VARCHAR), grade, risk_label,
+                 CAST(total_patterns AS VARCHAR) || ' patterns') AS text_line
+FROM store""")
+def q_report_export(spark, sf):
+    """Report rows as JSON lines and plain-text lines (write with
+    ``df.write.text``)."""
+    s = report_store(spark, sf)
+    return s.select("scan_id",
+                    F.to_json(F.struct("scan_id", "domain", "trust_score", "grade", "risk_label", "total_patterns"))
+                    .alias("json_line"),
+                    F.concat_ws(" | ", F.col("scan_id").cast("string"), "domain",
+                                F.concat(F.lit("score "), F.col("trust_score").cast("string")), "grade", "risk_label",
+                                F.concat(F.col("total_patterns").cast("string"), F.lit(" patterns"))).alias("text_line"))
+
+
+@register("finding_views", _with_pipeline(*PIPE, O.report_ctes()) + f""",
+c AS (SELECT scan_id, category, min({O.case_map('severity', fixed.REPORT_SEVERITY_ORDER, 5)} * 100000 + report_pos) AS k
+      FROM rep GROUP BY scan_id, category),
+t AS (SELECT scan_id, string_agg(category, ',' ORDER BY k) AS top_categories
+      FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY k) AS r FROM c) WHERE r <= 3 GROUP BY scan_id)
+SELECT r.scan_id, CAST(count_if(severity IN ('HIGH', 'CRITICAL')) AS BIGINT) AS high_critical,
+       CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS critical, any_value(t.top_categories) AS top_categories
+FROM rep r JOIN t USING (scan_id) GROUP BY r.scan_id""")
+def q_finding_views(spark, sf):
+    """Per scan, HIGH+CRITICAL count, CRITICAL count and the first three
+    distinct categories in severity-then-report order."""
+    from pyspark.sql import Window
+    from trapline.functions.columns import lookup
+    run = P.run_findings(fx.overlay_scans(spark, sf), fx.overlay_findings(spark, sf))
+    rep = R.report_findings(run.validated)
+    k = lookup(F.col("severity"), fixed.REPORT_SEVERITY_ORDER, 5) * 100000 + F.col("report_pos")
+    c = rep.groupBy("scan_id", "category").agg(F.min(k).alias("k"))
+    top = (c.withColumn("r", F.row_number().over(Window.partitionBy("scan_id").orderBy("k"))).where(F.col("r") <= 3)
+           .groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("k", "category"))).alias("_t"))
+           .select("scan_id", F.array_join(F.transform("_t", lambda s: s["category"]), ",").alias("top_categories")))
+    counts = rep.groupBy("scan_id").agg(
+        F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).cast("bigint").alias("high_critical"),
+        F.count_if(F.col("severity") == "CRITICAL").cast("bigint").alias("critical"))
+    return counts.join(top, "scan_id")
+
+
+@register("evidence_locate")
+def q_evidence_locate(spark, sf):
+    """For each page finding whose evidence quotes page text (>= 3
+    chars), the first text element of an allowed tag containing it.  The
+    finding is joined to its page on the page key and the containment test
+    runs over that page's element array (rows-only check)."""
+    ext = PS.extract(planted_pages(spark, sf))
+    f = E.detect(ext)
+    core = F.regexp_extract("evidence", r'"([^"]{3,})"', 1)
+    f = f.withColumn("needle", core).where(F.col("needle") != "")
+    allowed = ["p", "span", "div", "label", "h1", "h2", "h3", "h4", "h5", "h6", "li", "a", "button"]
+    j = f.join(ext.select(F.col("page_id").alias("scan_id"), "text_elements"), "scan_id")
+    hits = F.filter(F.transform("text_elements", lambda e, i: F.struct(i.alias("i"), e["tag"].alias("tag"),
+                                                                       e["text"].alias("text"))),
+                    lambda x: x["tag"].isin(*allowed) & x["text"].contains(F.col("needle")))
+    first = F.try_element_at(hits, F.lit(1))
+    return j.select("scan_id", "seq", "type", "needle", first["i"].cast("bigint").alias("element_index"),
+                    first["tag"].alias("element_tag"))
+
+
+@register("signal_mean", _with_pipeline(*PIPE[:4]) + f"""
+SELECT scan_id, CASE WHEN sum(w) > 0 THEN
+         {O.rnd(f"greatest(0.0, least(1.0, {O.exact_sum('fusion_confidence * w')} / {O.exact_sum('w')}))", 3)}
+         ELSE 0.0 END AS signal_mean
+FROM (SELECT scan_id, fusion_confidence, {O.case_map('engine', fixed.FUSION_WEIGHTS, fixed.FUSION_DEFAULT_WEIGHT)} AS w
+      FROM fused) GROUP BY scan_id""")
+def q_signal_mean(spark, sf):
+    """weighted mean of fused confidences, engine weights as weights."""
+    fused = Fu.fuse(H.calibrate(with_compound(_raw(spark, sf))))
+    return Fu.weighted_signal_mean(fused.withColumn("w", Fu.engine_weight()), ["scan_id"], "fusion_confidence", "w")
