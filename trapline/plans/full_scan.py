@@ -39,15 +39,19 @@ def run_findings(scans: DataFrame, detector_findings: DataFrame, brand: str = fi
     f = detector_findings.repartition(partitions, "scan_id") if partitions \
         else detector_findings.repartition("scan_id")
     raw = with_compound(f, brand)
-    if materialize_stages:
-        # the raw findings table feeds calibration and the funnel counts
-        raw = materialize(raw, "raw-findings").repartition(*( [partitions] if partitions else []), "scan_id")
+    def cut(df, name):
+        # written table in the shared checkpoint dir, re-hashed on scan_id so
+        # every later window / aggregate / join reuses that partitioning
+        if not materialize_stages:
+            return df
+        t = materialize(df, name)
+        return t.repartition(partitions, "scan_id") if partitions else t.repartition("scan_id")
+
+    raw = cut(raw, "raw-findings")            # feeds calibration and funnel counts
     cal = H.calibrate(raw)
-    fused = Fu.fuse(cal)
-    validated = A.aggregate(fused, scans)
-    if materialize_stages:
-        # validated findings feed the report, risk and funnel branches
-        validated = materialize(validated, "validated-findings")
+    fused = cut(Fu.fuse(cal), "fused-findings")  # feeds consensus, funnel, scan fusion score
+    cal = fused
+    validated = cut(A.aggregate(fused, scans), "validated-findings")  # report, risk, funnel
     reports = R.scan_reports(validated, scans, brand)
     risk = K.risk_assessment(validated).select(
         "scan_id", "risk_score", F.col("risk_level").alias("assessed_risk_level"), "compound_bonus")
