@@ -78,3 +78,19 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ensure_parallelism(df, key: str | None = None, factor: int = 2):
+    """Spread a CPU-heavy narrow stage over the cluster.
+
+    A scan of one large row group yields a single busy task; when the input
+    has fewer partitions than the cluster has cores, hash the rows on ``key``
+    into ``factor x cores`` partitions first.  On a large input (many files /
+    row groups) the scan already has far more splits than cores and nothing
+    is shuffled."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    n = max(2, cores * factor)
+    return df.repartition(n, key) if key else df.repartition(n)
