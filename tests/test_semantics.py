@@ -99,3 +99,31 @@ def test_extractor_rules():
     assert d["checkboxes"] == [{"checked": True, "name": "n", "label": "News", "id": ""}]
     assert any(t["classes"] == "countdown" for t in d["timers"])
     assert extract_page("<p>x</p>", "https://host.example/p")["page_title"] == "host.example"
+
+
+def test_ml_rule_gate(spark):
+    from trapline.operators.ml import rule_gate
+    rows = [("privacy", 0.9, "we may sell data to partners", False, False, False),
+            ("privacy", 0.9, "see ad choices", False, False, False),
+            ("urgency", 0.9, "hurry only a few left", False, False, False),
+            ("urgency", 0.9, "only 3 left", False, False, False),
+            ("forced_continuity", 0.7, "plan details", False, False, False),
+            ("social_proof", 0.75, "many people bought this", False, False, False)]
+    df = spark.createDataFrame(rows, "c string, conf double, chunk string, t boolean, cb boolean, f boolean")
+    g = df.select(rule_gate(F.col("c"), F.col("conf"), F.col("chunk"), F.col("t"), F.col("cb"), F.col("f"))
+                  .alias("g")).collect()
+    got = [(r.g.severity, r.g.type) for r in g]
+    assert got[0] == ("HIGH", "ML: Privacy Manipulation")
+    assert got[1][0] == "INFORMATIONAL"
+    assert got[2][0] == "INFORMATIONAL" and got[3] == ("MEDIUM", "ML: Urgency")
+    assert got[4][0] == "INFORMATIONAL"
+    assert got[5][0] == "INFORMATIONAL"
+
+
+def test_ml_anchor(spark):
+    from trapline.operators.ml import anchor_element
+    df = spark.createDataFrame(
+        [("only 2 left in stock today", [("span", "only 2 left in stock today hurry", "b")])],
+        "chunk string, els array<struct<tag:string,text:string,classes:string>>")
+    r = df.select(anchor_element(F.col("chunk"), F.col("els")).alias("a")).collect()[0]
+    assert r.a.tag == "span"

@@ -983,3 +983,24 @@ def q_signal_mean(spark, sf):
     """weighted mean of fused confidences, engine weights as weights."""
     fused = Fu.fuse(H.calibrate(with_compound(_raw(spark, sf))))
     return Fu.weighted_signal_mean(fused.withColumn("w", Fu.engine_weight()), ["scan_id"], "fusion_confidence", "w")
+
+
+@register("ml_augment")
+def q_ml_augment(spark, sf):
+    """M4: seeded augmentation of the labelled training documents."""
+    from trapline.sources.tables import read_table
+    tr = M.training_set(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+    return M.augment(tr.select("doc_id", "text", "label")).select(
+        "doc_id", "label", "augmented", F.length("text").cast("bigint").alias("text_chars"))
+
+
+@register("ml_text_anomaly")
+def q_ml_anomaly(spark, sf):
+    """PCA reconstruction error of chunk features; trained on chunks of
+    documents labelled quality=1, threshold = p99 of their errors."""
+    from trapline.sources.tables import read_table
+    ch = M.chunk_features(M.chunks(read_table(spark, sf, "documents")))
+    good = read_table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")
+    train = ch.join(good, "doc_id", "left_semi")
+    out = M.anomaly_scores(train, ch)
+    return out.select("doc_id", "chunk_no", round_half_up_col("recon_mse"), "is_anomaly")
