@@ -32,10 +32,11 @@ def _has_selector(element_col):
     return ~in_list(e, fixed.GENERIC_ELEMENTS)
 
 
-def signal_strength() -> F.Column:
-    """A3: strong / moderate / weak."""
+def signal_strength(element_key: F.Column | None = None) -> F.Column:
+    """A3: strong / moderate / weak (``element_key`` = lower(strip(element))
+    when already computed)."""
     engine_l = F.lower(F.col("engine"))
-    e = F.lower(py_strip(F.col("element")))
+    e = F.lower(py_strip(F.col("element"))) if element_key is None else element_key
     has_sel = ~in_list(e, fixed.GENERIC_ELEMENTS)
     structural = has_sel & contains_any(e, fixed.STRUCTURAL_ELEMENT_MARKERS)
     multi = F.lower(F.col("type")).contains("multi")
@@ -50,10 +51,12 @@ def signal_strength() -> F.Column:
 def gate(fused: DataFrame, scans: DataFrame) -> DataFrame:
     """A1–A5: confidence floor, signal strength, element grouping and the
     consensus rules.  Adds context, signal, gate_reason and k5."""
+    # lower(strip(element)) once; reused by the signal, the group key, the
+    # residual filter and the element dedupe
     cand = (fused.where(F.col("confidence") >= fixed.MIN_CONFIDENCE)
-            .withColumn("signal", signal_strength())
-            .withColumn("ekey", F.coalesce(F.nullif(F.lower(py_strip(F.col("element"))), F.lit("")),
-                                           F.lit("__no_selector__"))))
+            .withColumn("_el", F.lower(py_strip(F.col("element")))))
+    cand = (cand.withColumn("signal", signal_strength(F.col("_el")))
+            .withColumn("ekey", F.coalesce(F.nullif(F.col("_el"), F.lit("")), F.lit("__no_selector__"))))
     # element-group and category engine counts as windows over the
     # scan_id-partitioned findings (count(distinct) over a window is written
     # as size(collect_set)).
@@ -101,7 +104,7 @@ def gate(fused: DataFrame, scans: DataFrame) -> DataFrame:
 def residual_filter(gated: DataFrame) -> DataFrame:
     """Drop ml weak signals and INFORMATIONAL findings without a selector."""
     ml_weak = F.lower(F.col("engine")).contains("ml") & (F.col("signal") == "weak")
-    info_nosel = (F.col("severity") == "INFORMATIONAL") & ~_has_selector(F.col("element"))
+    info_nosel = (F.col("severity") == "INFORMATIONAL") & in_list(F.col("_el"), fixed.GENERIC_ELEMENTS)
     return gated.where(~(ml_weak | info_nosel))
 
 
@@ -134,7 +137,7 @@ def _keep_best(df: DataFrame, keys: list, pos_col: str, new_pos: str) -> DataFra
 def dedupe_and_cap(tagged: DataFrame, cap: int = fixed.MAX_PER_CATEGORY,
                    compound_cap: int = fixed.MAX_COMPOUND) -> DataFrame:
     """A8–A11.  Adds rank_in_category and cat_first (category order key)."""
-    e = F.lower(py_strip(F.col("element")))
+    e = F.col("_el")
     generic = in_list(e, fixed.GENERIC_ELEMENTS)
     tkey = F.lower(py_strip(F.col("type")))
     d = (tagged.withColumn("_tkey", tkey)
@@ -153,7 +156,7 @@ def dedupe_and_cap(tagged: DataFrame, cap: int = fixed.MAX_PER_CATEGORY,
     return (d.withColumn("cat_first", F.min("k10").over(wc))
             .withColumn("rank_in_category", F.row_number().over(w))
             .where(F.col("rank_in_category") <= limit)
-            .drop("_tkey", "_generic", "_ekey", "_vkey"))
+            .drop("_tkey", "_generic", "_ekey", "_vkey", "_el"))
 
 
 def aggregate(fused: DataFrame, scans: DataFrame, cap: int = fixed.MAX_PER_CATEGORY,
