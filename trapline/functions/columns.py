@@ -21,10 +21,14 @@ def round_half_up(c: Column, digits: int) -> Column:
     return F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
+ASCII_WS = " \t\n\r\x0b\x0c"
+
+
 def py_strip(c: Column) -> Column:
     """Strip leading/trailing whitespace like ``str.strip()`` (Spark's
-    ``trim`` only removes spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    ``trim`` only removes spaces); ``btrim`` with the ASCII whitespace set
+    avoids a regex per row."""
+    return F.btrim(c, F.lit(ASCII_WS))
 
 
 def literal_alternation(needles: Iterable[str]) -> str:
@@ -38,8 +42,9 @@ def contains_any(c: Column, needles: Iterable[str]) -> Column:
     needles = list(needles)
     if not needles:
         return F.lit(False)
-    if len(needles) == 1:
-        return c.contains(needles[0])
+    if len(needles) <= 8:
+        # short lists: byte-level contains, no regex / string conversion
+        return reduce(lambda a, b: a | b, [c.contains(n) for n in needles])
     return c.rlike(literal_alternation(needles))
 
 

@@ -17,7 +17,8 @@ from trapline.functions.columns import contains_any, in_list
 def score(findings: DataFrame) -> DataFrame:
     """H1: attach impact, intent and the critical flag."""
     cat = F.col("category")
-    type_l = F.lower(F.col("type"))
+    findings = findings.withColumn("_type_l", F.lower(F.col("type")))
+    type_l = F.col("_type_l")
     trigger = contains_any(type_l, fixed.CRITICAL_TYPE_TRIGGERS)
     impact = (F.when(trigger, "HIGH")
               .when(in_list(cat, fixed.HIGH_IMPACT_CATEGORIES), "HIGH")
@@ -36,7 +37,7 @@ def score(findings: DataFrame) -> DataFrame:
 def is_weak(engine=None, type_=None, severity=None, impact=None):
     """H3: weak-signal predicate."""
     engine = F.col("engine") if engine is None else engine
-    t = F.lower(F.col("type") if type_ is None else type_)
+    t = F.col("_type_l") if type_ is None else F.lower(type_)
     sev = F.col("severity") if severity is None else severity
     imp = F.col("impact") if impact is None else impact
     return (((engine == "ml") & (imp == "LOW"))
@@ -72,7 +73,8 @@ def decide(scored: DataFrame) -> DataFrame:
     return (scored.where(keep)
             .withColumn("raw_severity", sev)
             .withColumn("note", note)
-            .withColumn("severity", new_sev))
+            .withColumn("severity", new_sev)
+            .drop("_type_l"))
 
 
 def multi_signal_gate(decided: DataFrame) -> DataFrame:
