@@ -1004,3 +1004,59 @@ def q_ml_anomaly(spark, sf):
     train = ch.join(good, "doc_id", "left_semi")
     out = M.anomaly_scores(train, ch)
     return out.select("doc_id", "chunk_no", round_half_up_col("recon_mse"), "is_anomaly")
+
+
+@register("quick_scan", _with_pipeline(
+    O.overlay_a(), "quick_pre AS (SELECT * FROM raw_f WHERE engine IN ('dom', 'cookie', 'advanced'))",
+    O.calibrate_ctes("quick_pre"), O.fuse_ctes(), O.consensus_ctes()) + "\n" + _cons_select())
+def q_quick_scan(spark, sf):
+    """P2 on findings: dom + cookie + advanced engines only, calibrate →
+    fuse → aggregate, no compound scorer or report."""
+    v = P.quick_scan(fx.overlay_scans(spark, sf), fx.overlay_findings(spark, sf).repartition("scan_id"))
+    return v.select(*CONS_COLS[:-1], F.col("rank_in_category").cast("bigint").alias("rank_in_category"))
+
+
+def _regex_text(h):
+    t = F.regexp_replace(h, r"(?is)<script[^>]*>.*?</script>", " ")
+    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"\s+", " "))
+
+
+PAGE_RULE_TYPES = ["Hidden Cancellation Path", "Phone-Gate Cancellation", "Pricing Hidden Behind JS Gate",
+                   "Subscription Upsell on Product Page", "Roach Motel — No Exit Path"]
+
+
+def _page_rules_sql() -> str:
+    text = ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'),"
+            " '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))")
+    sub = O.any_contains("c", E.SUBSCRIPTION_PAGE_KW)
+    gate = O.q("(?s)(" + "|".join(E.JS_GATE_SELECTORS) + r")[^{}]{0,300}?" + E.JS_GATE_PRICE)
+    prod = f"({O.any_contains('c', E.PRODUCT_PAGE_SIGNALS)} OR {O.any_contains('lower(url)', E.PRODUCT_PAGE_SIGNALS)})"
+    rows = [
+        ("Hidden Cancellation Path", f"{sub} AND NOT regexp_matches(c, {O.q('(?i)' + E.CANCEL_KEYWORDS)})"),
+        ("Phone-Gate Cancellation", f"{sub} AND regexp_matches(c, {O.q('(?i)' + E.PHONE_GATE)}) AND "
+                                    f"{O.any_contains('c', E.BILLING_PAGE_KW)}"),
+        ("Pricing Hidden Behind JS Gate", f"regexp_matches(h, {gate})"),
+        ("Subscription Upsell on Product Page", f"{prod} AND regexp_matches(c, {O.q('(?i)' + E.UPSELL_SIGNALS)})"),
+        ("Roach Motel — No Exit Path", f"{O.any_contains('h', E.ACCOUNT_SIGNALS)} AND NOT {O.any_contains('h', E.EXIT_KEYWORDS)}"),
+    ]
+    body = "\nUNION ALL ".join(f"SELECT page_id, {O.q(t)} AS type FROM b WHERE {cond}" for t, cond in rows)
+    return "WITH " + planted_pages_sql() + f""",
+b AS (SELECT page_id, url, lower(html) AS h, lower(html) || ' ' || lower({text}) AS c FROM planted)
+{body}"""
+
+
+@register("page_rules_regex", _page_rules_sql())
+def q_page_rules_regex(spark, sf):
+    """D18, D20, D21, D22, D28 — the page-level advanced / link rules run by
+    the same engine code over html plus the regex-variant visible text (no
+    parser in the loop), so DuckDB can check the rule logic."""
+    p = planted_pages(spark, sf)
+    df = p.select("page_id", "url", "html", _regex_text(F.col("html")).alias("text_content"),
+                  F.array().cast("array<struct<text:string,href:string,classes:string,style:string,"
+                                 "font_size_hint:string>>").alias("links"))
+    df = (df.withColumn("_html_l", F.lower("html"))
+          .withColumn("_combined", F.concat(F.col("_html_l"), F.lit(" "), F.lower("text_content"))))
+    items = F.concat(E.advanced_engine(), E.link_engine())
+    out = df.select("page_id", F.explode(items).alias("f")).select("page_id", F.col("f.type").alias("type"))
+    return out.where(F.col("type").isin(*PAGE_RULE_TYPES))
