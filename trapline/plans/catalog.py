@@ -1060,3 +1060,39 @@ def q_page_rules_regex(spark, sf):
     items = F.concat(E.advanced_engine(), E.link_engine())
     out = df.select("page_id", F.explode(items).alias("f")).select("page_id", F.col("f.type").alias("type"))
     return out.where(F.col("type").isin(*PAGE_RULE_TYPES))
+
+
+def _cookie_rules_sql() -> str:
+    text = ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'),"
+            " '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))")
+    names = "list_filter([" + ", ".join(
+        f"CASE WHEN regexp_matches(html, {O.q('(?i)' + p)}) THEN {O.q(n)} END" for p, n in E.TRACKERS) + "], lambda x: x IS NOT NULL)"
+    return "WITH " + planted_pages_sql() + f""",
+b AS (SELECT page_id, html, {text} AS t FROM planted),
+f AS (SELECT page_id, regexp_matches(t, {O.q(E.COOKIE_ACCEPT)}) AS acc, regexp_matches(t, {O.q(E.COOKIE_REJECT)}) AS rej,
+             regexp_matches(t, {O.q(E.COOKIE_SETTINGS)}) AS sett, regexp_matches(t, {O.q(E.COOKIE_CONTEXT)}) AS ctx,
+             list_slice(list_distinct_ordered, 1, {E.MAX_TRACKERS}) AS tr
+      FROM (SELECT *, {names} AS list_distinct_ordered FROM b))
+SELECT page_id, 'COOKIE_MANIPULATION' AS type,
+       CASE WHEN acc AND NOT rej AND NOT sett AND ctx THEN 'cookie_wall' WHEN acc AND sett AND NOT rej AND ctx THEN 'privacy'
+            ELSE 'cookie_wall' END AS category,
+       CASE WHEN acc AND NOT rej AND NOT sett AND ctx THEN 'CRITICAL' WHEN acc AND sett AND NOT rej AND ctx THEN 'MEDIUM'
+            ELSE 'HIGH' END AS severity, '' AS trackers
+FROM f WHERE (acc AND NOT rej AND NOT sett AND ctx) OR (acc AND sett AND NOT rej AND ctx) OR (NOT rej AND NOT sett AND ctx)
+UNION ALL
+SELECT page_id, 'Tracking Before Consent', 'privacy', 'HIGH', array_to_string(tr, ', ')
+FROM f WHERE len(tr) > 0 AND (NOT rej OR NOT ctx)"""
+
+
+@register("cookie_rules_regex", _cookie_rules_sql())
+def q_cookie_rules_regex(spark, sf):
+    """D23–D26 — the cookie engine code over the regex-variant visible text
+    (DuckDB-checkable; the parser-text form runs in ``detect_pages``)."""
+    p = planted_pages(spark, sf)
+    df = p.select("page_id", "html", _regex_text(F.col("html")).alias("consent_text"))
+    out = df.select("page_id", F.explode(E.cookie_engine()).alias("f"))
+    return out.select("page_id", F.col("f.type").alias("type"), F.col("f.category").alias("category"),
+                      F.col("f.severity").alias("severity"),
+                      F.when(F.col("f.type") == "Tracking Before Consent",
+                             F.regexp_replace(F.col("f.evidence"), "^Trackers loading before consent: ", ""))
+                      .otherwise(F.lit("")).alias("trackers"))
