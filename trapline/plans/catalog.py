@@ -870,8 +870,8 @@ ID_RE = r"^[A-Za-z0-9-]{1,64}$"
 
 
 def _report_table(spark, sf):
-    """Stored reports keyed 'scan-<user>' (users with user_id % 3 <> 0)."""
-    r = q_report_upsert(spark, sf).where(F.col("scan_id") % 3 != 0)
+    """Stored reports keyed 'scan-<user>' (the whole upserted table)."""
+    r = q_report_upsert(spark, sf)
     return r.select(F.concat(F.lit("scan-"), F.col("scan_id").cast("string")).alias("report_id"),
                     F.to_json(F.struct("event_type", "value")).alias("report_json"))
 
@@ -879,10 +879,11 @@ def _report_table(spark, sf):
 @register("report_lookup", """
 WITH ids AS (SELECT DISTINCT CASE WHEN event_id % 5 = 0 THEN 'scan-' || CAST(user_id AS VARCHAR) || '!'
                                   WHEN event_id % 7 = 0 THEN 'scan-' || repeat('x', 70)
+                                  WHEN event_id % 3 = 0 THEN 'scan-' || CAST(user_id + 1000000000 AS VARCHAR)
                                   ELSE 'scan-' || CAST(user_id AS VARCHAR) END AS request_id FROM events),
 rep AS (SELECT 'scan-' || CAST(user_id AS VARCHAR) AS report_id,
                arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value
-        FROM events WHERE user_id % 3 <> 0 GROUP BY user_id)
+        FROM events GROUP BY user_id)
 SELECT request_id,
        CASE WHEN NOT regexp_matches(request_id, '^[A-Za-z0-9-]{1,64}$') THEN 'invalid'
             WHEN rep.report_id IS NULL THEN 'not_found' ELSE 'ok' END AS status,
@@ -896,6 +897,8 @@ def q_report_lookup(spark, sf):
     ev = read_table(spark, sf, "events")
     rid = (F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("scan-"), F.col("user_id").cast("string"), F.lit("!")))
            .when(F.col("event_id") % 7 == 0, F.concat(F.lit("scan-"), F.lit("x" * 70)))
+           .when(F.col("event_id") % 3 == 0,   # ids with no stored report
+                 F.concat(F.lit("scan-"), (F.col("user_id") + 1000000000).cast("string")))
            .otherwise(F.concat(F.lit("scan-"), F.col("user_id").cast("string"))))
     ids = ev.select(rid.alias("request_id")).distinct()
     valid = F.col("request_id").rlike(ID_RE)
