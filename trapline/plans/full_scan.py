@@ -34,7 +34,8 @@ class ScanRun:
 
 
 def run_findings(scans: DataFrame, detector_findings: DataFrame, brand: str = fixed.SUMMARY_BRAND,
-                 partitions: int | None = None, materialize_stages: bool = True) -> ScanRun:
+                 partitions: int | None = None, materialize_stages: bool = True,
+                 cut_raw: bool = True) -> ScanRun:
     """D36 → H → F → A → R → K → funnel counts → T2 smoothing."""
     f = detector_findings.repartition(partitions, "scan_id") if partitions \
         else detector_findings.repartition("scan_id")
@@ -47,7 +48,8 @@ def run_findings(scans: DataFrame, detector_findings: DataFrame, brand: str = fi
         t = materialize(df, name)
         return t.repartition(partitions, "scan_id") if partitions else t.repartition("scan_id")
 
-    raw = cut(raw, "raw-findings")            # feeds calibration and funnel counts
+    if cut_raw:
+        raw = cut(raw, "raw-findings")        # feeds calibration and funnel counts
     cal = H.calibrate(raw)
     fused = cut(Fu.fuse(cal), "fused-findings")  # feeds consensus, funnel, scan fusion score
     cal = fused
