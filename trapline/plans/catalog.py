@@ -1099,3 +1099,64 @@ def q_cookie_rules_regex(spark, sf):
                       F.when(F.col("f.type") == "Tracking Before Consent",
                              F.regexp_replace(F.col("f.evidence"), "^Trackers loading before consent: ", ""))
                       .otherwise(F.lit("")).alias("trackers"))
+
+
+CB_RE = r'<label[^>]*>\s*<input([^>]*type="checkbox"[^>]*)>([^<]*)</label>'
+BTN_RE = r"<button([^>]*)>([^<]*)</button>"
+HIDDEN_RE = r'<input([^>]*type="hidden"[^>]*)>'
+
+
+def _attr(a, name):
+    return F.regexp_extract(a, name + '="([^"]*)"', 1)
+
+
+@register("dom_rules_regex", "WITH " + planted_pages_sql() + f""",
+cb AS (SELECT page_id, unnest(regexp_extract_all(html, {O.q(CB_RE)}, 1)) AS a,
+              unnest(regexp_extract_all(html, {O.q(CB_RE)}, 2)) AS label FROM planted),
+cbf AS (SELECT page_id, regexp_extract(a, 'name="([^"]*)"', 1) AS name, {O.strip('label')} AS label,
+               lower({O.strip('label')}) AS l
+        FROM cb WHERE regexp_matches(a, '\\bchecked\\b')),
+bt AS (SELECT page_id, unnest(regexp_extract_all(html, {O.q(BTN_RE)}, 1)) AS a,
+              unnest(regexp_extract_all(html, {O.q(BTN_RE)}, 2)) AS t FROM planted),
+hi AS (SELECT page_id, unnest(regexp_extract_all(html, {O.q(HIDDEN_RE)}, 1)) AS a FROM planted),
+hif AS (SELECT page_id, regexp_extract(a, 'name="([^"]*)"', 1) AS name, regexp_extract(a, 'value="([^"]*)"', 1) AS value
+        FROM hi)
+SELECT page_id, CASE WHEN {O.any_contains('l', E.MARKETING_KW)} THEN 'Pre-Selected Marketing Checkbox'
+                     WHEN {O.any_contains('l', E.SUBSCRIPTION_KW)} THEN 'Pre-Selected Subscription Enrolment'
+                     ELSE 'Pre-Selected Upsell / Add-On' END AS type,
+       'input[type=checkbox][name="' || name || '"]' AS element
+FROM cbf WHERE {O.any_contains('l', E.MARKETING_KW + E.SUBSCRIPTION_KW + E.UPSELL_KW)}
+UNION ALL
+SELECT page_id, 'Basket Sneaking (Hidden Field)', 'input[type=hidden][name="' || name || '"]'
+FROM hif WHERE value <> '' AND ({O.any_contains('lower(name)', E.HIDDEN_FIELD_KW)} OR {O.any_contains('lower(value)', E.HIDDEN_FIELD_KW)})
+UNION ALL
+SELECT page_id, 'Confirmshaming Button', regexp_replace('button#' || regexp_extract(a, 'id="([^"]*)"', 1), '#+$', '')
+FROM bt WHERE {O.strip('t')} <> '' AND {O.any_contains(f"lower({O.strip('t')})", E.SHAME_KW)}""")
+def q_dom_rules_regex(spark, sf):
+    """D1–D3, D6, D7 — the DOM engine code over regex-extracted checkboxes,
+    buttons and hidden inputs (S11 / S13 regex variants; DuckDB-checkable)."""
+    from trapline.functions.columns import py_strip
+    p = planted_pages(spark, sf)
+    h = F.col("html")
+    cb = F.arrays_zip(F.regexp_extract_all(h, F.lit(CB_RE), 1).alias("a"),
+                      F.regexp_extract_all(h, F.lit(CB_RE), 2).alias("label"))
+    checkboxes = F.transform(cb, lambda x: F.struct(x["a"].rlike(r"\bchecked\b").alias("checked"),
+                                                    _attr(x["a"], "name").alias("name"),
+                                                    py_strip(x["label"]).alias("label"), F.lit("").alias("id")))
+    bt = F.arrays_zip(F.regexp_extract_all(h, F.lit(BTN_RE), 1).alias("a"),
+                      F.regexp_extract_all(h, F.lit(BTN_RE), 2).alias("t"))
+    buttons = F.filter(F.transform(bt, lambda x: F.struct(py_strip(x["t"]).alias("text"), F.lit("").alias("classes"),
+                                                          F.lit("").alias("style"), F.lit("button").alias("type"),
+                                                          _attr(x["a"], "id").alias("id"))),
+                       lambda b: b["text"] != "")
+    hidden = F.transform(F.regexp_extract_all(h, F.lit(HIDDEN_RE), 1), lambda a: F.struct(
+        F.lit("hidden").alias("type"), _attr(a, "name").alias("name"), F.lit(False).alias("checked"),
+        F.lit(False).alias("required"), _attr(a, "value").alias("value"), F.lit("").alias("placeholder")))
+    forms = F.array(F.struct(F.lit("").alias("action"), F.lit("get").alias("method"), F.lit("").alias("text"),
+                             hidden.alias("inputs")))
+    df = p.select("page_id", "html", checkboxes.alias("checkboxes"), buttons.alias("buttons"), forms.alias("forms"),
+                  F.array().cast("array<struct<tag:string,text:string,classes:string,id:string>>").alias("timers"),
+                  F.array().cast("array<struct<text:string,classes:string>>").alias("prices"),
+                  F.lower("html").alias("_html_l"))
+    out = df.select("page_id", F.explode(E.dom_engine()).alias("f"))
+    return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
