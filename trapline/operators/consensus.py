@@ -27,11 +27,6 @@ def page_context(scans: DataFrame, text_col: str = "page_text") -> DataFrame:
     return scans.select("scan_id", ctx.alias("context"))
 
 
-def _has_selector(element_col):
-    e = F.lower(py_strip(F.coalesce(element_col, F.lit(""))))
-    return ~in_list(e, fixed.GENERIC_ELEMENTS)
-
-
 def signal_strength(element_key: F.Column | None = None) -> F.Column:
     """A3: strong / moderate / weak (``element_key`` = lower(strip(element))
     when already computed)."""

@@ -11,11 +11,6 @@ from trapline.functions import fixed
 from trapline.functions.columns import exact_sum, lookup, round_half_up
 
 
-def _dist_string(col_name: str) -> F.Column:
-    """'KEY:count' pairs sorted by key, joined with ','."""
-    return F.col(col_name)
-
-
 def risk_assessment(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """K1–K4 over validated findings (needs severity, confidence, category,
     fusion_score).  With ``scans`` every scan gets a row (empty -> 0 / LOW)."""
