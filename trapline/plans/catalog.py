@@ -1160,3 +1160,58 @@ def q_dom_rules_regex(spark, sf):
                   F.lower("html").alias("_html_l"))
     out = df.select("page_id", F.explode(E.dom_engine()).alias("f"))
     return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
+
+
+A_RE = r"<a([^>]*)>([^<]*)</a>"
+
+
+def _classes(a):
+    return F.trim(F.regexp_replace(_attr(a, "class"), r"\s+", " "))
+
+
+@register("visual_rules_regex", "WITH " + planted_pages_sql() + f""",
+ln AS (SELECT page_id, unnest(regexp_extract_all(html, {O.q(A_RE)}, 1)) AS a,
+              unnest(regexp_extract_all(html, {O.q(A_RE)}, 2)) AS t FROM planted),
+lnf AS (SELECT page_id, trim(regexp_replace(regexp_extract(a, 'class="([^"]*)"', 1), '\\s+', ' ', 'g')) AS cls,
+               regexp_extract(a, 'style="([^"]*)"', 1) AS style, {O.strip('t')} AS text FROM ln),
+bt AS (SELECT page_id, unnest(regexp_extract_all(html, {O.q(BTN_RE)}, 1)) AS a,
+              unnest(regexp_extract_all(html, {O.q(BTN_RE)}, 2)) AS t FROM planted),
+btf AS (SELECT page_id, lower(trim(regexp_replace(regexp_extract(a, 'class="([^"]*)"', 1), '\\s+', ' ', 'g'))) AS cls,
+               lower(regexp_extract(a, 'style="([^"]*)"', 1)) AS style, lower({O.strip('t')}) AS text
+        FROM bt WHERE {O.strip('t')} <> ''),
+agg AS (SELECT page_id,
+               count_if({O.any_contains('text', E.ACCEPT_KW)} AND ({O.any_contains('cls', E.PROMINENT_KW)} OR {O.any_contains('style', E.PROMINENT_KW)})) AS acc,
+               count_if({O.any_contains('text', E.REJECT_KW)} AND ({O.any_contains('cls', E.MUTED_KW)} OR {O.any_contains('style', E.MUTED_KW)})) AS rej,
+               count_if(regexp_matches(style, {O.q('(?:' + '|'.join(f'(?:{p})' for p in E.URGENCY_COLOR_STYLES) + ')')})) AS urgent
+        FROM btf GROUP BY page_id)
+SELECT page_id, 'Fine Print Legal Link' AS type, 'a.' || replace(cls, ' ', '.') AS element
+FROM lnf WHERE text <> '' AND {O.any_contains("lower(style) || lower(cls)", ['small', 'tiny', 'xs', 'text-xs', 'fine-print', 'footnote'])}
+      AND {O.any_contains('lower(text)', E.FINE_PRINT_LEGAL_KW)}
+UNION ALL SELECT page_id, 'Button Visual Misdirection', 'Button pair (visual hierarchy)' FROM agg WHERE acc >= 1 AND rej >= 1
+UNION ALL SELECT page_id, 'Urgency Color Saturation', 'Multiple elements' FROM agg WHERE urgent >= 3""")
+def q_visual_rules_regex(spark, sf):
+    """D11, D13, D14 — the visual engine code over regex-extracted links and
+    buttons (S11 / S12 regex variants; DuckDB-checkable)."""
+    from trapline.functions.columns import py_strip
+    from trapline.sources.extract import SMALL_LINK_KEYWORDS
+    p = planted_pages(spark, sf)
+    h = F.col("html")
+    la = F.arrays_zip(F.regexp_extract_all(h, F.lit(A_RE), 1).alias("a"),
+                      F.regexp_extract_all(h, F.lit(A_RE), 2).alias("t"))
+
+    def link(x):
+        cls, style = _classes(x["a"]), _attr(x["a"], "style")
+        hint = F.when(E._has(F.concat(F.lower(style), F.lower(cls)), SMALL_LINK_KEYWORDS), "small").otherwise("normal")
+        return F.struct(py_strip(x["t"]).alias("text"), _attr(x["a"], "href").alias("href"), cls.alias("classes"),
+                        style.alias("style"), hint.alias("font_size_hint"))
+    links = F.filter(F.transform(la, link), lambda l: l["text"] != "")
+    bt = F.arrays_zip(F.regexp_extract_all(h, F.lit(BTN_RE), 1).alias("a"),
+                      F.regexp_extract_all(h, F.lit(BTN_RE), 2).alias("t"))
+    buttons = F.filter(F.transform(bt, lambda x: F.struct(py_strip(x["t"]).alias("text"), _classes(x["a"]).alias("classes"),
+                                                          _attr(x["a"], "style").alias("style"),
+                                                          F.lit("button").alias("type"), _attr(x["a"], "id").alias("id"))),
+                       lambda b: b["text"] != "")
+    df = p.select("page_id", links.alias("links"), buttons.alias("buttons"),
+                  F.array().cast("array<struct<tag:string,text:string,classes:string>>").alias("text_elements"))
+    out = df.select("page_id", F.explode(E.visual_engine()).alias("f"))
+    return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
