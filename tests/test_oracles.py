@@ -14,7 +14,8 @@ FAST = ["compound_patterns", "findings_calibrated", "calibration_stats", "fusion
         "readability_grades", "readability_findings", "page_signals", "visible_text_regex", "link_regex",
         "request_validation", "repeat_scan_suppression", "cache_stats", "text_chunks", "chunk_features",
         "stream_trust_smoothing", "report_upsert", "report_lookup", "report_export", "finding_views",
-        "signal_mean", "quick_scan", "page_rules_regex", "cookie_rules_regex", "dom_rules_regex", "visual_rules_regex"]
+        "signal_mean", "quick_scan", "page_rules_regex", "cookie_rules_regex", "dom_rules_regex", "visual_rules_regex",
+        "text_rules_regex"]
 
 
 def test_every_oracle_has_a_query():

@@ -1215,3 +1215,55 @@ def q_visual_rules_regex(spark, sf):
                   F.array().cast("array<struct<tag:string,text:string,classes:string>>").alias("text_elements"))
     out = df.select("page_id", F.explode(E.visual_engine()).alias("f"))
     return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
+
+
+TEXT_EL_RE = r"<(span|p|div)(\s[^>]*)?>([^<]*)</(?:span|p|div)>"
+
+
+def _text_rules_sql() -> str:
+    def any_re(expr, pats):
+        return f"regexp_matches({expr}, {O.q('(?:' + '|'.join(f'(?:{p})' for p in pats) + ')')})"
+    strip_t = O.strip("t")
+    return "WITH " + planted_pages_sql() + f""",
+te0 AS (SELECT page_id, regexp_extract_all(html, {O.q(TEXT_EL_RE)}, 1) AS tags,
+               regexp_extract_all(html, {O.q(TEXT_EL_RE)}, 2) AS attrs,
+               regexp_extract_all(html, {O.q(TEXT_EL_RE)}, 3) AS texts FROM planted),
+te AS (SELECT page_id, unnest(tags) AS tag, unnest(attrs) AS a, unnest(texts) AS raw_t,
+              unnest(range(len(tags))) AS i FROM te0),
+te1 AS (SELECT page_id, tag, i, {O.strip('raw_t')} AS t,
+               trim(regexp_replace(regexp_extract(a, 'class="([^"]*)"', 1), '\\s+', ' ', 'g')) AS cls FROM te),
+el AS (SELECT * FROM te1 WHERE length(t) > 5 AND length(t) < 500),
+ctx AS (SELECT page_id, lower(string_agg(t, ' ' ORDER BY i)) AS c FROM el WHERE t <> '' GROUP BY page_id),
+cand AS (
+  SELECT el.page_id, el.i, lower(el.t) AS low, lower({strip_t}) AS k, el.t,
+         CASE WHEN el.cls <> '' THEN el.tag || ' .' || replace(el.cls, ' ', '.') ELSE el.tag END AS element,
+         ({any_re('ctx.c', E.PRICE_CONTEXT)} OR {O.any_contains('ctx.c', E.CTA_KW)}
+          OR {any_re('lower(el.t)', E.PRICE_CONTEXT)} OR {O.any_contains('lower(el.t)', E.CTA_KW)}) AS ok_ctx
+  FROM el JOIN ctx USING (page_id) WHERE el.t <> '' AND length(el.t) < {E.TEXT_MAX_LEN}),
+typed AS (
+  SELECT *, CASE WHEN {any_re('low', E.NUMERIC_SCARCITY)} THEN (CASE WHEN ok_ctx THEN 'Numeric Scarcity Claim' END)
+                 WHEN {any_re('low', E.STANDALONE_URGENCY)} THEN 'Standalone Urgency Claim'
+                 WHEN {O.any_contains('low', E.CONDITIONAL_PHRASES)}
+                   THEN (CASE WHEN regexp_matches(low, '[0-9]+') AND ok_ctx THEN 'Urgency/Scarcity Messaging' END) END AS type
+  FROM cand)
+SELECT page_id, type, element FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY i) AS r FROM typed WHERE type IS NOT NULL)
+WHERE r = 1"""
+
+
+@register("text_rules_regex", _text_rules_sql())
+def q_text_rules_regex(spark, sf):
+    """D8–D10 — the text engine code over regex-extracted leaf span / p / div
+    elements (DuckDB-checkable variant of the parser path)."""
+    from trapline.functions.columns import py_strip
+    p = planted_pages(spark, sf)
+    h = F.col("html")
+    z = F.arrays_zip(F.regexp_extract_all(h, F.lit(TEXT_EL_RE), 1).alias("tag"),
+                     F.regexp_extract_all(h, F.lit(TEXT_EL_RE), 2).alias("a"),
+                     F.regexp_extract_all(h, F.lit(TEXT_EL_RE), 3).alias("t"))
+    els = F.filter(F.transform(z, lambda x: F.struct(x["tag"].alias("tag"), py_strip(x["t"]).alias("text"),
+                                                     _classes(x["a"]).alias("classes"))),
+                   lambda e: (F.length(e["text"]) > 5) & (F.length(e["text"]) < 500))
+    df = p.select("page_id", els.alias("text_elements"))
+    out = df.select("page_id", F.explode(E.text_engine()).alias("f"))
+    return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
