@@ -1267,3 +1267,69 @@ def q_text_rules_regex(spark, sf):
     df = p.select("page_id", els.alias("text_elements"))
     out = df.select("page_id", F.explode(E.text_engine()).alias("f"))
     return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
+
+
+LINK_RULE_TYPES = ["Dark Download Funnel", "Potential Software Bundling / PUA", "Buried Cancellation Link"]
+
+
+def _link_rules_sql() -> str:
+    text = ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'),"
+            " '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))")
+
+    def apex(u):
+        host = f"regexp_replace(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), '^www\\.', '')"
+        return (f"(CASE WHEN len(string_split({host}, '.')) >= 2 THEN array_to_string(string_split({host}, '.')"
+                f"[len(string_split({host}, '.')) - 1:], '.') ELSE {host} END)")
+    ext = f"(starts_with(href, 'http') AND NOT (href <> '' AND url <> '' AND {apex('href')} = {apex('url')}))"
+    return "WITH " + planted_pages_sql() + f""",
+pg AS (SELECT page_id, url, html, lower(html) || ' ' || lower({text}) AS c, html || ' ' || {text} AS bt FROM planted),
+ln AS (SELECT page_id, unnest(regexp_extract_all(html, {O.q(A_RE)}, 1)) AS a,
+              unnest(regexp_extract_all(html, {O.q(A_RE)}, 2)) AS t FROM planted),
+lk AS (SELECT ln.page_id, pg.url, regexp_extract(a, 'href="([^"]*)"', 1) AS href, {O.strip('t')} AS text,
+              trim(regexp_replace(regexp_extract(a, 'class="([^"]*)"', 1), '\\s+', ' ', 'g')) AS cls
+       FROM ln JOIN pg USING (page_id) WHERE {O.strip('t')} <> ''),
+lkf AS (SELECT *, {ext} AS ext FROM lk),
+pl AS (SELECT page_id,
+              bool_or(href <> '' AND ext AND regexp_matches(href, {O.q('(?i)' + E.REDIRECT_DOMAINS)})
+                      AND {O.any_contains('lower(text)', E.DOWNLOAD_ANCHOR_KW)}) AS funnel,
+              bool_or(ext AND {O.any_contains('lower(text)', E.EXTERNAL_DL_KW)}) AS ext_dl,
+              count_if(regexp_matches(text, {O.q('(?i)' + E.CANCEL_KEYWORDS)})) AS n_cancel,
+              count_if(regexp_matches(text, {O.q('(?i)' + E.CANCEL_KEYWORDS)})
+                       AND NOT {O.any_contains('lower(cls)', E.BURIED_LINK_CLASSES)}) AS n_visible_cancel
+       FROM lkf GROUP BY page_id),
+j AS (SELECT pg.*, coalesce(funnel, false) AS funnel, coalesce(ext_dl, false) AS ext_dl,
+             coalesce(n_cancel, 0) AS n_cancel, coalesce(n_visible_cancel, 0) AS n_visible_cancel
+      FROM pg LEFT JOIN pl USING (page_id))
+SELECT page_id, 'Dark Download Funnel' AS type, 'a[href] (download link)' AS element FROM j WHERE funnel
+UNION ALL
+SELECT page_id, 'Potential Software Bundling / PUA', 'a[href] + page text' FROM j
+WHERE regexp_matches(bt, {O.q('(?i)' + E.BUNDLER_SIGNALS)}) AND ext_dl
+UNION ALL
+SELECT page_id, 'Buried Cancellation Link', 'footer a (cancel link)' FROM j
+WHERE {O.any_contains('c', E.SUBSCRIPTION_PAGE_KW)} AND regexp_matches(c, {O.q('(?i)' + E.CANCEL_KEYWORDS)})
+      AND n_cancel > 0 AND n_visible_cancel = 0
+UNION ALL
+SELECT page_id, 'Dark Download Funnel', 'Download Link' FROM lkf
+WHERE contains(lower(href), 'download') AND NOT (starts_with(lower(href), '/') OR starts_with(lower(href), '#'))
+      AND {O.any_contains('lower(href)', E.AD_DOMAINS)}"""
+
+
+@register("link_rules_regex", _link_rules_sql())
+def q_link_rules_regex(spark, sf):
+    """D15, D17, D19, D27 — the advanced / link engine code over
+    regex-extracted links and regex-variant text (DuckDB-checkable)."""
+    from trapline.functions.columns import py_strip
+    p = planted_pages(spark, sf)
+    h = F.col("html")
+    la = F.arrays_zip(F.regexp_extract_all(h, F.lit(A_RE), 1).alias("a"),
+                      F.regexp_extract_all(h, F.lit(A_RE), 2).alias("t"))
+    links = F.filter(F.transform(la, lambda x: F.struct(py_strip(x["t"]).alias("text"), _attr(x["a"], "href").alias("href"),
+                                                        _classes(x["a"]).alias("classes"), F.lit("").alias("style"),
+                                                        F.lit("normal").alias("font_size_hint"))),
+                     lambda l: l["text"] != "")
+    df = p.select("page_id", "url", "html", _regex_text(h).alias("text_content"), links.alias("links"))
+    df = (df.withColumn("_html_l", F.lower("html"))
+          .withColumn("_combined", F.concat(F.col("_html_l"), F.lit(" "), F.lower("text_content"))))
+    out = df.select("page_id", F.explode(F.concat(E.advanced_engine(), E.link_engine())).alias("f"))
+    out = out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
+    return out.where(F.col("type").isin(*LINK_RULE_TYPES))
