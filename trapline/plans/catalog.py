@@ -1333,3 +1333,68 @@ def q_link_rules_regex(spark, sf):
     out = df.select("page_id", F.explode(F.concat(E.advanced_engine(), E.link_engine())).alias("f"))
     out = out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
     return out.where(F.col("type").isin(*LINK_RULE_TYPES))
+
+
+def _timer_price_sql() -> str:
+    from trapline.sources import extract as X
+    cls = "lower(trim(regexp_replace(regexp_extract(a, 'class=\"([^\"]*)\"', 1), '\\s+', ' ', 'g')))"
+    idl = "lower(regexp_extract(a, 'id=\"([^\"]*)\"', 1))"
+    timer = (f"({O.any_contains('cls', X.TIMER_CLASSES)} OR {O.any_contains('idl', X.TIMER_IDS)} "
+             f"OR {O.any_contains('lower(substring(t, 1, 200))', X.TIMER_TEXT_KEYWORDS)} "
+             f"OR {O.any_contains('a', [d + '=' for d in X.TIMER_DATA_ATTRS])})")
+    price = (f"(({O.any_contains('cls', X.PRICE_CLASS_KEYWORDS)} OR {O.any_contains('idl', X.PRICE_CLASS_KEYWORDS)}) "
+             f"AND regexp_matches(t, {O.q(X.CURRENCY_RE.pattern)}) AND length(t) < 80)")
+    return "WITH " + planted_pages_sql() + f""",
+te0 AS (SELECT page_id, html, regexp_extract_all(html, {O.q(TEXT_EL_RE)}, 1) AS tags,
+               regexp_extract_all(html, {O.q(TEXT_EL_RE)}, 2) AS attrs,
+               regexp_extract_all(html, {O.q(TEXT_EL_RE)}, 3) AS texts FROM planted),
+te AS (SELECT page_id, unnest(tags) AS tag, coalesce(unnest(attrs), '') AS a, {O.strip('unnest(texts)')} AS t FROM te0),
+te1 AS (SELECT page_id, tag, a, t, {cls} AS cls, {idl} AS idl FROM te),
+np AS (SELECT page_id, count_if({price}) AS n_prices FROM te1 GROUP BY page_id)
+SELECT page_id, 'Countdown Timer / Fake Urgency' AS type, tag || '.' || cls AS element
+FROM te1 WHERE {timer} AND {O.any_contains('lower(substring(t, 1, 200))', E.TIMER_URGENCY_KW)}
+UNION ALL
+SELECT np.page_id, 'Potential Drip Pricing', 'Multiple price elements'
+FROM np JOIN te0 USING (page_id) WHERE n_prices >= 3 AND {O.any_contains('lower(te0.html)', E.CHECKOUT_SIGNALS)}"""
+
+
+@register("timer_price_rules_regex", _timer_price_sql())
+def q_timer_price_rules_regex(spark, sf):
+    """D4, D5 — the DOM engine's timer and drip-pricing rules over
+    regex-extracted leaf elements (S14 / S15 regex variants)."""
+    from trapline.functions.columns import py_strip
+    from trapline.sources import extract as X
+    p = planted_pages(spark, sf)
+    h = F.col("html")
+    z = F.arrays_zip(F.regexp_extract_all(h, F.lit(TEXT_EL_RE), 1).alias("tag"),
+                     F.regexp_extract_all(h, F.lit(TEXT_EL_RE), 2).alias("a"),
+                     F.regexp_extract_all(h, F.lit(TEXT_EL_RE), 3).alias("t"))
+    els = F.transform(z, lambda x: F.struct(x["tag"].alias("tag"), F.coalesce(x["a"], F.lit("")).alias("a"),
+                                            py_strip(x["t"]).alias("t")))
+
+    def is_timer(e):
+        c, i = F.lower(_classes(e["a"])), F.lower(_attr(e["a"], "id"))
+        return (E._has(c, X.TIMER_CLASSES) | E._has(i, X.TIMER_IDS)
+                | E._has(F.lower(F.substring(e["t"], 1, 200)), X.TIMER_TEXT_KEYWORDS)
+                | E._has(e["a"], [d + "=" for d in X.TIMER_DATA_ATTRS]))
+
+    def is_price(e):
+        c, i = F.lower(_classes(e["a"])), F.lower(_attr(e["a"], "id"))
+        return ((E._has(c, X.PRICE_CLASS_KEYWORDS) | E._has(i, X.PRICE_CLASS_KEYWORDS))
+                & e["t"].rlike(X.CURRENCY_RE.pattern) & (F.length(e["t"]) < 80))
+    timers = F.transform(F.filter(els, is_timer), lambda e: F.struct(
+        e["tag"].alias("tag"), F.substring(e["t"], 1, 200).alias("text"), F.lower(_classes(e["a"])).alias("classes"),
+        F.lower(_attr(e["a"], "id")).alias("id")))
+    prices = F.transform(F.filter(els, is_price), lambda e: F.struct(e["t"].alias("text"),
+                                                                    F.lower(_classes(e["a"])).alias("classes")))
+    empty = "array<struct<{}>>"
+    df = p.select("page_id", "html", timers.alias("timers"), prices.alias("prices"),
+                  F.array().cast(empty.format("checked:boolean,name:string,label:string,id:string")).alias("checkboxes"),
+                  F.array().cast(empty.format("text:string,classes:string,style:string,type:string,id:string"))
+                  .alias("buttons"),
+                  F.array().cast("array<struct<action:string,method:string,text:string,inputs:array<struct<type:string,"
+                                 "name:string,checked:boolean,required:boolean,value:string,placeholder:string>>>>")
+                  .alias("forms"),
+                  F.lower("html").alias("_html_l"))
+    out = df.select("page_id", F.explode(E.dom_engine()).alias("f"))
+    return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
