@@ -29,7 +29,7 @@ from trapline.llm.suffix_dedup import cover, with_spans
 from trapline.llm.windows import repeated_spans
 
 LENGTH = 35
-GRAM = 5
+GRAM = 16
 
 
 class SuffixAutomaton:

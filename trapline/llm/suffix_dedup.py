@@ -30,7 +30,7 @@ from trapline.llm import common as C
 from trapline.llm.windows import repeated_spans
 
 LENGTH = 400
-GRAM = 64
+GRAM = 150
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
