@@ -42,3 +42,28 @@ def op8(rows, length=35):
     seqs = [tuple(WORD.findall(t or "")) for _, t in rows]
     return [(d, len(s), len(hit), sha(" ".join(w for i, w in enumerate(s) if i not in hit)))
             for (d, _), s, hit in zip(rows, seqs, repeated(seqs, length))]
+
+
+def shingle_counts(text, width=5):
+    w = WORD.findall(text or "")
+    return Counter(tuple(w[i:i + width]) for i in range(max(len(w) - width + 1, min(len(w), 1))))
+
+
+def jaccard(a, b):
+    lo, hi = sum((a & b).values()), sum((a | b).values())
+    return lo / hi if hi else 0.0
+
+
+def classes(texts, threshold=0.8):
+    s = [shingle_counts(t) for t in texts]
+    up = list(range(len(s)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i in range(len(s)):
+        for j in range(i):
+            if jaccard(s[i], s[j]) >= threshold:
+                up[find(i)] = find(j)
+    return [find(i) for i in range(len(s))]
