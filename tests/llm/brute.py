@@ -67,3 +67,13 @@ def classes(texts, threshold=0.8):
             if jaccard(s[i], s[j]) >= threshold:
                 up[find(i)] = find(j)
     return [find(i) for i in range(len(s))]
+
+
+def base_counts(text):
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    tri = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if tri[tuple(w[i:i + 3])] > 1 for k in range(3)}
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered),
+            len(w) < 50 or 100 * len(covered) > 50 * len(w))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_tokeniser_fertility": ("fertility", "op1"),
+    "op3_bpe": ("bpe", "op3"),
     "op10_dart_minhash": ("dart_minhash", "op10"),
     "op6_suffix_array_dedup": ("suffix_dedup", "op6"),
     "op8_substring_dedup": ("automaton_dedup", "op8"),
