@@ -37,7 +37,7 @@ from trapline.llm import common as C
 from trapline.session import materialize
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-SPREAD, FLOOR, LEAST = 8.0, 0.05, 100
+SPREAD, FLOOR, LEAST = 6.0, 0.05, 100
 KNOWN_WORDS = 300_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -118,7 +118,7 @@ def _fertility(data, s, e, h, doc, n, vocab):
             known.clear()
             new = list(range(len(keys)))
         text = [raw[a:b].decode() for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())]
-        bpe = enc.encode_ordinary_batch([" " + t for t in text], num_threads=1)
+        bpe = [enc.encode_ordinary(" " + t) for t in text]
         for k, t, b, p in zip(new, text, bpe, sp.encode(text, num_threads=1)):
             known[keys[k]] = (len(b), np.array(p, np.int32).tobytes())
     got = [known[x] for x in keys]
