@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op9_backoff_automaton": ("backoff_automaton", "op9"),
     "op1_tokeniser_fertility": ("fertility", "op1"),
     "op3_bpe": ("bpe", "op3"),
     "op10_dart_minhash": ("dart_minhash", "op10"),
