@@ -77,3 +77,43 @@ def base_counts(text):
     covered = {i + k for i in range(len(w) - 2) if tri[tuple(w[i:i + 3])] > 1 for k in range(3)}
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered),
             len(w) < 50 or 100 * len(covered) > 50 * len(w))
+
+
+def quotes(rows):
+    """(conv, turn, role, own text, n_quoted, n_linked, reply_to, thread, depth) of distinct messages."""
+    out, norm = [], lambda x: " ".join(x.replace("\u00a0", " ").split()).lower()
+    says = re.compile(r"(?i)^[ \t>]*on .* wrote:[ \t]*$")
+    marks = re.compile(r"^((?:[ \t]*>)+)")
+    msgs = {}
+    for c, t, r, x in rows:
+        lines = []
+        for line in re.sub("\r\n?", "\n", x or "").split("\n"):
+            m = marks.match(line)
+            lines.append((re.sub(r"^((?:[ \t]*>)+)[ \t]?", "", line), m.group(1).count(">") if m else 0, bool(says.match(line))))
+        msgs[c, t, r, x] = lines
+    first = {}
+    for (c, t, r, x), lines in msgs.items():
+        for line, level, said in lines:
+            if level == 0 and not said:
+                k = c, norm(line)
+                first[k] = min(first.get(k, (t, r, x)), (t, r, x))
+    parent = {}
+    for (c, t, r, x), lines in msgs.items():
+        votes, quoted, hits = Counter(), 0, 0
+        for line, level, _ in lines:
+            if level:
+                quoted += 1
+                o = first.get((c, norm(line)))
+                if o and re.search(r"\w", norm(line)) and o[0] < t:
+                    hits += 1
+                    if level == 1:
+                        votes[o] += 1
+        parent[c, t, r, x] = (quoted, hits, max(votes, key=lambda o: (votes[o], o[0])) if votes else None)
+    for (c, t, r, x), lines in msgs.items():
+        quoted, hits, up = parent[c, t, r, x]
+        depth, root, p = 0, t, up
+        while p:
+            depth, root, p = depth + 1, p[0], parent[(c, *p)][2]
+        own = "\n".join(line for line, level, said in lines if level == 0 and not said).strip(" ") if quoted else x or ""
+        out.append((c, t, r, own, quoted, hits, up[0] if up else None, root, depth))
+    return out

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapline.llm import common as C
 from trapline.llm.suffix_dedup import cover, with_spans
@@ -131,6 +132,38 @@ def remove_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", text
     return with_spans(rows, spans).mapInArrow(_apply, _OUT)
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH, keep: str = "none", text: str = "text", doc_id: str = "doc_id",
+            chars: str = "n_chars", gram: int = GRAM) -> DataFrame:
+    """The documents with their columns.  Where words were removed the text is
+    what ``kept`` holds, and ``chars`` (if there is such a column) its length;
+    all other texts stay as they are, white space included."""
+    rows = C.keyed(docs, text, doc_id)
+    spans = repeated_spans(rows, "word", length, min(gram, length), matches, keep == "first")
+    by_key = spans.groupBy("did", "tkey").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = docs.select(row, F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("did"), F.xxhash64(F.col(doc_id).cast("long"), t).alias("tkey"))
+    whole = whole.join(by_key, ["did", "tkey"], "left").select(
+        "row", F.when(F.col("spans").isNotNull(), F.coalesce(F.col("row")[text].cast("string"), F.lit(""))).otherwise(F.lit("")).alias("text"), "spans")
+    out = T.StructType([whole.schema["row"], T.StructField("kept", T.StringType())])
+
+    def cut(batches):
+        for batch in batches:
+            own = batch.select(["row"])
+            kept = [x for b in _apply(iter([_numbered(batch)])) for x in b.column("kept").to_pylist()]
+            hit = np.diff(batch.column("spans").offsets.to_numpy()) > 0 if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([k if h else None for k, h in zip(kept, hit)], pa.string())], ["row", "kept"])
+    whole = whole.mapInArrow(cut, out)
+    new = {text: F.coalesce("kept", F.col("row")[text])}
+    if chars in docs.columns:
+        new[chars] = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema[chars].dataType)).otherwise(F.col("row")[chars])
+    return whole.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def _numbered(batch):
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column("text"), batch.column("spans")], ["doc_id", "text", "spans"])
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_spans(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -227,6 +227,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
                                            (F.struct("did", "tkey") == F.col("head")).alias("first")))
 
 
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """The first document of each class, with its columns; rows repeated whole
+    stay once."""
+    head = classes(docs, text=text, doc_id=doc_id, **settings).where("first").select("did", "tkey").distinct()
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("did"),
+                       F.xxhash64(F.col(doc_id).cast("long"), t).alias("tkey"))
+    return rows.join(head, ["did", "tkey"]).dropDuplicates(["did", "tkey"]).select("row.*")
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classes(docs).select("doc_id", "class_id", "class_size")

@@ -5,13 +5,17 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
-    "op9_backoff_automaton": ("backoff_automaton", "op9"),
     "op1_tokeniser_fertility": ("fertility", "op1"),
+    "op2_projection_forest": ("projection_forest", "op2"),
     "op3_bpe": ("bpe", "op3"),
-    "op10_dart_minhash": ("dart_minhash", "op10"),
+    "op4_quotation_linking": ("quotes", "op4"),
+    "op5_raking": ("raking", "op5"),
     "op6_suffix_array_dedup": ("suffix_dedup", "op6"),
+    "op7_kneser_ney_quality": ("kneser_ney", "op7"),
     "op8_substring_dedup": ("automaton_dedup", "op8"),
+    "op9_backoff_automaton": ("backoff_automaton", "op9"),
+    "op10_dart_minhash": ("dart_minhash", "op10"),
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"trapline.llm.{module}"), fn) for name, (module, fn) in _MODULES.items()}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_raking": importlib.import_module("trapline.llm.raking").oracle()}
