@@ -95,10 +95,32 @@ def materialize(df, name: str = "stage"):
     Survives executor loss (the table lives on shared storage)."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    _scratch.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+#: Tables that ``materialize`` has written and nobody has discarded.
+_scratch: list[str] = []
+
+
+def scratch_tables() -> list[str]:
+    return list(_scratch)
+
+
+def discard(spark: SparkSession, paths: list[str], needed_by=None) -> None:
+    """Delete scratch tables, but for those that ``needed_by`` (a DataFrame) reads."""
+    files = needed_by.inputFiles() if needed_by is not None and paths else []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        if any(f"/{os.path.basename(path)}/" in f for f in files):
+            continue
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _scratch:
+            _scratch.remove(path)
+
+
 def ensure_parallelism(df, key: str | None = None, factor: int = 2):
     """Spread a CPU-heavy narrow stage over the cluster.
 
