@@ -183,17 +183,19 @@ def repeated_spans(rows: DataFrame, unit: str, length: int, gram: int, resolver,
     ordered by key and position).  ``rows`` are those of ``common.keyed``."""
     b = materialize(rows.select("did", "tkey", "text").mapInArrow(_block_rows(unit, length, gram), _BLOCK), "blocks")
     place = F.struct("did", "tkey", "start")
-    same = b.groupBy("h", "ch").agg(F.count("*").alias("c"), F.min(place).alias("first"), F.max("n").alias("n"))
-    same = materialize(same, "contents")
+    same = materialize(b.groupBy("h", "ch").agg(F.count("*").alias("c")), "contents")
     mixed = (same.groupBy("h").agg(F.count("*").alias("nc"), F.sum((F.col("c") == 1).cast("int")).alias("n1"))
-             .where("nc > 1" + ("" if keep_first else " and n1 > 0")))
-    many = same.where("c > 1").select("h", "ch", "first")
-    copies = b.join(many, ["h", "ch"])
+             .where("nc > 1" + ("" if keep_first else " and n1 > 0")).select("h", "nc"))
+    known = same.join(mixed, "h", "left").where("c > 1 or nc is not null")
+    shared = materialize(b.join(known, ["h", "ch"]), "shared")
+    first = F.min(F.struct("did", "tkey", "start", "n")).alias("first")
+    copies = shared.where("c > 1")
     if keep_first:
-        copies = copies.where(place != F.col("first"))
+        lead = copies.groupBy("h", "ch").agg(first)
+        copies = copies.join(lead, ["h", "ch"]).where(place != F.struct("first.did", "first.tkey", "first.start"))
     copies = copies.select("did", "tkey", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
-    want = (same.join(mixed.select("h", "nc"), "h")
-            .select("first.did", "first.tkey", F.struct("h", "ch", "nc", "c", "first.start", "n").alias("w"))
+    want = (shared.where("nc is not null").groupBy("h", "ch").agg(first, F.first("nc").alias("nc"), F.first("c").alias("c"))
+            .select("first.did", "first.tkey", F.struct("h", "ch", "nc", "c", "first.start", "first.n").alias("w"))
             .groupBy("did", "tkey").agg(F.collect_list("w").alias("want")))
     body = materialize(rows.select("did", "tkey", "text").join(want, ["did", "tkey"]).select("did", "tkey", "text", "want")
                        .mapInArrow(_bodies(unit, length), _BODY), "bodies")
