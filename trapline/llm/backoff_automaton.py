@@ -243,7 +243,7 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    rows = C.bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
                        (F.crc32(ident) % 5 == 1).alias("held_out"))
     train = rows.where(~F.col("held_out"))
     counts = materialize(_total(train, lambda tok, at: C.as_long(tok)), "words")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from trapline.llm import common as C
 
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -166,7 +166,7 @@ def digest_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
 
 
 def _texts(docs, text, doc_id):
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return C.bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
 def vocabulary() -> str:

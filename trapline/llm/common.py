@@ -116,11 +116,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n - w + 1], ahead[w - 1:n])
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lets Arrow batches hold 1,000 rows, not 10,000, unless the session has a
+    setting of its own: rows here are whole texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return df
+
+
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, text (null: empty) and the row's key (did, tkey): rows of equal
     key have the same id and the same text, hence the same result.  Columns of
     any other name are left behind, so they cannot clash."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    docs = bounded_batches(docs)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"),
                        F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("did"),
                        F.xxhash64(F.col(doc_id).cast("long"), t).alias("tkey"))

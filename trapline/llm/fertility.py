@@ -8,8 +8,9 @@ its language breaks into more or fewer pieces, falls back to bytes or repeats
 its tokens.  A document is rejected when a measure leaves the band of its
 language: median -+ ``spread`` robust deviations (1.4826 x MAD, at least
 ``floor`` times the median).  Bands come from all documents of the language; a
-language with under ``least`` documents that pass the base rules takes the bands
-of its script, and a script with fewer has none.
+language with under ``least`` documents that pass the base rules (or under the
+share LEAST_SHARE of them) takes the bands of its script, and a script with
+fewer has none.  So there are at most 1 / LEAST_SHARE bands, which are broadcast.
 
 Simple counts of words, symbols, repeated lines and repeated three-word windows
 come with the measures; too few words or too much repetition fails a document
@@ -37,8 +38,8 @@ from trapline.llm import common as C
 from trapline.session import materialize
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-SPREAD, FLOOR, LEAST = 6.0, 0.05, 100
-KNOWN_WORDS = 300_000
+SPREAD, FLOOR, LEAST, LEAST_SHARE = 6.0, 0.05, 100, 1e-4
+KNOWN_WORDS = 100_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SCRIPTS = ["other", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "east asian"]
@@ -142,7 +143,7 @@ def _fertility(data, s, e, h, doc, n, vocab):
     return byte_tokens, total.astype(np.int64), spill, entropy / np.log2(np.maximum(total, 2))
 
 
-def _measure(paths):
+def _measure(paths, carried: bool):
     def rows(batches):
         vocab = vocabularies(*paths)
         for batch in batches:
@@ -159,7 +160,8 @@ def _measure(paths):
                            pa.array([SCRIPTS[k] for k in script], pa.string())]
                 names = COUNTS + MEASURES + ["script"]
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("lang"), *arrays], ["row", "lang", *names])
+                own = ["row", "text", "lang"] if carried else ["row", "lang"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, own), *arrays], [*own, *names])
     return rows
 
 
@@ -168,26 +170,29 @@ def default_vocabularies() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.tiktoken"), P.path("piece_bpe_32k.model"), P.PATTERN
 
 
-def _judged(docs: DataFrame, row, paths, text, lang, spread, floor, least) -> DataFrame:
-    """row (as given), lang, counts, measures, script, base_failed, kept, failed
+def _judged(docs: DataFrame, row, paths, text, lang, spread, floor, least, carried=False) -> DataFrame:
+    """row (as given), text (if carried), lang, counts, measures, script, base_failed, kept, failed
     (the measures out of band)."""
-    source = docs.select(row.alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    # a null text comes as an empty one: its offsets in the Arrow batch are equal
+    source = C.bounded_batches(docs).select(row.alias("row"), F.col(text).cast("string").alias("text"),
                          F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
-    out = T.StructType([source.schema["row"], T.StructField("lang", T.StringType()),
+    out = T.StructType([source.schema["row"], *([source.schema["text"]] if carried else []), T.StructField("lang", T.StringType()),
                         *[T.StructField(c, T.LongType()) for c in COUNTS], *[T.StructField(c, T.DoubleType()) for c in MEASURES],
                         T.StructField("script", T.StringType())])
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    table = materialize(source.mapInArrow(_measure(paths or default_vocabularies()), out).withColumn("base_failed", base), "fertility")
+    table = materialize(source.mapInArrow(_measure(paths or default_vocabularies(), carried), out).withColumn("base_failed", base), "fertility")
+
+    passed = table.where(~F.col("base_failed")).count()
 
     def bands(by: str) -> DataFrame:
         sound = table.where(~F.col("base_failed")).select(by, *MEASURES)
         mid = sound.groupBy(by).agg(F.count("*").alias("docs"), *[F.percentile_approx(m, 0.5, 10000).alias(f"mid_{m}") for m in MEASURES])
-        mid = mid.where(F.col("docs") >= least)
-        off = sound.join(mid, by).groupBy(by).agg(*[F.percentile_approx(F.abs(F.col(m) - F.col(f"mid_{m}")), 0.5, 10000).alias(f"off_{m}") for m in MEASURES])
+        mid = mid.where(F.col("docs") >= max(least, LEAST_SHARE * passed))
+        off = sound.join(F.broadcast(mid), by).groupBy(by).agg(*[F.percentile_approx(F.abs(F.col(m) - F.col(f"mid_{m}")), 0.5, 10000).alias(f"off_{m}") for m in MEASURES])
         return mid.join(off, by).select(by, F.struct(*[F.struct(
             F.col(f"mid_{m}").alias("mid"), F.greatest(1.4826 * F.col(f"off_{m}"), floor * F.abs(F.col(f"mid_{m}")), F.lit(0.002)).alias("dev")).alias(m)
             for m in MEASURES]).alias(f"band_{by}"))
-    full = table.join(bands("lang"), "lang", "left").join(bands("script"), "script", "left")
+    full = table.join(F.broadcast(bands("lang")), "lang", "left").join(F.broadcast(bands("script")), "script", "left")
     band = F.coalesce("band_lang", "band_script")
     # fallback bytes are judged upwards only, entropy downwards only
     low = {m: F.col(m) < band[m]["mid"] - spread * band[m]["dev"] for m in MEASURES if m != "fallback_share"}
@@ -205,9 +210,9 @@ def judge(docs: DataFrame, paths=None, text="text", lang="lang", doc_id="doc_id"
 
 def accepted(docs: DataFrame, paths=None, text="text", lang="lang", spread=SPREAD, floor=FLOOR, least=LEAST) -> DataFrame:
     """The documents that are kept, with their columns."""
-    if not docs.columns:
-        return docs
-    return _judged(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), paths, text, lang, spread, floor, least).where("kept").select("row.*")
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    out = _judged(docs, row, paths, text, lang, spread, floor, least, carried=True).where("kept")
+    return out.select(*[F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -183,7 +183,7 @@ def _perplexity(model):
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, slack: float = SLACK,
              least: int = LEAST, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, lang, n_tokens (words), log10_prob, perplexity, threshold, trained, kept."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    rows = C.bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
     good = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     trusted = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good")).where("doc_id is not null")
