@@ -127,3 +127,26 @@ def test_ml_anchor(spark):
         "chunk string, els array<struct<tag:string,text:string,classes:string>>")
     r = df.select(anchor_element(F.col("chunk"), F.col("els")).alias("a")).collect()[0]
     assert r.a.tag == "span"
+
+
+def test_chunks_keep_all_characters(spark):
+    from trapline.operators.ml import chunks
+    text = "Short. " + "long words " * 200 + ".\n\nAnother piece. x"
+    got = "".join(r.chunk for r in chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("chunk_no").collect())
+    drop = str.maketrans("", "", " .\n")
+    assert got.translate(drop) == text.translate(drop)
+
+
+def test_tracking_marks_are_their_own_list(spark):
+    from trapline.operators.ml import page_ml_signals
+    rows = [(1, "<script>ga('create', 1)</script>"), (2, "https://cdn.MIXPANEL.com/x"), (3, "<p>nothing</p>"), (4, None)]
+    df = spark.createDataFrame([(*r, [], []) for r in rows], "page_id int, html string, checkboxes array<int>, forms array<int>")
+    assert [r.has_tracking_scripts for r in page_ml_signals(df).orderBy("page_id").collect()] == [True, True, False, False]
+
+
+def test_long_refresh_delay_does_not_fail(spark):
+    from pyspark.sql import functions as F
+
+    from trapline.operators.detectors import engines as E
+    df = spark.createDataFrame([('<meta http-equiv="refresh" content="99999999999999999999">',)], "html string")
+    assert df.select(F.regexp_extract("html", E.META_REFRESH, 1).try_cast("long").alias("d")).collect()[0].d is None

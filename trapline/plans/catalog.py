@@ -573,7 +573,7 @@ SELECT page_id, domain,
        CASE WHEN len(parts) >= 2 THEN array_to_string(parts[len(parts) - 1:], '.') ELSE array_to_string(parts, '.') END AS apex,
        coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), domain) AS title,
        CASE WHEN {O.any_contains('lower(html)', E.AUTH_PHRASES)} THEN 'unauthenticated' ELSE 'unknown' END AS auth_state,
-       CAST(coalesce(nullif(regexp_extract(html, {O.q(E.META_REFRESH)}, 1), ''), '-1') AS BIGINT) AS refresh_delay,
+       TRY_CAST(coalesce(nullif(regexp_extract(html, {O.q(E.META_REFRESH)}, 1), ''), '-1') AS BIGINT) AS refresh_delay,
        array_to_string(list_slice(list_distinct_ordered, 1, {E.MAX_TRACKERS}), ', ') AS trackers
 FROM (SELECT *, {TRACKER_SQL_NAMES} AS list_distinct_ordered FROM s)""")
 def q_page_signals(spark, sf):
@@ -586,7 +586,7 @@ def q_page_signals(spark, sf):
         "page_id", dom.alias("domain"), E.apex(F.col("url")).alias("apex"),
         F.coalesce(F.nullif(title, F.lit("")), dom).alias("title"),
         E.auth_state(F.col("html")).alias("auth_state"),
-        F.coalesce(F.nullif(F.regexp_extract("html", E.META_REFRESH, 1), F.lit("")), F.lit("-1")).cast("bigint")
+        F.coalesce(F.nullif(F.regexp_extract("html", E.META_REFRESH, 1), F.lit("")), F.lit("-1")).try_cast("bigint")
         .alias("refresh_delay"),
         F.array_join(E.tracker_names(F.col("html")), ", ").alias("trackers"))
 
@@ -741,8 +741,8 @@ e AS (SELECT doc_id, unnest(parts) AS c, unnest(range(len(parts))) AS chunk_no F
 ch AS (SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, {strip} AS chunk FROM e)"""
 
 
-@register("text_chunks", _chunks_sql() + f"""
-SELECT * FROM ch WHERE length(chunk) > {M.CHUNK_MIN} AND length(chunk) < {M.CHUNK_MAX}""")
+@register("text_chunks", _chunks_sql() + """
+SELECT * FROM ch WHERE length(chunk) > 0""")
 def q_chunks(spark, sf):
     from trapline.sources.tables import read_table
     return M.chunks(read_table(spark, sf, "documents"))
@@ -764,7 +764,7 @@ def _features_sql() -> str:
         *[f"CASE WHEN regexp_matches({low}, {O.q(p)}) THEN 1.0 ELSE 0.0 END" for p in M.FLAG_PATTERNS],
     ]
     cols = ", ".join(f"{f} AS {n}" for f, n in zip(feats, M.FEATURE_COLS))
-    return f"SELECT doc_id, chunk_no, chunk, {cols} FROM ch WHERE length(chunk) > {M.CHUNK_MIN} AND length(chunk) < {M.CHUNK_MAX}"
+    return f"SELECT doc_id, chunk_no, chunk, {cols} FROM ch WHERE length(chunk) > 0"
 
 
 @register("chunk_features", _chunks_sql() + "\n" + _features_sql())
