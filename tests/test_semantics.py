@@ -150,3 +150,34 @@ def test_long_refresh_delay_does_not_fail(spark):
     from trapline.operators.detectors import engines as E
     df = spark.createDataFrame([('<meta http-equiv="refresh" content="99999999999999999999">',)], "html string")
     assert df.select(F.regexp_extract("html", E.META_REFRESH, 1).try_cast("long").alias("d")).collect()[0].d is None
+
+
+def test_extraction_is_whole_and_linear():
+    import time
+    from trapline.sources.extract import extract_page
+    long = "word " * 200 + "hurry, offer ends soon"
+    d = extract_page(f"<div><p>{long}</p><button>{long}</button><a href=x>{long}</a><form>{long}</form>"
+                     f"<label><input type=checkbox>{long}</label></div>", "https://host.example/p")
+    assert d["buttons"][0]["text"] == long and d["links"][0]["text"] == long and d["forms"][0]["text"] == long
+    assert d["checkboxes"][0]["label"] == long
+    # the form is no text tag: its text is the div's own
+    assert [(t["tag"], t["text"]) for t in d["text_elements"]] == [(k, long) for k in ("div", "p", "button", "a", "label")]
+    assert any(t["tag"] == "p" and t["text"] == long for t in d["timers"])
+    assert extract_page("<p>Only&nbsp;2 left</p>", None)["text_content"] == "Only 2 left"
+
+    def seconds(n):
+        start = time.perf_counter()
+        extract_page("<b>x " * n + "</i>" * n, None)
+        return time.perf_counter() - start
+    seconds(1000)
+    assert seconds(16000) < 16 * 8 * max(seconds(1000), 0.002)
+
+
+def test_text_engine_many_hits(spark):
+    from pyspark.sql import functions as F
+    from trapline.operators.detectors import engines as E
+    rows = [(1, [("p", f"Only {i % 1600} left for $9", "") for i in range(3200)])]
+    df = spark.createDataFrame(rows, "page_id int, text_elements array<struct<tag:string,text:string,classes:string>>")
+    out = df.select(F.posexplode(E.text_engine()).alias("i", "f")).select("i", "f.evidence", "f.type").orderBy("i").collect()
+    assert [r.evidence for r in out] == [f'"Only {i} left for $9"' for i in range(1600)]
+    assert {r.type for r in out} == {"Numeric Scarcity Claim"}

@@ -31,3 +31,25 @@ def test_report_sink_last_write_wins(spark):
     exp = {r.user_id: r.e for r in ev_b.groupBy("user_id").agg(
         F.max_by("event_id", F.struct("ts", "event_id")).alias("e")).collect()}
     assert latest == exp
+
+
+def test_stream_suppression_equals_batch_over_several_batches(spark):
+    """Five files, one per trigger: state is read back, and expires."""
+    import uuid
+    from trapline.session import scratch_path
+    from trapline.sources import requests as RQ
+    from trapline.sources.tables import read_table
+    from trapline.streaming import incremental as ST
+    ev = read_table(spark, SF_SMALL, "events")
+    path = scratch_path(spark, f"events-{uuid.uuid4().hex}")
+    cuts = [None, *ev.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile("t", [0.2, 0.4, 0.6, 0.8], 0.001), None]
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = ev if lo is None else ev.where(t >= lo)
+        (part if hi is None else part.where(t < hi)).coalesce(1).write.mode("append").parquet(path)
+    stream = ST.file_stream(spark, path, ev.schema, max_files=1)
+    out = ST.run_available_now(ST.suppress_repeats_stream(RQ.validated_requests(RQ.request_overlay(spark, SF_SMALL, stream))), "s5")
+    cols = ["event_id", "cache_key", "cache_hit", "cache_lookup"]
+    got = sorted(map(tuple, spark.read.parquet(out).select(*cols).collect()))
+    exp = sorted(map(tuple, RQ.suppress_repeats(RQ.validated_requests(RQ.request_overlay(spark, SF_SMALL))).select(*cols).collect()))
+    assert got == exp and len(got) > 0

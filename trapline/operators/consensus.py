@@ -129,23 +129,30 @@ def _keep_best(df: DataFrame, keys: list, pos_col: str, new_pos: str) -> DataFra
             .where(F.col("_best") == 1).drop("_best", pos_col))
 
 
-def dedupe_and_cap(tagged: DataFrame, cap: int = fixed.MAX_PER_CATEGORY,
-                   compound_cap: int = fixed.MAX_COMPOUND) -> DataFrame:
-    """A8–A11.  Adds rank_in_category and cat_first (category order key)."""
+def dedupe_and_cap(tagged: DataFrame, cap: int | None = fixed.MAX_PER_CATEGORY,
+                   compound_cap: int | None = fixed.MAX_COMPOUND, evidence_chars: int | None = None) -> DataFrame:
+    """A8–A11.  Adds rank_in_category and cat_first (category order key).
+    A10 compares whole evidence texts (``evidence_chars``: only a prefix); a
+    cap of None keeps every finding."""
     e = F.col("_el")
     generic = in_list(e, fixed.GENERIC_ELEMENTS)
     tkey = F.lower(py_strip(F.col("type")))
+    evidence = F.coalesce(F.col("evidence"), F.lit(""))
+    if evidence_chars is not None:
+        evidence = F.substring(evidence, 1, evidence_chars)
     d = (tagged.withColumn("_tkey", tkey)
          .withColumn("_generic", generic)
          .withColumn("_ekey", F.when(F.col("_generic"), F.col("_tkey")).otherwise(e))
-         .withColumn("_vkey", py_strip(F.lower(F.substring(F.coalesce(F.col("evidence"), F.lit("")), 1, 60)))))
+         .withColumn("_vkey", py_strip(F.lower(evidence))))
     d = _keep_best(d, ["scan_id", "category", "_tkey"], "k5", "k8")
     d = _keep_best(d, ["scan_id", "category", "_generic", "_ekey"], "k8", "k9")
     d = _keep_best(d, ["scan_id", "category", "_vkey"], "k9", "k10")
     sev_rank = lookup(F.col("severity"), fixed.SEVERITY_RANK, 1)
     w = Window.partitionBy("scan_id", "category").orderBy(sev_rank.desc(), F.col("confidence").desc(),
                                                          F.col("k10").asc())
-    limit = F.when(F.col("category") == fixed.COMPOUND_CATEGORY, compound_cap).otherwise(cap)
+    every = (1 << 31) - 1
+    limit = F.when(F.col("category") == fixed.COMPOUND_CATEGORY, every if compound_cap is None else compound_cap).otherwise(
+        every if cap is None else cap)
     # category order = earliest position of any member before the cap
     wc = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (d.withColumn("cat_first", F.min("k10").over(wc))
@@ -154,7 +161,7 @@ def dedupe_and_cap(tagged: DataFrame, cap: int = fixed.MAX_PER_CATEGORY,
             .drop("_tkey", "_generic", "_ekey", "_vkey", "_el"))
 
 
-def aggregate(fused: DataFrame, scans: DataFrame, cap: int = fixed.MAX_PER_CATEGORY,
-              compound_cap: int = fixed.MAX_COMPOUND) -> DataFrame:
+def aggregate(fused: DataFrame, scans: DataFrame, cap: int | None = fixed.MAX_PER_CATEGORY,
+              compound_cap: int | None = fixed.MAX_COMPOUND) -> DataFrame:
     """The validated findings of every scan."""
     return dedupe_and_cap(consensus_tag(residual_filter(gate(fused, scans))), cap, compound_cap)

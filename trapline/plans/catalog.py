@@ -530,7 +530,7 @@ def _rd_findings_sql():
                 f"{O.dbl(conf)} AS confidence, {O.q(el)} AS element, {ev} AS evidence FROM g WHERE {cond}")
     g1 = "printf('%.1f', fk_grade)"
     return f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS l FROM documents
-           WHERE length(coalesce(text, '')) >= {RD.MIN_TEXT_CHARS}),
+           WHERE length(coalesce(text, '')) >= 0),
 g AS (SELECT doc_id, l, {_rd_grade_sql("t")}, CAST(len({lw}) AS BIGINT) AS nlw,
              CASE WHEN len({lw}) > 0 THEN {dens} ELSE 0.0 END AS density, {phr} AS phr FROM b)
 {row(RD.D30, "fk_grade >= 16", f"'FK Grade Level: ' || {g1} || '/20 (college graduate+ required to comprehend)'")}
@@ -574,7 +574,7 @@ SELECT page_id, domain,
        coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), domain) AS title,
        CASE WHEN {O.any_contains('lower(html)', E.AUTH_PHRASES)} THEN 'unauthenticated' ELSE 'unknown' END AS auth_state,
        TRY_CAST(coalesce(nullif(regexp_extract(html, {O.q(E.META_REFRESH)}, 1), ''), '-1') AS BIGINT) AS refresh_delay,
-       array_to_string(list_slice(list_distinct_ordered, 1, {E.MAX_TRACKERS}), ', ') AS trackers
+       array_to_string(list_distinct_ordered, ', ') AS trackers
 FROM (SELECT *, {TRACKER_SQL_NAMES} AS list_distinct_ordered FROM s)""")
 def q_page_signals(spark, sf):
     """S6 domain, S7 apex, S9 title (regex variant), S17 auth state, D16
@@ -832,20 +832,18 @@ def q_stream_smoothing(spark, sf):
     return spark.read.parquet(path).select("scan_id", "domain", "raw_score", "smoothed_score", "history_depth")
 
 
-@register("stream_request_dedupe")
+@register("stream_request_dedupe", SUPPRESS_SQL + """
+SELECT event_id, cache_key, cache_hit, cache_lookup FROM rec""")
 def q_stream_dedupe(spark, sf):
-    """S5 streaming: requests re-read as a file stream, repeat requests of a
-    cache key dropped within the TTL watermark (rows-only check)."""
+    """S5 streaming: the request overlay over a file stream; must equal the
+    batch fold."""
     import os
     from trapline.sources.tables import read_table
     schema = read_table(spark, sf, "events").schema
     ev = ST.file_stream(spark, os.path.join(sf, "events.parque[t]"), schema)
-    host = F.concat(F.lit("https://Host"), (F.col("user_id") % 8).cast("string"), F.lit(".example.com/p"),
-                    (F.col("event_id") % 3).cast("string"))
-    req = ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"), host.alias("url"))
-    req = req.withColumn("cache_key", RQ.cache_key(F.col("url")))
-    path = ST.run_available_now(RQ.dedupe_stream(req), "stream-dedupe")
-    return spark.read.parquet(path).select("event_id", "cache_key")
+    req = RQ.validated_requests(RQ.request_overlay(spark, sf, ev))
+    path = ST.run_available_now(ST.suppress_repeats_stream(req), "stream-dedupe")
+    return spark.read.parquet(path).select("event_id", "cache_key", "cache_hit", "cache_lookup")
 
 
 @register("report_upsert", """
@@ -1074,7 +1072,7 @@ def _cookie_rules_sql() -> str:
 b AS (SELECT page_id, html, {text} AS t FROM planted),
 f AS (SELECT page_id, regexp_matches(t, {O.q(E.COOKIE_ACCEPT)}) AS acc, regexp_matches(t, {O.q(E.COOKIE_REJECT)}) AS rej,
              regexp_matches(t, {O.q(E.COOKIE_SETTINGS)}) AS sett, regexp_matches(t, {O.q(E.COOKIE_CONTEXT)}) AS ctx,
-             list_slice(list_distinct_ordered, 1, {E.MAX_TRACKERS}) AS tr
+             list_distinct_ordered AS tr
       FROM (SELECT *, {names} AS list_distinct_ordered FROM b))
 SELECT page_id, 'COOKIE_MANIPULATION' AS type,
        CASE WHEN acc AND NOT rej AND NOT sett AND ctx THEN 'cookie_wall' WHEN acc AND sett AND NOT rej AND ctx THEN 'privacy'

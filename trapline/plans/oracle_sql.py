@@ -312,7 +312,7 @@ a7 AS (
          CAST(n_cat2 AS BIGINT) AS consensus_engine_count,
          lower({strip('type')}) AS _tkey,
          _el IN {sql_list(fixed.GENERIC_ELEMENTS)} AS _generic,
-         {strip("lower(substring(coalesce(evidence, ''), 1, 60))")} AS _vkey
+         {strip("lower(coalesce(evidence, ''))")} AS _vkey
   FROM a7a),
 a8 AS (
   SELECT * EXCLUDE (_r, k5) FROM (

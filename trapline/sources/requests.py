@@ -73,11 +73,12 @@ def validate(url: Column, cookie_count: Column | None = None,
     return err.isNull(), err, F.when(err.isNull(), clean)
 
 
-def request_overlay(spark, sf_dir: str) -> DataFrame:
+def request_overlay(spark, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Overlay C: scan requests derived from events (url mix incl. bad
     schemes, pseudo schemes, missing scheme, invalid characters and nulls;
-    'signup' carries cookies, 'error' forces a refresh)."""
-    ev = read_table(spark, sf_dir, "events")
+    'signup' carries cookies, 'error' forces a refresh).  ``events`` may be the
+    same table as a stream."""
+    ev = read_table(spark, sf_dir, "events") if events is None else events
     host = F.concat(F.lit("Host"), (F.col("user_id") % 8).cast("string"), F.lit(".example.com/p"),
                     (F.col("event_id") % 3).cast("string"),
                     F.when(F.col("event_id") % 2 == 0, F.lit("/")).otherwise(F.lit("")))
@@ -153,12 +154,3 @@ def cache_stats(flags: DataFrame) -> DataFrame:
     return flags.agg(hits.alias("hits"), (looks - hits).alias("misses"),
                      F.when(looks > 0, F.round(hits / looks, 3)).otherwise(F.lit(0.0)).alias("hit_rate"),
                      F.countDistinct("cache_key").cast("bigint").alias("keys"))
-
-
-def dedupe_stream(stream: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """S5 (streaming): drop repeat requests of a key within the TTL using a
-    watermark; state per key is evicted by the watermark.  Streaming keeps
-    the first request per key inside the watermark window (TTL from the first
-    write), which is the streaming counterpart of the batch fold."""
-    return (stream.withWatermark("ts", f"{ttl_seconds} seconds")
-            .dropDuplicatesWithinWatermark(["cache_key"]))

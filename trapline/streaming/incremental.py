@@ -1,6 +1,8 @@
 """Structured Streaming forms of the stateful operators.
 
-* S5  — repeat-request suppression with a watermark (dropDuplicatesWithinWatermark).
+* S5  — repeat-request suppression with the last write of each cache key as
+  state, by the batch fold's rule; state expires once the watermark has passed
+  last write + TTL, when it can no longer serve a request.
 * T1/T2 — per-domain trust smoothing with keyed state holding the last five
   recorded (smoothed) scores: ``applyInPandasWithState``; state size is O(5)
   per domain and groups are bounded by the micro-batch size.
@@ -26,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trapline.functions import fixed
 from trapline.session import scratch_path
+from trapline.sources.requests import CACHE_TTL_SECONDS
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 64) -> DataFrame:
@@ -34,6 +37,46 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
             .option("maxFilesPerTrigger", max_files).load(path))
 
 
+# ----------------------------------------------------------------- S5 -------
+SUPPRESS_OUT = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("cache_key", T.StringType()),
+    T.StructField("cache_hit", T.BooleanType()), T.StructField("cache_lookup", T.BooleanType())])
+SUPPRESS_STATE = T.StructType([T.StructField("last_write", T.LongType())])
+
+
+def _suppress_group(ttl_us: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        batch = pd.concat(list(pdfs)).sort_values(["ts_us", "event_id"])
+        hit, lookup = [], []
+        for ts, cookies, force in zip(batch["ts_us"].tolist(), batch["cookies"].tolist(), batch["force_refresh"].tolist()):
+            asks = not cookies and not force
+            served = asks and last is not None and ts - last < ttl_us
+            if not cookies and not served:
+                last = ts                         # a miss or a forced refresh writes
+            lookup.append(asks)
+            hit.append(served)
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + ttl_us) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"event_id": batch["event_id"].values, "ts": batch["ts"].values, "cache_key": key[0],
+                            "cache_hit": hit, "cache_lookup": lookup})
+    return fn
+
+
+def suppress_repeats_stream(requests: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """S5 on a stream of validated requests (see ``requests.validated_requests``);
+    requests later than ``delay`` behind the watermark are dropped."""
+    ts = F.col("ts").cast("timestamp")
+    v = requests.where("ok").select("event_id", ts.alias("ts"), "cache_key", F.coalesce("force_refresh", F.lit(False)).alias("force_refresh"),
+                                    F.col("cookie_count").isNotNull().alias("cookies"), F.unix_micros(ts).alias("ts_us"))
+    return v.withWatermark("ts", delay).groupBy("cache_key").applyInPandasWithState(
+        _suppress_group(ttl_seconds * 1_000_000), SUPPRESS_OUT, SUPPRESS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # ------------------------------------------------------------ T1 / T2 -------
 SMOOTH_OUT = T.StructType([
     T.StructField("scan_id", T.LongType()), T.StructField("domain", T.StringType()),
