@@ -181,3 +181,27 @@ def test_text_engine_many_hits(spark):
     out = df.select(F.posexplode(E.text_engine()).alias("i", "f")).select("i", "f.evidence", "f.type").orderBy("i").collect()
     assert [r.evidence for r in out] == [f'"Only {i} left for $9"' for i in range(1600)]
     assert {r.type for r in out} == {"Numeric Scarcity Claim"}
+
+
+def test_anomaly_finds_the_odd_chunks(spark):
+    from pyspark.sql import functions as F
+    from trapline.operators import ml as M
+    import random
+    draw = random.Random(5)
+    rows = [(i, " ".join(draw.choice(["plain", "Weather", "report", "no. 7", "rain!", "sun", "a", "must"]) for _ in range(draw.randint(5, 60))))
+            for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id int, chunk string")
+    odd = spark.createDataFrame([(1000, "!!!!!! HURRY ACT NOW 999999 !!!!!!!")], "doc_id int, chunk string")
+    train = M.chunk_features(docs)
+    out = M.anomaly_scores(train, train.unionByName(M.chunk_features(odd)))
+    flagged = {r.doc_id for r in out.where("is_anomaly").select("doc_id").collect()}
+    assert 1000 in flagged and len(flagged) < 50  # about 1 % of the normal rows
+
+
+def test_caps_of_none_keep_every_finding(spark):
+    from trapline.operators import consensus as A
+    rows = [("s", "urgency", f"T{i}", f"el{i}", "same beginning " * 8 + str(i), "LOW", 0.5, i) for i in range(9)]
+    df = spark.createDataFrame(rows, "scan_id string, category string, type string, _el string, evidence string, severity string, confidence double, k5 long")
+    assert A.dedupe_and_cap(df, None, None).count() == 9
+    assert A.dedupe_and_cap(df, 4, 2).count() == 4
+    assert A.dedupe_and_cap(df, None, None, evidence_chars=60).count() == 1

@@ -9,10 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lit_str_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def round_half_up(c: Column, digits: int) -> Column:
     """Deterministic decimal rounding written the same way in the DuckDB
     oracle: floor(x * 10^d + 0.5) / 10^d (IEEE ops only, so both engines
@@ -66,16 +62,6 @@ def in_list(c: Column, values: Iterable[str]) -> Column:
     return c.isin(list(values))
 
 
-def first_match(conditions: list[tuple[Column, object]], default) -> Column:
-    """CASE WHEN chain from (condition, value) pairs, first true wins."""
-    expr = None
-    for cond, val in conditions:
-        v = val if isinstance(val, Column) else F.lit(val)
-        expr = F.when(cond, v) if expr is None else expr.when(cond, v)
-    d = default if isinstance(default, Column) else F.lit(default)
-    return d if expr is None else expr.otherwise(d)
-
-
 EXACT_SCALE = 1_000_000_000
 
 

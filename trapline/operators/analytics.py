@@ -36,7 +36,7 @@ def top_categories(store: DataFrame, findings: DataFrame, recent: int = 50, k: i
     last = store.select("scan_id", "timestamp").orderBy(F.col("timestamp").desc(), F.col("scan_id").desc()) \
         .limit(recent).select("scan_id")
     counts = (findings.where(F.coalesce(F.col("category"), F.lit("")) != "")
-              .join(F.broadcast(last), "scan_id", "left_semi")
+              .join(last, "scan_id", "left_semi")
               .groupBy("category").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     w = Window.orderBy(F.col("n").desc(), F.col("category").asc())
     return counts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
@@ -79,7 +79,7 @@ def expectation_check(store: DataFrame, bands: DataFrame, type_col: str = "site_
     """Score and pattern count against the band of the scan's site type.
     ``bands`` is a small literal table (one row per site type); it is
     broadcast."""
-    j = store.join(F.broadcast(bands), type_col)
+    j = store.join(bands, type_col)
     s, p = F.col("trust_score"), F.col("total_patterns")
     score_issue = (F.when(s < F.col("min_score"), F.concat(F.lit("Score "), s.cast("string"),
                                                             F.lit(" below expected min "), F.col("min_score").cast("string"),
@@ -104,7 +104,7 @@ def rule_check(store: DataFrame, findings: DataFrame, truth: DataFrame, type_col
     CRITICAL findings on clean sites, confidence below 0.50).  Required /
     forbidden categories are tested with semi / anti joins over the
     exploded truth lists."""
-    st = store.join(F.broadcast(truth), type_col)
+    st = store.join(truth, type_col)
     req = (st.select("scan_id", F.explode("must_have").alias("category"))
            .join(findings.select("scan_id", "category").distinct(), ["scan_id", "category"], "left_anti")
            .groupBy("scan_id").agg(F.count(F.lit(1)).alias("missing_required")))

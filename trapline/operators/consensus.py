@@ -77,7 +77,7 @@ def gate(fused: DataFrame, scans: DataFrame) -> DataFrame:
         F.when((sev == "CRITICAL") & (conf >= fixed.FAILSAFE_CONFIDENCE) & harm,
                F.lit("Failsafe: critical harm type"))
         .when(F.col("is_critical") & sev.isin("HIGH", "CRITICAL") & (conf >= fixed.FAILSAFE_CONFIDENCE) & sig_ok,
-              F.lit("Failsafe: HADE _is_critical + strong structural signal"))
+              F.lit("Failsafe: critical finding with a strong structural signal"))
         .when(eff >= 2, F.concat(F.lit("Consensus: "), eff.cast("string"), F.lit(" engines")))
         .when(sig_ok & shop, F.concat(F.initcap(F.col("signal")), F.lit(" signal in "), F.col("context"),
                                       F.lit(" context")))

@@ -146,6 +146,7 @@ def q_consensus_coarse(spark, sf):
 @register("report_findings", _with_pipeline(*PIPE, O.report_ctes()) + f"""
 SELECT rep.scan_id, 'dp-' || CAST(report_pos AS VARCHAR) AS finding_id, type, rep.category, severity, confidence,
        coalesce(ci.name, {O.title_case("replace(rep.category, '_', ' ')")}) AS category_name,
+       coalesce(ci.description, {O.q(fixed.DEFAULT_CATEGORY_DESCRIPTION)}) AS category_description,
        coalesce((SELECT string_agg(DISTINCT x, '; ' ORDER BY x)
                  FROM (SELECT unnest(list_concat(rep.legal_refs, coalesce(l.refs, []))) AS x)), '') AS legal_refs
 FROM rep LEFT JOIN catinfo ci ON ci.category = rep.category
@@ -153,7 +154,7 @@ FROM rep LEFT JOIN catinfo ci ON ci.category = rep.category
 def q_report_findings(spark, sf):
     run = P.run_findings(fx.overlay_scans(spark, sf), fx.overlay_findings(spark, sf))
     rep = R.report_findings(run.validated)
-    return rep.select("scan_id", "finding_id", "type", "category", "severity", "confidence", "category_name",
+    return rep.select("scan_id", "finding_id", "type", "category", "severity", "confidence", "category_name", "category_description",
                       F.array_join("merged_refs", "; ").alias("legal_refs"))
 
 
@@ -203,8 +204,8 @@ def q_smoothing(spark, sf):
 FULL_COLS = REPORT_COLS[:-6] + ["trust_score_raw", "trust_score", "grade", "risk_level", "risk_label",
                                 "compliance_flags", "summary", "history_depth", "risk_score",
                                 "assessed_risk_level", "compound_bonus", "fusion_scan_score", "raw_findings",
-                                "behavioral_findings", "after_hade", "after_aggregation", "hade_critical_boosted",
-                                "hade_upgraded", "hade_downgraded", "dropped_by_hade", "dropped_by_filter"]
+                                "behavioral_findings", "after_calibration", "after_aggregation", "critical_boosted",
+                                "calibration_upgraded", "calibration_downgraded", "dropped_by_calibration", "dropped_by_filter"]
 
 
 def full_scan_oracle() -> str:
@@ -213,10 +214,10 @@ def full_scan_oracle() -> str:
 fun_raw AS (SELECT scan_id, CAST(count(*) AS BIGINT) AS raw_findings,
                    CAST(count_if(erank = {fixed.COMPOUND_RANK}) AS BIGINT) AS behavioral_findings
             FROM all_pre GROUP BY scan_id),
-fun_cal AS (SELECT scan_id, CAST(count(*) AS BIGINT) AS after_hade,
-                   CAST(count_if(is_critical) AS BIGINT) AS hade_critical_boosted,
-                   CAST(count_if(contains(note, 'Upgraded')) AS BIGINT) AS hade_upgraded,
-                   CAST(count_if(contains(note, 'Downgraded')) AS BIGINT) AS hade_downgraded,
+fun_cal AS (SELECT scan_id, CAST(count(*) AS BIGINT) AS after_calibration,
+                   CAST(count_if(is_critical) AS BIGINT) AS critical_boosted,
+                   CAST(count_if(contains(note, 'Upgraded')) AS BIGINT) AS calibration_upgraded,
+                   CAST(count_if(contains(note, 'Downgraded')) AS BIGINT) AS calibration_downgraded,
                    {fscore} AS fusion_scan_score
             FROM fused GROUP BY scan_id),
 fun_val AS (SELECT scan_id, CAST(count(*) AS BIGINT) AS after_aggregation FROM validated GROUP BY scan_id),
@@ -224,9 +225,9 @@ pre AS (
   SELECT r.*, s.scan_ts, coalesce(k.risk_score, 0.0) AS risk_score, coalesce(k.risk_level, 'LOW') AS assessed_risk_level,
          coalesce(k.compound_bonus, 1.0) AS compound_bonus, coalesce(fc.fusion_scan_score, 0.0) AS fusion_scan_score,
          coalesce(fr.raw_findings, 0) AS raw_findings, coalesce(fr.behavioral_findings, 0) AS behavioral_findings,
-         coalesce(fc.after_hade, 0) AS after_hade, coalesce(fv.after_aggregation, 0) AS after_aggregation,
-         coalesce(fc.hade_critical_boosted, 0) AS hade_critical_boosted, coalesce(fc.hade_upgraded, 0) AS hade_upgraded,
-         coalesce(fc.hade_downgraded, 0) AS hade_downgraded
+         coalesce(fc.after_calibration, 0) AS after_calibration, coalesce(fv.after_aggregation, 0) AS after_aggregation,
+         coalesce(fc.critical_boosted, 0) AS critical_boosted, coalesce(fc.calibration_upgraded, 0) AS calibration_upgraded,
+         coalesce(fc.calibration_downgraded, 0) AS calibration_downgraded
   FROM reports r JOIN scans_a2 s USING (scan_id) LEFT JOIN risk k USING (scan_id) LEFT JOIN fun_raw fr USING (scan_id)
        LEFT JOIN fun_cal fc USING (scan_id) LEFT JOIN fun_val fv USING (scan_id)),
 {O.smoothing_ctes("pre", score="trust_score")}
@@ -234,7 +235,7 @@ SELECT p.* EXCLUDE (trust_score, grade, risk_level, risk_label, scan_ts),
        p.trust_score AS trust_score_raw, sm.smoothed_score AS trust_score,
        {O.grade_sql('sm.smoothed_score')} AS grade, {O.risk_level_sql('sm.smoothed_score')} AS risk_level,
        {O.risk_label_sql('sm.smoothed_score')} AS risk_label, sm.history_depth,
-       p.raw_findings - p.after_hade AS dropped_by_hade, p.after_hade - p.after_aggregation AS dropped_by_filter
+       p.raw_findings - p.after_calibration AS dropped_by_calibration, p.after_calibration - p.after_aggregation AS dropped_by_filter
 FROM pre p JOIN sm USING (scan_id)"""
     return f"SELECT {', '.join(FULL_COLS)} FROM ({body})"
 
@@ -988,17 +989,18 @@ def q_signal_mean(spark, sf):
 
 @register("ml_augment")
 def q_ml_augment(spark, sf):
-    """M4: seeded augmentation of the labelled training documents."""
+    """M4: seeded augmentation of the training part of the labelled documents
+    (split first: no variant of a test document is ever trained on)."""
     from trapline.sources.tables import read_table
-    tr = M.training_set(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+    tr, _ = M.stratified_split(M.training_set(read_table(spark, sf, "documents"), read_table(spark, sf, "labels")))
     return M.augment(tr.select("doc_id", "text", "label")).select(
         "doc_id", "label", "augmented", F.length("text").cast("bigint").alias("text_chars"))
 
 
 @register("ml_text_anomaly")
 def q_ml_anomaly(spark, sf):
-    """PCA reconstruction error of chunk features; trained on chunks of
-    documents labelled quality=1, threshold = p99 of their errors."""
+    """PCA reconstruction error of chunk features; fitted on chunks of
+    documents labelled quality=1, threshold = p99 of the errors of held-out ones."""
     from trapline.sources.tables import read_table
     ch = M.chunk_features(M.chunks(read_table(spark, sf, "documents")))
     good = read_table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")

@@ -65,18 +65,18 @@ def run_findings(scans: DataFrame, detector_findings: DataFrame, brand: str = fi
     out = out.select(
         *[c for c in out.columns if c not in (
             "risk_score", "assessed_risk_level", "compound_bonus", "fusion_scan_score",
-            "raw_findings", "behavioral_findings", "after_hade", "after_aggregation",
-            "hade_critical_boosted", "hade_upgraded", "hade_downgraded")],
+            "raw_findings", "behavioral_findings", "after_calibration", "after_aggregation",
+            "critical_boosted", "calibration_upgraded", "calibration_downgraded")],
         F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"),
         F.coalesce("assessed_risk_level", F.lit(fixed.RISK_SCORE_FLOOR[0])).alias("assessed_risk_level"),
         F.coalesce("compound_bonus", F.lit(1.0)).alias("compound_bonus"),
         F.coalesce("fusion_scan_score", F.lit(0.0)).alias("fusion_scan_score"),
         *[F.coalesce(c, zero).alias(c) for c in (
-            "raw_findings", "behavioral_findings", "after_hade", "after_aggregation",
-            "hade_critical_boosted", "hade_upgraded", "hade_downgraded")],
+            "raw_findings", "behavioral_findings", "after_calibration", "after_aggregation",
+            "critical_boosted", "calibration_upgraded", "calibration_downgraded")],
     )
-    out = (out.withColumn("dropped_by_hade", F.col("raw_findings") - F.col("after_hade"))
-           .withColumn("dropped_by_filter", F.col("after_hade") - F.col("after_aggregation")))
+    out = (out.withColumn("dropped_by_calibration", F.col("raw_findings") - F.col("after_calibration"))
+           .withColumn("dropped_by_filter", F.col("after_calibration") - F.col("after_aggregation")))
     return ScanRun(raw, cal, fused, validated, out)
 
 
@@ -86,10 +86,10 @@ def _funnel(detector: DataFrame, raw: DataFrame, cal: DataFrame, validated: Data
         F.count(F.lit(1)).cast("bigint").alias("raw_findings"),
         F.count_if(F.col("erank") == fixed.COMPOUND_RANK).cast("bigint").alias("behavioral_findings"))
     c = cal.groupBy("scan_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("after_hade"),
-        F.count_if(F.col("is_critical")).cast("bigint").alias("hade_critical_boosted"),
-        F.count_if(F.col("note").contains("Upgraded")).cast("bigint").alias("hade_upgraded"),
-        F.count_if(F.col("note").contains("Downgraded")).cast("bigint").alias("hade_downgraded"))
+        F.count(F.lit(1)).cast("bigint").alias("after_calibration"),
+        F.count_if(F.col("is_critical")).cast("bigint").alias("critical_boosted"),
+        F.count_if(F.col("note").contains("Upgraded")).cast("bigint").alias("calibration_upgraded"),
+        F.count_if(F.col("note").contains("Downgraded")).cast("bigint").alias("calibration_downgraded"))
     v = validated.groupBy("scan_id").agg(F.count(F.lit(1)).cast("bigint").alias("after_aggregation"))
     return r.join(c, "scan_id", "left").join(v, "scan_id", "left")
 

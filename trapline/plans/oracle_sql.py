@@ -280,7 +280,7 @@ a4 AS (
   SELECT *,
          CASE WHEN severity = 'CRITICAL' AND confidence >= 0.6 AND {harm} THEN 'Failsafe: critical harm type'
               WHEN is_critical AND severity IN ('HIGH', 'CRITICAL') AND confidence >= 0.6 AND signal IN ('strong', 'moderate')
-                THEN 'Failsafe: HADE _is_critical + strong structural signal'
+                THEN 'Failsafe: critical finding with a strong structural signal'
               WHEN greatest(n_src, n_cat) >= 2 THEN 'Consensus: ' || CAST(greatest(n_src, n_cat) AS VARCHAR) || ' engines'
               WHEN signal IN ('strong', 'moderate') AND context IN ('booking', 'ecommerce')
                 THEN (CASE signal WHEN 'strong' THEN 'Strong' ELSE 'Moderate' END) || ' signal in ' || context || ' context'
@@ -349,8 +349,8 @@ def legal_refs_values() -> str:
 
 
 def category_names_values() -> str:
-    rows = ", ".join(f"({q(c)}, {q(v[0])})" for c, v in fixed.CATEGORY_INFO.items())
-    return f"catinfo(category, name) AS (VALUES {rows})"
+    rows = ", ".join(f"({q(c)}, {q(v[0])}, {q(v[1])})" for c, v in fixed.CATEGORY_INFO.items())
+    return f"catinfo(category, name, description) AS (VALUES {rows})"
 
 
 def penalty_sql() -> str:
