@@ -44,6 +44,26 @@ def test_classes_match_all_pairs(spark):
     assert got == {i: (least[c], want.count(c)) for i, c in enumerate(want)}
 
 
+def test_links_that_no_centre_sees(spark):
+    """Many documents share most of a passage, so that they meet in buckets of
+    mixed classes; pairs among them are near copies of each other only."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, rows = [word() for _ in range(90)], []
+    for _ in range(60):
+        w = passage + [word() for _ in range(35)]
+        rows.append(" ".join(w))
+        if r.random() < 0.6:
+            w[r.randrange(95, 125)] = word()
+            rows.append(" ".join(w))
+    r.shuffle(rows)
+    got = {x.doc_id: x.class_id for x in D.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = brute.classes(rows)
+    least = {c: min(i for i, x in enumerate(want) if x == c) for c in want}
+    assert got == {i: least[c] for i, c in enumerate(want)}
+    assert len(set(want)) == 60
+
+
 def test_repeated_null_and_empty(spark):
     schema = "doc_id long, text string"
     got = D.classes(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z")], schema)).collect()

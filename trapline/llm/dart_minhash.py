@@ -18,10 +18,15 @@ shingles collapse first.  Inside a bucket no pairs are formed: its members are
 compared to three of them -- the one that meets most others over all its buckets
 (the original of a group of copies), the one that meets fewest, and a random
 one -- so the pairs number at most three per member, however hot the bucket is.
-Members that end in another component than their bucket's centre are dealt once
-more by each second band and compared the same way.  Every pair is then held to
-the exact index of its whole shingle lists; links at ``threshold`` or more make
-the classes.
+Every pair is held to the exact index of its whole shingle lists; links at
+``threshold`` or more make components.  Buckets whose members lie in one
+component are settled.  In the contested ones a prefix filter finds every link
+that the centres could not: shingles are ordered by the number of contested
+documents that hold them, those held by one component only first, and two
+documents at ``threshold`` must share one of their earliest ``1 - threshold``
+shares, at places that leave room for enough others.  So documents that have a
+frequent passage in common, and nothing else, make no pairs.  The pairs left are
+checked like the others; no link between members of one bucket is lost.
 
 Cases: null text is empty; a document without words has no shingles and is a
 class of its own; rows repeated whole fall in one class; a class is named by
@@ -34,7 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.llm import common as C
@@ -170,6 +175,38 @@ def _similar(threshold):
     return run
 
 
+def _elements(batches):
+    """A row for each element of the documents' lists."""
+    for batch in batches:
+        body = batch.column("body")
+        for i in range(batch.num_rows):
+            el = np.frombuffer(body[i].as_buffer(), np.int64)
+            for at in range(0, len(el), C.PIECE // 8):
+                part = el[at:at + C.PIECE // 8]
+                fp, label = (pa.array(np.full(len(part), batch.column(c)[i].as_py(), np.int64)) for c in ("fp", "label"))
+                yield pa.RecordBatch.from_arrays([fp, label, pa.array(np.full(len(part), len(el), np.int64)), pa.array(part)],
+                                                 ["fp", "label", "total", "el"])
+
+
+def _across(contested: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members of one contested bucket that lie in different components
+    and pass the prefix filter: a superset of the links among them."""
+    label = contested.select("fp", "label").distinct()
+    els = materialize(body.join(label, "fp").mapInArrow(_elements, "fp long, label long, total long, el long"), "elements")
+    shared = els.groupBy("el").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    doc = Window.partitionBy("fp")
+    rank = F.col("total") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("df", "el"))
+    early = els.join(shared.select("el", "df"), "el").select("fp", "label", "total", "el", rank.alias("rank"))
+    early = early.where(F.col("rank") <= F.col("total") - F.ceil(F.col("total") * threshold - 1e-6) + 1)
+    rows = materialize(early.join(contested.select("fp", "bucket"), "fp"), "prefixes")
+    x, y = rows.alias("x"), rows.alias("y")
+    total, room = F.col("x.total") + F.col("y.total"), F.least(F.expr("x.total - x.rank"), F.expr("y.total - y.rank")) + 1
+    pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.el = y.el AND x.fp < y.fp AND x.label <> y.label")
+                   & (room >= total * (threshold / (1 + threshold)) - 1e-6)
+                   & (F.least("x.total", "y.total") >= F.greatest("x.total", "y.total") * threshold - 1e-6))
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
 def _stars(buckets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of each bucket's members with its three centres, once each."""
     centre = buckets.groupBy("band", "key").agg(
@@ -194,28 +231,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
     meets = bucket.groupBy("fp").agg(F.sum("size").alias("meets"))
     bucket = materialize(bucket.drop("size").join(meets, "fp"), "buckets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        used = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-        where = nodes.join(used, "fp").select("fp", "at.did", "at.tkey").alias("w")
-        body = materialize(source.join(where, ["did", "tkey"]).select("fp", "text").dropDuplicates(["fp"])
+    def lists(fps: DataFrame) -> DataFrame:
+        where = nodes.join(fps.distinct(), "fp").select("fp", "at.did", "at.tkey").alias("w")
+        return materialize(source.join(where, ["did", "tkey"]).select("fp", "text").dropDuplicates(["fp"])
                            .mapInArrow(_lists(width), _LIST), "shingles")
+
+    def verified(pairs: DataFrame, body: DataFrame) -> DataFrame:
         full = (pairs.join(body.select(F.col("fp").alias("a"), F.col("body").alias("body_a")), "a")
                 .join(body.select(F.col("fp").alias("b"), F.col("body").alias("body_b")), "b"))
         return materialize(full.mapInArrow(_similar(threshold), "a long, b long"), "similar")
 
-    pairs = _stars(bucket, threshold)
-    links = verified(pairs)
+    pairs = materialize(_stars(bucket, threshold), "pairs")
+    links = verified(pairs, lists(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))))
     label = components(links)
     member = bucket.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    main = member.groupBy("band", "key").agg(F.max(F.struct("meets", "fp", "label")).alias("m")).select("band", "key", F.col("m.label").alias("main"))
-    rest = member.join(main, ["band", "key"]).where("label <> main").select("band", "key", "fp", "total", "meets")
-    other = sketch.select("fp", F.posexplode("bands").alias("other", "second")).distinct()
-    again = (rest.join(other, "fp").where("other <> band")
-             .select(F.least("band", "other").alias("band"), F.xxhash64(F.when(F.col("band") < F.col("other"), F.struct("key", "second", "other"))
-                     .otherwise(F.struct(F.col("second").alias("key"), F.col("key").alias("second"), F.col("band").alias("other")))).alias("key"),
-                     "fp", "total", "meets").distinct())
-    more = verified(_stars(again, threshold).join(links, ["a", "b"], "left_anti"))
+    mixed = member.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    contested = materialize(member.join(mixed.select("band", "key"), ["band", "key"])
+                            .select("fp", "label", F.xxhash64("band", "key").alias("bucket")), "contested")
+    body = lists(contested.select("fp"))
+    left = materialize(_across(contested, body, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verified(left, body)
     if more.limit(1).count():
         label = components(links.union(more))
     single = F.when(F.col("total") == 0, F.xxhash64("did", "tkey", F.lit("no words"))).otherwise(F.coalesce("label", "fp"))
