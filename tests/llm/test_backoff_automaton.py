@@ -95,3 +95,22 @@ def test_empty_and_untrained(spark):
     only = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 5 == 1)
     r = B.score_documents(spark.createDataFrame([(only, "a b", "x", 1)], SCHEMA)).collect()[0]
     assert (r.n_known, r.train_tokens, r.n_tokens) == (0, 0, 3) and math.isclose(r.score, 3 * math.log10(0.5 / 0.5), abs_tol=1e-12)
+
+
+def test_pair_seen_twice_stays_in_a_large_corpus(spark):
+    """Rare n-grams are in the model however many tokens there are."""
+    train = [d for d in range(400) if zlib.crc32(str(d).encode()) % 5 != 1]
+    rows = [(d, "so it goes " * 1400, "x", 1) for d in train]   # over a million tokens
+    for d in train[:2]:
+        rows[train.index(d)] = (d, "rare mint leaf " + "so it goes " * 1400, "x", 1)
+    held = next(d for d in range(400) if d not in train)
+    rows.append((held, "a rare mint leaf", "x", 1))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    texts = [toks(t) for d, t, *_ in rows if d != held]
+    n = sum(map(len, texts))
+    assert 2e-6 * n > 2
+    one, p3, _, _ = model(texts, n, 0, B.LEAST)
+    y = ["<none>", "<s>", *toks("a rare mint leaf")]
+    want = sum(math.log10(p3(*y[i:i + 3])) for i in range(len(y) - 2))
+    got = B.score_documents(docs).where(f"doc_id = {held}").first()
+    assert math.isclose(got.score, want, rel_tol=1e-8)

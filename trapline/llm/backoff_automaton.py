@@ -10,14 +10,20 @@ failure arc carries the backoff weight and leads to the context without its
 first word.  A text is scored in one walk from left to right that holds the
 state and adds up.
 
-Counts cover all training documents.  Each step counts only what the step before
-kept (words, pairs of kept words, triples of kept pairs), combines inside each
-task before the shuffle, and keeps n-grams of a share of at least ``word_share``
-(``gram_share``) of all tokens, two times or more for pairs and triples.  At most
-1 / share n-grams have such a share, so the model that is broadcast has a bound
-that does not grow with the corpus.  Words below the share are not in the
-broadcast: their exact counts come by a join on the word's 64-bit hash, as
-(document, word, times) rows.
+Counts cover all training documents, combined inside each task before the
+shuffle.  Every word, and every pair and triple seen ``LEAST`` times or more, is
+in the model: the count is fixed, so the model grows with the corpus.  It is
+never held in one place.  States and arcs are a written table with the weights
+pushed along the walk: an arc carries its log-probability minus what the failure
+path would have given, and a context's backoff weight goes to the n-gram that
+enters it.  A text's score is then the sum of the weights of the words, pairs and
+triples in it, the same as the walk of ``Automaton``, and each of them is one
+lookup by its 64-bit hash.
+
+The most frequent arcs, ``CACHED`` at most, are broadcast and looked up on the
+spot, which also keeps hot keys out of the shuffle; all others come by a join, as (document, n-gram, times) rows.  A
+Bloom filter of fixed size holds back rows whose n-gram is surely not in the
+model.  Both change the cost and not the result.
 
 Cases: null text is empty and has the end token only; a null id counts as the
 empty text when documents are split; repeated rows are scored alike, each is
@@ -33,18 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.llm import common as C
-from trapline.session import materialize
+from trapline.session import discard, materialize, scratch_tables
 
-WORD_SHARE, GRAM_SHARE, DISCOUNT, LEAST = 1e-6, 2e-6, 0.6, 2
-END = np.uint64(0x9E3779B97F4A7C15)
+CACHED, DISCOUNT, LEAST = 2_000_000, 0.6, 2
+END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+PAIR_TURN, TRIPLE_TURN = 23, 29
+BLOCKS = 1 << 21
 FLUSH = 1 << 21
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_COUNT = "h long, c long"
-_COUNT_PA = pa.schema([("h", pa.int64()), ("c", pa.int64())])
-
-
 def tokens(data, offs):
     """Token hashes, each document's words and then its end; and the offsets."""
     data = LOWER[data]
@@ -59,45 +63,87 @@ def tokens(data, offs):
     return out, at
 
 
-def _combined(keys_of):
-    """Counts of keys, merged inside the task; at most FLUSH distinct are held."""
+def joint(a, b, turn):
+    """Key of two hashes in order: the first xor the second turned by so many bits
+    (others for triples than for pairs, or the word that two pairs share cancels out)."""
+    return a ^ (b << np.uint64(turn) | b >> np.uint64(64 - turn))
+
+
+def joint_column(a: str, b: str, turn: int):
+    """The same as a column."""
+    return F.col(a).bitwiseXOR(F.shiftleft(b, turn).bitwiseOR(F.shiftrightunsigned(b, 64 - turn)))
+
+
+def grams(tok, at):
+    """For each token: the token before it (``START`` at the start of a text), the
+    key of the pair that ends here, whether it is the first, and the keys of the
+    pair before and of the triple for those that are not."""
+    first = np.zeros(len(tok), bool)
+    first[at[:-1]] = True
+    before = np.r_[START, tok[:-1]]
+    before[first] = START
+    pair = joint(before, tok, PAIR_TURN)
+    prior = np.r_[np.uint64(0), pair[:-1]][~first]
+    return before, pair, first, prior, joint(prior, pair[~first], TRIPLE_TURN)
+
+
+def _combined(columns_of, schema):
+    """Counts of rows, merged inside the task; at most FLUSH distinct are held.
+    The first column that ``columns_of`` gives is a key of the others."""
     def rows(batches):
-        k, c = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, n = [], 0
         for batch in batches:
             for _, data, offs in C.pieces(batch, "text"):
-                x = np.sort(keys_of(*tokens(data, offs)))
-                if not len(x):
+                x = [C.as_long(c) for c in columns_of(*tokens(data, offs))]
+                if not len(x[0]):
                     continue
-                at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                k = np.concatenate([k, x[at]])
-                c = np.concatenate([c, np.diff(np.append(at, len(x)))])
-                if len(k) >= FLUSH:
-                    k, c = _merged(k, c)
-                    if len(k) >= FLUSH // 2:
-                        yield C.record(_COUNT_PA, k, c)
-                        k, c = np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(k):
-            yield C.record(_COUNT_PA, *_merged(k, c))
+                held.append(_merged(*x, np.ones(len(x[0]), np.int64)))
+                n += len(held[-1][0])
+                if n >= FLUSH:
+                    held = [_merged(*map(np.concatenate, zip(*held)))]
+                    n = len(held[0][0])
+                    if n >= FLUSH // 2:
+                        yield C.record(schema, *held[0][1:])
+                        held, n = [], 0
+        if held:
+            yield C.record(schema, *_merged(*map(np.concatenate, zip(*held)))[1:])
     return rows
 
 
-def _merged(k, c):
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
+def _merged(*columns):
+    """Rows of equal first column as one, the last column added up."""
+    order = np.argsort(columns[0], kind="stable")
+    k = columns[0][order]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[at], np.add.reduceat(c, at)
+    return (k[at], *[x[order[at]] for x in columns[1:-1]], np.add.reduceat(columns[-1][order], at))
+
+
+def _total(train: DataFrame, columns_of, names: list[str]) -> DataFrame:
+    """Counts ``c`` by the named columns."""
+    schema = pa.schema([(x, pa.int64()) for x in [*names, "c"]])
+    return (train.select("text").mapInArrow(_combined(columns_of, schema), ", ".join(f"{x} long" for x in [*names, "c"]))
+            .groupBy(*names).agg(F.sum("c").alias("c")))
 
 
-def _total(train: DataFrame, keys_of) -> DataFrame:
-    return train.select("text").mapInArrow(_combined(keys_of), _COUNT).groupBy("h").agg(F.sum("c").alias("c"))
+def _release(spark) -> None:
+    """Lets Spark's cleaner drop the shuffles of plans that nobody holds any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _filter(table: DataFrame, key: str) -> np.ndarray:
+    """Bloom filter of a table's keys: three bits of one of BLOCKS 64-bit words."""
+    bits = " | ".join(f"shiftleft(1L, cast(shiftright({key}, {k}) & 63 as int))" for k in (21, 27, 33))
+    t = (table.select(F.expr(f"{key} & {BLOCKS - 1}L").alias("i"), F.expr(bits).alias("b"))
+         .groupBy("i").agg(F.bit_or("b").alias("b")).toArrow())
+    out = np.zeros(BLOCKS, np.uint64)
+    out[t.column("i").to_numpy()] = t.column("b").to_numpy().view(np.uint64)
+    return out
 
 
-def _collected(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a count of at least ``least`` (few, by the share), sorted."""
-    t = counts.where(F.col("c") >= least).toArrow()
-    k, c = t.column("h").to_numpy(), t.column("c").to_numpy()
-    order = np.argsort(k)
-    return k[order], c[order]
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    x, one, low = keys.view(np.uint64), np.uint64(1), np.uint64(63)
+    m = one << (x >> np.uint64(21) & low) | one << (x >> np.uint64(27) & low) | one << (x >> np.uint64(33) & low)
+    return bits[(x & np.uint64(BLOCKS - 1)).view(np.int64)] & m == m
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -108,39 +154,9 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == x, i, -1)
 
 
-def word_ids(words: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    """1 + place among the kept words; 0: not kept."""
-    return _find(words, C.as_long(tok)) + 1
-
-
-def _before(ids, at, lag):
-    """The id ``lag`` places before each token in its document; the start of the
-    text counts as word ``-1`` just before it, and 0 stands for no context."""
-    out = np.zeros(len(ids), np.int64)
-    out[lag:] = ids[:-lag] if lag else ids
-    pos = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
-    out[pos == lag - 1] = -1
-    out[pos < lag - 1] = 0
-    return out
-
-
-def pair_keys(words, tok, at):
-    w = word_ids(words, tok)
-    v = _before(w, at, 1)
-    size = len(words) + 1
-    v = np.where(v == -1, size, v)          # start of text
-    return np.where((v > 0) & (w > 0), v * size + w, -1)
-
-
-def triple_keys(words, pairs, tok, at):
-    w = word_ids(words, tok)
-    pair = _find(pairs, pair_keys(words, tok, at))
-    prior = _before(pair + 1, at, 1)         # the pair that ends at the word before
-    return np.where((prior > 0) & (pair >= 0), (prior - 1) * (len(words) + 1) + w, -1)
-
-
 class Automaton:
-    """States: 0 root, 1..W words, W+1 start of text, then kept pairs.  Arcs by
+    """The model in one place, for tables that fit: what the pushed weights add up to.
+    States: 0 root, 1..W words, W+1 start of text, then kept pairs.  Arcs by
     state * (W + 1) + word."""
 
     def __init__(self, words, word_counts, start_count, pairs, pair_counts, triples, triple_counts, n, v, discount=DISCOUNT):
@@ -200,75 +216,125 @@ class Automaton:
         return total
 
 
-_built: dict = {}
+def arcs(train: DataFrame, counts: DataFrame, n: int, v: int, word_least: float, least: float) -> DataFrame:
+    """h, c, base (one-word share over that of an unknown word), value (pushed
+    weight), known (a word), for all words, pairs and triples of the model."""
+    spark, before = train.sparkSession, set(scratch_tables())
+    unknown = n + 0.5 * (v + 1)
+    start, end = int(START.view(np.int64)), int(END.view(np.int64))
+    kept = counts.where(F.col("c") >= word_least)
+    contexts = kept.select(F.col("h").alias("v"), F.col("c").alias("of")).union(
+        counts.where(F.col("h") == end).select(F.lit(start).cast("long"), "c"))
+
+    def pair_columns(tok, at):
+        before, pair, *_ = grams(tok, at)
+        return pair, before, tok
+    pairs = _total(train, pair_columns, ["v", "w"]).where(F.col("c") >= least).withColumn("p", joint_column("v", "w", PAIR_TURN))
+    pairs = materialize(pairs.join(contexts, "v").join(kept.select(F.col("h").alias("w"), ((F.col("c") + 0.5) / unknown).alias("one")), "w")
+                        .select("p", "v", "c", ((F.col("c") - DISCOUNT) / F.col("of")).alias("two"), "one"), "pairs")
+    _release(spark)
+    held = spark.sparkContext.broadcast(_filter(pairs, "p"))
+
+    def triple_columns(tok, at):
+        _, pair, first, prior, triple = grams(tok, at)
+        pair = pair[~first]
+        may = _maybe(held.value, C.as_long(prior)) & _maybe(held.value, C.as_long(pair))
+        return triple[may], prior[may], pair[may]
+    triples = _total(train, triple_columns, ["p", "q"]).where(F.col("c") >= least).withColumn("t", joint_column("p", "q", TRIPLE_TURN))
+    triples = materialize(triples.join(pairs.select("p", F.col("c").alias("of")), "p").join(pairs.select(F.col("p").alias("q"), F.col("two").alias("lower")), "q")
+                          .select("t", "p", "c", ((F.col("c") - DISCOUNT) / F.col("of")).alias("three"), "lower"), "triples")
+    _release(spark)
+
+    left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+    back = materialize(pairs.groupBy(F.col("v").alias("state")).agg(F.log10(left("two") / left("one")).alias("back"))
+                       .union(triples.groupBy("p").agg(F.log10(left("three") / left("lower")))), "states")
+    enters = F.coalesce("back", F.lit(0.0))
+    own = F.log10(2 * F.col("c") + 1)
+    none, no = F.lit(0.0), F.lit(0)
+    words = counts.join(back.withColumnRenamed("state", "h"), "h", "left").select("h", "c", own.alias("base"), (own + enters).alias("value"), F.lit(1).alias("known"))
+    begin = back.where(F.col("state") == start).join(contexts.withColumnRenamed("v", "state"), "state").select("state", "of", none, "back", no)
+    two = (pairs.join(back.select(F.col("state").alias("v"), F.col("back").alias("fails")), "v").join(back.withColumnRenamed("state", "p"), "p", "left")
+           .select("p", "c", none, F.log10(F.col("two") / F.col("one")) - F.col("fails") + enters, no))
+    three = triples.join(back.withColumnRenamed("state", "p"), "p").select("t", "c", none, F.log10(F.col("three") / F.col("lower")) - F.col("back"), no)
+    out = materialize(words.union(begin).union(two).union(three), "arcs")
+    discard(spark, [x for x in scratch_tables() if x not in before], out)
+    _release(spark)
+    return out
+
+
 _SCORE = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>"
 _SCORE_PA = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                        ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64())),
                        ("times", pa.list_(pa.int32()))])
 
 
-def _scores(model):
+def _scores(cache):
     def rows(batches):
-        held = model.value
-        if _built.get("of") is not held:  # once per worker process and model
-            _built.update(of=held, automaton=Automaton(*held))
-        auto = _built["automaton"]
+        held, base_of, value_of, known_of, bits = cache.value
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, data, offs in C.pieces(batch, "text"):
                 tok, at = tokens(data, offs)
                 n = part.num_rows
-                ids = word_ids(auto.words, tok)
-                doc = np.repeat(np.arange(n), np.diff(at))
-                kept = ids > 0
-                base = np.bincount(doc[kept], auto.one[ids[kept]], n)
-                known = np.bincount(doc[kept], minlength=n)
-                walk = ids.tolist()
-                score = [auto.walk(walk[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                d, h = doc[~kept], C.as_long(tok)[~kept]
-                order = np.lexsort((h, d))
-                d, h = d[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+                _, pair, first, _, triple = grams(tok, at)
+                of = np.repeat(np.arange(n), np.diff(at))
+                h = C.as_long(np.concatenate([tok, np.full(n, START), pair, triple]))
+                doc = np.concatenate([of, np.arange(n), of, of[~first]])
+                order = np.argsort(h, kind="stable")
+                h, doc = h[order], doc[order]
+                new = np.r_[True, h[1:] != h[:-1]]
+                u, which = h[new], np.cumsum(new) - 1
+                place = _find(held, u)
+                rest = ((place < 0) & _maybe(bits, u))[which]
+                place = place[which]
+                hit = place >= 0
+                d, at_held = doc[hit], place[hit]
+                added = [np.bincount(d, x[at_held], n) for x in (known_of, base_of, value_of)]
+                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
                 i = np.flatnonzero(new)
-                cut = pa.array(np.searchsorted(d[i], np.arange(n + 1)).astype(np.int32))
                 times = np.diff(np.append(i, len(h))).astype(np.int32)
+                some = rest[i]
+                i, times = i[some], times[some]
+                order = np.argsort(doc[i], kind="stable")
+                i, times = i[order], times[order]
+                cut = pa.array(np.searchsorted(doc[i], np.arange(n + 1)).astype(np.int32))
                 yield C.record(_SCORE_PA, np.arange(uid, uid + n), part.column("doc_id"), part.column("held_out"), np.diff(at),
-                               known, base, score, pa.ListArray.from_arrays(cut, pa.array(h[i])), pa.ListArray.from_arrays(cut, pa.array(times)))
+                               added[0].astype(np.int64), added[1], added[2], pa.ListArray.from_arrays(cut, pa.array(h[i])), pa.ListArray.from_arrays(cut, pa.array(times)))
                 uid += n
     return rows
 
 
-def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word_share=WORD_SHARE, gram_share=GRAM_SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word_share: float = 0.0, gram_share: float = 0.0,
+                    cached: int = CACHED) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  A
+    ``word_share`` or ``gram_share`` of all tokens asks for a smaller model."""
     spark = docs.sparkSession
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")
     rows = C.bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
                        (F.crc32(ident) % 5 == 1).alias("held_out"))
     train = rows.where(~F.col("held_out"))
-    counts = materialize(_total(train, lambda tok, at: C.as_long(tok)), "words")
+    counts = materialize(_total(train, lambda tok, at: (tok, tok), ["h"]), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words, word_counts = _collected(counts, word_share * n)
-    end = _find(words, C.as_long(np.array([END])))[0]
-    ends = int(word_counts[end]) if end >= 0 else 0
-    least = max(LEAST, gram_share * n)
-    held = spark.sparkContext.broadcast(words)
-    known = lambda keys: keys[keys >= 0]
-    pairs, pair_counts = _collected(_total(train, lambda tok, at: known(pair_keys(held.value, tok, at))), least)
-    held2 = spark.sparkContext.broadcast(pairs)
-    triples, triple_counts = _collected(_total(train, lambda tok, at: known(triple_keys(held.value, held2.value, tok, at))), least)
-    model = spark.sparkContext.broadcast((words, word_counts, ends, pairs, pair_counts, triples, triple_counts, n, v))
-    table = materialize(rows.mapInArrow(_scores(model), _SCORE), "scores")
-    denominator = n + 0.5 * (v + 1)
+    model = arcs(train, counts, n, v, word_share * n, max(LEAST, gram_share * n))
+    step = F.floor(8 * F.log2("c"))  # as many arcs as fit, by count
+    least_step, room = 1 << 10, cached
+    for k, arcs_of in sorted(model.groupBy(step).count().collect(), reverse=True):
+        room -= arcs_of
+        if room < 0:
+            break
+        least_step = k
+    top = model.where(step >= least_step).toArrow()
+    order = np.argsort(top.column("h").to_numpy())
+    cache = spark.sparkContext.broadcast((*[top.column(x).to_numpy()[order] for x in ("h", "base", "value", "known")], _filter(model, "h")))
+    table = materialize(rows.mapInArrow(_scores(cache), _SCORE), "scores")
     tail = table.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("h"), F.col("t.times").alias("k"))
-    seen = F.coalesce("c", F.lit(0))
-    tail = (tail.join(counts.where(F.col("c") < word_share * n), "h", "left")
-            .groupBy("uid").agg(F.sum(F.col("k") * F.log10((seen + 0.5) / F.lit(denominator))).alias("rare"),
-                                F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("rare_known")))
+    tail = (tail.join(model.where(step < least_step), "h")
+            .groupBy("uid").agg(*[F.sum(F.col("k") * F.col(x)).alias(f"rare_{x}") for x in ("base", "value", "known")]))
     zero = lambda c: F.coalesce(c, F.lit(0))
+    unknown = F.col("n_tokens") * float(np.log10(0.5 / (n + 0.5 * (v + 1))))
     return (table.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(tail, "uid", "left")
             .select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                    (F.col("base") + zero("rare")).alias("base_score"), (F.col("score") + zero("rare")).alias("score")))
+                    (unknown + F.col("base") + zero("rare_base")).alias("base_score"), (unknown + F.col("score") + zero("rare_value")).alias("score")))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
