@@ -34,3 +34,26 @@ def test_cases(spark):
     out = R.mixed(df).select("row.*", "selected", "probability").collect()
     assert len(out) == 5 and len({r.selected for r in out if r.doc_id == 2}) == 1 and all(0 <= r.probability <= 1 for r in out)
     assert R.mixed(df.limit(0)).collect() == []
+
+
+def test_rare_values_have_marginals_of_their_own(spark):
+    """A source of a third gives way to 400 small ones; two rare languages are raked apart."""
+    rows = [(i, "w " * 100, "en" if i % 400 else "la", "hot" if i < 2000 else f"s{i % 400}", "x", 1) for i in range(6000)]
+    rows += [(9000 + i, "w " * 100, "eo", "hot", "x", 1) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = R.mixed(df, share=0.2, rounds=20).toPandas()
+    mass = out.n_tokens * out.probability
+    own = out.n_tokens.groupby(out.source).sum() / out.n_tokens.sum()
+    want = (own ** R.DAMPING / (own ** R.DAMPING).sum())["hot"]
+    got = (mass.groupby(out.source).sum() / mass.sum())["hot"]
+    assert want < 0.1 and abs(got - want) < 0.02, (got, want)
+    assert out.weight[out.lang == "eo"].max() != out.weight[(out.lang == "la") & (out.source == "hot")].max()
+    assert R.OTHER not in set(out.source) | set(out.lang)
+
+
+def test_values_not_named_keep_their_share(spark):
+    rows = [(i, "w " * 100, "en", "abcd"[i % 4], "x", 1) for i in range(2000)]
+    out = R.mixed(spark.createDataFrame(rows, SCHEMA), {"source": {"a": 0.4, "b": 0.1}}, share=0.2).toPandas()
+    mass = (out.n_tokens * out.probability).groupby(out.source).sum()
+    mass /= mass.sum()
+    assert all(abs(mass[k] - x) < 1e-3 for k, x in {"a": 0.4, "b": 0.1, "c": 0.25, "d": 0.25}.items()), mass

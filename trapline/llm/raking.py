@@ -10,12 +10,16 @@ below the probability of its cell.
 
 Targets are given as {value: share} for each side; a side without is damped: its
 targets are proportional to its own shares to the power ``damping``, so large
-sources give way to small ones.  Values with under ``LEAST_SHARE`` of the tokens
-(or not named in the given targets) are raked as one value, "other"; no document
-is left out by that, and a side has at most 1 / LEAST_SHARE + 1 values.  The
-cells therefore have a bound whatever the corpus: texts are counted in one pass,
-cells are summed with partial sums before the shuffle, and all rounds run over
-the cells alone.  DataFrame functions only.
+sources give way to small ones.  Given targets share what is left by the values
+they do not name, each of which keeps its own share as target.  Every value of a
+side is raked by itself, however rare.
+
+Texts are counted in one pass, cells are summed with partial sums before the
+shuffle, and all rounds run over the written table of cells alone.  A cell's
+weight is the product of one factor for each side; a step takes the marginals of
+its side by a grouped sum and writes that side's factors, one row a value, which
+the next steps join.  The scale is found by Newton steps over sums of the cells.
+DataFrame functions only.
 
 Cases: null or empty text has no tokens; null source or language is the value
 ""; a null id hashes as the empty string; repeated rows share one decision; an
@@ -23,12 +27,12 @@ empty table gives an empty result; the documents' own columns stay as they are."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.session import materialize
+from trapline.session import discard, materialize, scratch_tables
 
-ROUNDS, SHARE, DAMPING, LEAST_SHARE, SEED = 8, 0.9, 0.7, 0.005, "mix"
+ROUNDS, SHARE, DAMPING, LEAST_SHARE, SEED = 8, 0.9, 0.7, 0.005, "mix"  # LEAST_SHARE: oracle() only
 TOPICS = [("contact", "@|https?://"), ("legal", "(?i)licen[cs]e|copyright"), ("figures", "[0-9]{3}")]
 OTHER = "other"
 SIDES = ["source", "lang", "topic"]
@@ -49,71 +53,80 @@ def _sides(docs: DataFrame, source: str, lang: str, text: str, topics) -> list:
     return [blank(source).alias("source"), blank(lang).alias("lang"), topic(F.col(text), topics).alias("topic")]
 
 
-def _kept_values(cells: DataFrame, side: str, given, least: float) -> list[str]:
-    """At most 1 / least values, or those given."""
-    if given:
-        return sorted(given)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    return sorted(r[0] for r in cells.groupBy(side).agg(F.sum("tokens").alias("t")).where(F.col("t") >= least * max(total, 1)).collect())
+def _wanted(cells: DataFrame, side: str, given: dict | None, damping: float, total: int) -> DataFrame:
+    """side, want: the target tokens of each value that has tokens; they add up to the total."""
+    own = cells.groupBy(side).agg(F.sum("tokens").alias("own")).where(F.col("own") > 0)
+    if not given:
+        own = own.withColumn("raw", F.pow(F.col("own") / total, F.lit(damping)))
+    else:
+        aim = F.coalesce(*[F.when(F.col(side) == k, F.lit(float(x))) for k, x in sorted(given.items())])
+        named, unnamed = own.select(F.sum(aim), F.sum(F.when(aim.isNull(), F.col("own")))).first()
+        rest = 1 - (unnamed or 0) / total
+        own = own.withColumn("raw", F.when(aim.isNull(), F.col("own") / total).otherwise(aim * (rest / named if named else 0.0)))
+    scale = own.agg(F.sum("raw")).first()[0]
+    return materialize(own.select(side, (F.col("raw") * (total / scale if scale else 0.0)).alias("want")), f"want-{side}")
+
+
+def _scale(cells: DataFrame, share: float, total: int) -> float | None:
+    """The scale at which min(1, scale x weight) takes ``share`` of the tokens; None: all.
+    From below, each step solves for the cells that are not yet taken whole."""
+    scale = None
+    while True:
+        over = F.lit(False) if scale is None else F.col("weight") * scale > 1
+        whole, raked, n = cells.select(F.sum(F.when(over, F.col("tokens")).otherwise(0)),
+                                       F.sum(F.when(over, 0.0).otherwise(F.col("tokens") * F.col("weight"))), F.sum(over.cast("long"))).first()
+        if not raked or raked <= 0:
+            return None
+        if scale is not None and n == before:
+            return scale
+        scale, before = (share * total - whole) / raked, n
 
 
 def probabilities(cells: DataFrame, targets: dict | None = None, share: float = SHARE, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens, docs) with weight and probability."""
+    """cells (source, lang, topic, tokens, docs) with weight and probability; ``cells``
+    is read once a step and should be a written table."""
     targets = targets or {}
-    cells = cells.coalesce(1)  # bounded, see above; the windows below then need no exchange
-    everything = Window.partitionBy()
-    cells = cells.withColumn("total", F.sum("tokens").over(everything)).withColumn("mass", F.col("tokens").cast("double"))
-    for side in SIDES:
-        own = F.sum("tokens").over(Window.partitionBy(side))
-        if targets.get(side):
-            want = F.coalesce(*[F.when(F.col(side) == k, F.lit(float(x))) for k, x in sorted(targets[side].items())], F.lit(0.0))
-        else:
-            want = F.when(own > 0, F.pow(own / F.col("total"), F.lit(damping))).otherwise(0.0)
-        cells = cells.withColumn(f"want_{side}", want)
-        # shares of the values that have tokens; each value counts once
-        first = F.row_number().over(Window.partitionBy(side).orderBy(F.desc("tokens"), *SIDES))
-        cells = cells.withColumn("first", first).withColumn(
-            f"want_{side}", F.col(f"want_{side}") / F.sum(F.when((F.col("first") == 1) & (F.col("tokens") > 0), F.col(f"want_{side}")).otherwise(0.0)).over(everything))
+    spark, before = cells.sparkSession, set(scratch_tables())
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    if not total:
+        return cells.select(*SIDES, "tokens", "docs", F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability"))
+    want = {side: _wanted(cells, side, targets.get(side), damping, total) for side in SIDES}
+    factors: dict[str, DataFrame] = {}
+
+    def weighted(sides) -> DataFrame:
+        out, weight = cells.where(F.col("tokens") > 0), F.lit(1.0)
+        for side in sides:
+            out, weight = out.join(factors[side].withColumnRenamed("factor", f"by_{side}"), side), weight * F.col(f"by_{side}")
+        return out.select(*SIDES, "tokens", "docs", weight.alias("weight"))
     for _ in range(rounds):
         for side in SIDES:
-            now = F.sum("mass").over(Window.partitionBy(side))
-            cells = cells.withColumn("now", now).withColumn(
-                "mass", F.when(F.col("now") > 0, F.col("mass") * F.col(f"want_{side}") * F.col("total") / F.col("now")).otherwise(0.0))
-    cells = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.round(F.col("mass") / F.col("tokens"), 9)).otherwise(0.0))
-    # cells by falling weight: those before the cut are taken whole
-    before = Window.orderBy(F.desc("weight"), *SIDES).rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    raked = F.col("tokens") * F.col("weight")
-    rest = F.sum(raked).over(everything) - F.coalesce(F.sum(raked).over(before), F.lit(0.0))
-    cells = cells.withColumn("scale", F.when(rest > 0, (F.lit(share) * F.col("total") - whole) / rest))
-    scale = F.max(F.when(F.col("scale") * F.col("weight") <= 1, F.col("scale"))).over(everything)
-    p = F.when(F.col("tokens") == 0, F.lit(1.0)).when(scale.isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), scale * F.col("weight")))
-    return cells.select(*SIDES, "tokens", "docs", "weight", F.round(p, 9).alias("probability"))
+            now = weighted([s for s in SIDES if s != side and s in factors]).groupBy(side).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
+            old = factors.get(side)
+            factors[side] = materialize(want[side].join(now, side).select(
+                side, F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(0.0).alias("factor")), f"factor-{side}")
+            if old is not None:
+                discard(spark, [x for x in scratch_tables() if any(f"/{x.rsplit('/', 1)[-1]}/" in f for f in old.inputFiles())])
+    raked = materialize(weighted(factors).withColumn("weight", F.round("weight", 9)), "weights")
+    discard(spark, [x for x in scratch_tables() if x not in before], raked)
+    scale = _scale(raked, share, total)
+    p = F.lit(1.0) if scale is None else F.least(F.lit(1.0), F.col("weight") * scale)
+    none = cells.where(F.col("tokens") == 0).select(*SIDES, "tokens", "docs", F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability"))
+    return raked.select("*", F.round(p, 9).alias("probability")).union(none)
 
 
 def mixed(docs: DataFrame, targets: dict | None = None, share: float = SHARE, damping: float = DAMPING, rounds: int = ROUNDS,
-          topics=TOPICS, least_share: float = LEAST_SHARE, seed: str = SEED, text: str = "text", source: str = "source",
+          topics=TOPICS, seed: str = SEED, text: str = "text", source: str = "source",
           lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """Every document: row (its columns), doc_id, source, lang, topic, n_tokens,
     weight, probability, selected."""
-    targets = targets or {}
     n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD)).cast("long")
     raw = materialize(docs.select(*_sides(docs, source, lang, text, topics), n.alias("n"))
                       .groupBy(*SIDES).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "cells")
-    pooled = raw
-    for side in SIDES:
-        values = _kept_values(raw, side, targets.get(side), least_share)
-        pooled = pooled.withColumn(f"of_{side}", F.when(F.col(side).isin(values), F.col(side)).otherwise(F.lit(OTHER)))
-    names = [F.col(f"of_{s}").alias(s) for s in SIDES]
-    cells = materialize(probabilities(pooled.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")),
-                                      targets, share, damping, rounds), "raked")
-    lookup = {side: _kept_values(raw, side, targets.get(side), least_share) for side in SIDES}
+    cells = materialize(probabilities(raw, targets, share, damping, rounds), "raked")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     uniform = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     out = docs.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), *_sides(docs, source, lang, text, topics), n.alias("n_tokens"))
-    for side in SIDES:
-        out = out.withColumn(side, F.when(F.col(side).isin(lookup[side]), F.col(side)).otherwise(F.lit(OTHER)))
-    return (out.join(F.broadcast(cells.select(*SIDES, "weight", "probability")), SIDES)  # bounded, see above
+    return (out.join(cells.select(*SIDES, "weight", "probability"), SIDES)
             .select("row", "doc_id", *SIDES, "n_tokens", "weight", "probability", (uniform < F.col("probability")).alias("selected")))
 
 
