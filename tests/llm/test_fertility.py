@@ -43,3 +43,12 @@ def test_bands_reject_strange_text_and_keep_prose(spark):
     assert kept == set(range(150)) | {902}
     assert Fe.accepted(df).columns == df.columns
     assert Fe.judge(df.limit(0)).collect() == []
+
+
+def test_rare_language_is_not_judged_by_another(spark):
+    r = random.Random(4)
+    prose = lambda w: " ".join(r.choice(w.split()) + r.choice(["", "s", "ing"]) for _ in range(120))
+    rows = [(i, prose("the of and water house people children little great year"), "en", "x", 1) for i in range(150)]
+    rows += [(500 + i, prose("không được người những trường nghiệp quyền đường"), "vi", "x", 1) for i in range(5)]
+    got = {x.doc_id: x for x in Fe.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[500 + i].script == "latin" and got[500 + i].kept for i in range(5))

@@ -8,9 +8,10 @@ its language breaks into more or fewer pieces, falls back to bytes or repeats
 its tokens.  A document is rejected when a measure leaves the band of its
 language: median -+ ``spread`` robust deviations (1.4826 x MAD, at least
 ``floor`` times the median).  Bands come from all documents of the language; a
-language with under ``least`` documents that pass the base rules (or under the
-share LEAST_SHARE of them) takes the bands of its script, and a script with
-fewer has none.  So there are at most 1 / LEAST_SHARE bands, which are broadcast.
+language with under ``least`` documents that pass the base rules has no band, and
+its documents are judged by the base rules alone: the band of its script is that
+of the dominant language, which clean prose of another need not meet.  ``least``
+is a fixed count, so a language does not lose its band as others grow.
 
 Simple counts of words, symbols, repeated lines and repeated three-word windows
 come with the measures; too few words or too much repetition fails a document
@@ -20,7 +21,7 @@ Each piece of a batch tokenises its distinct words only; one narrow pass reads
 the texts, and the bands come from a written table of measures.
 
 Cases: null text has no words (and fails the base rule); null language is a
-language of its own name "", judged by script if rare; repeated rows are judged
+language of its own name "", without a band if rare; repeated rows are judged
 alike; an empty table gives an empty result; extra columns are ignored by
 ``judge`` and kept by ``accepted``."""
 
@@ -38,7 +39,7 @@ from trapline.llm import common as C
 from trapline.session import materialize
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-SPREAD, FLOOR, LEAST, LEAST_SHARE = 6.0, 0.05, 100, 1e-4
+SPREAD, FLOOR, LEAST = 6.0, 0.05, 100
 KNOWN_WORDS = 100_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -182,23 +183,21 @@ def _judged(docs: DataFrame, row, paths, text, lang, spread, floor, least, carri
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     table = materialize(source.mapInArrow(_measure(paths or default_vocabularies(), carried), out).withColumn("base_failed", base), "fertility")
 
-    passed = table.where(~F.col("base_failed")).count()
-
     def bands(by: str) -> DataFrame:
         sound = table.where(~F.col("base_failed")).select(by, *MEASURES)
         mid = sound.groupBy(by).agg(F.count("*").alias("docs"), *[F.percentile_approx(m, 0.5, 10000).alias(f"mid_{m}") for m in MEASURES])
-        mid = mid.where(F.col("docs") >= max(least, LEAST_SHARE * passed))
-        off = sound.join(F.broadcast(mid), by).groupBy(by).agg(*[F.percentile_approx(F.abs(F.col(m) - F.col(f"mid_{m}")), 0.5, 10000).alias(f"off_{m}") for m in MEASURES])
+        mid = materialize(mid.where(F.col("docs") >= least), "mids")  # as many as languages: written, so their size is known to the joins
+        off = sound.join(mid, by).groupBy(by).agg(*[F.percentile_approx(F.abs(F.col(m) - F.col(f"mid_{m}")), 0.5, 10000).alias(f"off_{m}") for m in MEASURES])
         return mid.join(off, by).select(by, F.struct(*[F.struct(
             F.col(f"mid_{m}").alias("mid"), F.greatest(1.4826 * F.col(f"off_{m}"), floor * F.abs(F.col(f"mid_{m}")), F.lit(0.002)).alias("dev")).alias(m)
             for m in MEASURES]).alias(f"band_{by}"))
-    full = table.join(F.broadcast(bands("lang")), "lang", "left").join(F.broadcast(bands("script")), "script", "left")
-    band = F.coalesce("band_lang", "band_script")
+    full = table.join(materialize(bands("lang"), "bands"), "lang", "left")
+    band = F.col("band_lang")
     # fallback bytes are judged upwards only, entropy downwards only
     low = {m: F.col(m) < band[m]["mid"] - spread * band[m]["dev"] for m in MEASURES if m != "fallback_share"}
     high = {m: F.col(m) > band[m]["mid"] + spread * band[m]["dev"] for m in MEASURES if m != "token_entropy"}
     failed = F.array_compact(F.array(*[F.when(F.coalesce(low.get(m, F.lit(False)) | high.get(m, F.lit(False)), F.lit(False)), F.lit(m)) for m in MEASURES]))
-    return (full.withColumn("failed", failed).drop("band_lang", "band_script")
+    return (full.withColumn("failed", failed).drop("band_lang")
             .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)))
 
 
