@@ -143,3 +143,20 @@ def as_long(x: np.ndarray) -> np.ndarray:
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places start[0], start[0] + 1, ... of spans laid end to end."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(start - (ends - length), length)
+
+
+def joined(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words data[s:e], each followed by one space, laid end to end, and the
+    place of each word's first byte (and one past the last space)."""
+    places = np.zeros(len(s) + 1, np.int64)
+    np.cumsum(e - s + 1, out=places[1:])
+    out = np.full(places[-1], 0x20, np.uint8)
+    out[ragged(places[:-1], e - s)] = data[ragged(s, e - s)]
+    return out, places

@@ -15,7 +15,11 @@ _MODULES = {
     "op8_substring_dedup": ("automaton_dedup", "op8"),
     "op9_backoff_automaton": ("backoff_automaton", "op9"),
     "op10_dart_minhash": ("dart_minhash", "op10"),
+    "op11_position_crc": ("position_crc", "op11"),
+    "op12_periodic_runs": ("periodic_runs", "op12"),
+    "op13_exact_packing": ("exact_packing", "op13"),
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"trapline.llm.{module}"), fn) for name, (module, fn) in _MODULES.items()}
-ORACLES: dict[str, str] = {"op5_raking": importlib.import_module("trapline.llm.raking").oracle()}
+ORACLES: dict[str, str] = {"op5_raking": importlib.import_module("trapline.llm.raking").oracle(),
+                           "op11_position_crc": importlib.import_module("trapline.llm.position_crc").oracle()}
