@@ -56,7 +56,7 @@ def check(rows, got, capacity):
 def test_words_together_are_texts_whole(spark):
     r = random.Random(1)
     rows = [(i, t) for i, t in enumerate([*ODD, None, "<|endoftext|>", " <|startoftext|>x<|endoftext|> y", "a\x0bb\x0cc\x85d e", "é ́e"])]
-    rows += [(100 + i, "".join(r.choice("abcABC '.,!1é漢́\n\t\x0b\r Σ<|>") for _ in range(r.randint(1, 80)))) for i in range(500)]
+    rows += [(100 + i, "".join(r.choice("abcABCstSeH '.,!1éÀ×漢\u0301\u0331\n\t\x0b\r Σ<|>") for _ in range(r.randint(1, 80)))) for i in range(1500)]
     docs = spark.createDataFrame([(d, t, "clash", 9) for d, t in rows], "doc_id long, text string, length string, offset int").repartition(4)
     cut = X.pieces(docs, PATH, capacity=64, with_ids=True)
     got = X.packed(cut, 64).collect()

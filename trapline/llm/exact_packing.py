@@ -18,8 +18,8 @@ inside the task that wrote them, plus the counts of the tasks before, from a wri
 table.  So a length that holds a third of all pieces is spread like any other.  The
 plan's intervals of numbers (bounded as above) go to all tasks.
 
-Words are tokenised once a batch: ids of a word do not depend on what stands
-beyond the white space around it.
+Words, cut between letters, digits and marks, are tokenised once a batch: the ids
+of such a unit do not depend on what stands around it.
 
 Cases: null and empty texts are one piece of the end token alone; repeated rows are
 pieces of their own; a text of exactly n sequences has no empty rest; an
@@ -27,6 +27,7 @@ empty table gives an empty result; columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -40,12 +41,56 @@ from trapline.llm import common as C
 from trapline.session import materialize
 
 CAPACITY, END_ID = 4096, 1
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 400_000
+
+
+# bytes by what they are to the split pattern: letters, digits, marks other than the apostrophe
+LETTER, DIGIT, MARK = np.zeros((3, 256), bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = DIGIT[0x30:0x3A] = True
+MARK[0x21:0x7F] = True
+MARK[0x27] = False
+MARK &= ~LETTER & ~DIGIT
+
+
+def units(data: np.ndarray, offs: np.ndarray):
+    """Parts of texts that have the same ids wherever they stand: words, cut
+    between letters, digits and marks as the split pattern cuts them, too.  A
+    unit is ``plain`` if it is all Latin-1 letters; those are lower-cased here, as
+    the file asks, so that fewer differ.  Words with "<|" (they may hold added
+    tokens) stay whole, and so does all around an apostrophe or other characters.
+    Returns the bytes, unit starts and ends, and each text's offset in them."""
+    s, e, _ = C.words(data, offs)
+    letter, digit, mark = LETTER[data], DIGIT[data], MARK[data]
+    wide = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF: letters but for the signs x and /
+    wide = wide[(data[wide + 1] != 0x97) & (data[wide + 1] != 0xB7)]
+    letter[wide] = letter[wide + 1] = True
+    solid = letter | digit
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (solid[:-1] & (mark | digit)[1:]) | ((mark | digit)[:-1] & solid[1:])
+    added = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    if len(added):
+        words = np.unique(np.searchsorted(s, added, "right") - 1)
+        cut[C.ragged(s[words], e[words] - s[words])] = False
+        letter[C.ragged(s[words], e[words] - s[words])] = False
+    start, end = cut.copy(), cut
+    start[s] = True
+    end[e] = True
+    # a cut at a word's own edge is none
+    s, e = np.flatnonzero(start[:-1]), np.flatnonzero(end)
+    odd = np.r_[0, np.cumsum(~letter)]
+    plain = odd[e] == odd[s]
+    low = data.copy()
+    low[(data >= 0x41) & (data <= 0x5A)] += 0x20
+    up = wide[data[wide + 1] < 0x9F] + 1
+    low[up] += 0x20
+    inside = C.ragged(s[~plain], (e - s)[~plain])
+    low[inside] = data[inside]
+    return low, s, e, np.searchsorted(s, offs)
 
 
 class Words:
-    """Ids of words by the tokenizers library, one thread, with a bounded table
-    of words already encoded: places in one array of ids."""
+    """Ids of units by the tokenizers library, one thread, with a bounded table
+    of units already encoded: places in one array of ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,45 +98,62 @@ class Words:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        suffix = json.loads(self.tok.to_str())["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(self.tok.get_vocab_size(), bool)
+        self.closes[[i for w, i in self.tok.get_vocab().items() if w.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self):
         self.known: dict[str, int] = {}
-        self.ids, self.ends = np.empty(1 << 16, np.uint32), [0]
+        self.ids, self.ends = np.empty(1 << 20, np.uint32), np.zeros(1, np.int64)
+
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray):
+        at = int(self.ends[-1])
+        if at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[at:at + len(ids)] = ids
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.ends = np.concatenate([self.ends, at + np.cumsum(size)])
 
     def _learn(self, words: list[str]):
-        for enc, w in zip(self.tok.encode_batch_fast(words, add_special_tokens=False), words):
-            ids, at = enc.ids, self.ends[-1]
-            if at + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[at:at + len(ids)] = ids
-            self.known[w] = len(self.known)
-            self.ends.append(at + len(ids))
+        # a run of letters is one word to the model, whose last id says that it closes one: all in one text
+        one, rest = [], []
+        for w in words:
+            (one if w.isalpha() and w[-1] <= "ÿ" and max(w) <= "ÿ" else rest).append(w)
+        if one:
+            ids = np.array(self.tok.encode_batch_fast([" ".join(one)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.closes[ids])
+            if len(last) == len(one):
+                self._add(one, ids, np.diff(last, prepend=-1))
+            else:
+                rest = words
+        if rest:
+            each = [x.ids for x in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+            self._add(rest, np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each]))
 
     def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text, each with the end token, laid end to end; offsets."""
-        s, e, wo = C.words(data, offs)
-        line, at = C.joined(data, s, e)
-        # the words as an Arrow column over one buffer, without their spaces
-        flat = line[line != 0x20]
-        ends = np.r_[0, np.cumsum(e - s)]
-        column = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat))
+        low, s, e, wo = units(data, offs)
+        size = e - s
+        ends = np.zeros(len(s) + 1, np.int64)
+        np.cumsum(size, out=ends[1:])
+        column = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(ends), pa.py_buffer(low[~C.SEP[data]]))
         coded = column.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) + len(distinct) > KNOWN_WORDS:
             self._clear()
-        new = [w for w in distinct if w not in self.known]
+        known = self.known
+        new = [w for w in distinct if w not in known]
         if new:
             self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        bounds = np.array(self.ends)
+        place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
         word = place[coded.indices.to_numpy()] if len(s) else np.empty(0, np.int64)
-        size = bounds[word + 1] - bounds[word]
+        size = self.ends[word + 1] - self.ends[word]
         before = np.r_[0, np.cumsum(size)]
         out_offs = before[wo] + np.arange(len(offs))
         out = np.full(out_offs[-1], end_id, np.uint32)
         texts = np.repeat(np.arange(len(offs) - 1), np.diff(wo))
-        out[np.arange(before[-1]) + np.repeat(texts, size)] = self.ids[C.ragged(bounds[word], size)]
+        out[np.arange(before[-1]) + np.repeat(texts, size)] = self.ids[C.ragged(self.ends[word], size)]
         return out, out_offs
 
 
@@ -115,7 +177,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
     def rows(batches):
         words, seen = load(path), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part, data, offs in C.pieces(batch, "text"):
+            for part, data, offs in C.pieces(batch, "text", 4 * C.PIECE):
                 ids, at = words.encode(data, offs, end_id)
                 n = np.diff(at)
                 count = (n + capacity - 1) // capacity
