@@ -783,14 +783,6 @@ def _trained(spark, sf):
     return model, test
 
 
-@register("ml_train_eval")
-def q_ml_train_eval(spark, sf):
-    """M3 + M5: train on the 85% stratified split of documents ⋈ labels
-    (label = quality), evaluate on the held-out 15% (rows-only check)."""
-    model, test = _trained(spark, sf)
-    return M.evaluate(M.predict(model, test))
-
-
 @register("ml_chunk_predictions")
 def q_ml_chunk_predictions(spark, sf):
     """M6 + M7: batch inference on every document chunk, then the
@@ -955,24 +947,20 @@ def q_finding_views(spark, sf):
     return counts.join(top, "scan_id")
 
 
+ANCHOR_TAGS = ["p", "span", "div", "label", "h1", "h2", "h3", "h4", "h5", "h6", "li", "a", "button"]
+
+
 @register("evidence_locate")
 def q_evidence_locate(spark, sf):
-    """For each page finding whose evidence quotes page text (>= 3
-    chars), the first text element of an allowed tag containing it.  The
-    finding is joined to its page on the page key and the containment test
-    runs over that page's element array (rows-only check)."""
+    """For each quoted part (>= 3 characters) of a page finding's evidence,
+    the first text element of an allowed tag that contains it (rows-only check)."""
+    from trapline.operators.anchor import locate
     ext = PS.extract(planted_pages(spark, sf))
-    f = E.detect(ext)
-    core = F.regexp_extract("evidence", r'"([^"]{3,})"', 1)
-    f = f.withColumn("needle", core).where(F.col("needle") != "")
-    allowed = ["p", "span", "div", "label", "h1", "h2", "h3", "h4", "h5", "h6", "li", "a", "button"]
-    j = f.join(ext.select(F.col("page_id").alias("scan_id"), "text_elements"), "scan_id")
-    hits = F.filter(F.transform("text_elements", lambda e, i: F.struct(i.alias("i"), e["tag"].alias("tag"),
-                                                                       e["text"].alias("text"))),
-                    lambda x: x["tag"].isin(*allowed) & x["text"].contains(F.col("needle")))
-    first = F.try_element_at(hits, F.lit(1))
-    return j.select("scan_id", "seq", "type", "needle", first["i"].cast("bigint").alias("element_index"),
-                    first["tag"].alias("element_tag"))
+    quoted = F.regexp_extract_all("evidence", F.lit(r'"([^"]{3,})"'), 1)
+    f = E.detect(ext).select("scan_id", "seq", "type", F.posexplode(quoted).alias("part_no", "needle"))
+    pages = ext.select(F.col("page_id").alias("scan_id"), "text_elements")
+    return locate(f, pages, "scan_id", "needle", tags=ANCHOR_TAGS).select(
+        "scan_id", "seq", "type", F.col("part_no").cast("bigint").alias("part_no"), "needle", "element_index", "element_tag")
 
 
 @register("signal_mean", _with_pipeline(*PIPE[:4]) + f"""
@@ -997,18 +985,6 @@ def q_ml_augment(spark, sf):
         "doc_id", "label", "augmented", F.length("text").cast("bigint").alias("text_chars"))
 
 
-@register("ml_text_anomaly")
-def q_ml_anomaly(spark, sf):
-    """PCA reconstruction error of chunk features; fitted on chunks of
-    documents labelled quality=1, threshold = p99 of the errors of held-out ones."""
-    from trapline.sources.tables import read_table
-    ch = M.chunk_features(M.chunks(read_table(spark, sf, "documents")))
-    good = read_table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")
-    train = ch.join(good, "doc_id", "left_semi")
-    out = M.anomaly_scores(train, ch)
-    return out.select("doc_id", "chunk_no", round_half_up_col("recon_mse"), "is_anomaly")
-
-
 @register("quick_scan", _with_pipeline(
     O.overlay_a(), "quick_pre AS (SELECT * FROM raw_f WHERE engine IN ('dom', 'cookie', 'advanced'))",
     O.calibrate_ctes("quick_pre"), O.fuse_ctes(), O.consensus_ctes()) + "\n" + _cons_select())
@@ -1398,3 +1374,6 @@ def q_timer_price_rules_regex(spark, sf):
                   F.lower("html").alias("_html_l"))
     out = df.select("page_id", F.explode(E.dom_engine()).alias("f"))
     return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
+
+
+from trapline.plans import ml_catalog  # noqa: E402,F401  registers its queries here
