@@ -54,19 +54,23 @@ def jaccard(a, b):
     return lo / hi if hi else 0.0
 
 
-def classes(texts, threshold=0.8):
-    s = [shingle_counts(t) for t in texts]
-    up = list(range(len(s)))
+def merged(n, links):
+    """The least member of each one's group."""
+    up = list(range(n))
 
     def find(i):
         while up[i] != i:
             i = up[i]
         return i
-    for i in range(len(s)):
-        for j in range(i):
-            if jaccard(s[i], s[j]) >= threshold:
-                up[find(i)] = find(j)
-    return [find(i) for i in range(len(s))]
+    for i, j in links:
+        i, j = find(i), find(j)
+        up[max(i, j)] = min(i, j)
+    return [find(i) for i in range(n)]
+
+
+def classes(texts, threshold=0.8):
+    s = [shingle_counts(t) for t in texts]
+    return merged(len(s), ((i, j) for i in range(len(s)) for j in range(i) if jaccard(s[i], s[j]) >= threshold))
 
 
 def base_counts(text):

@@ -64,6 +64,40 @@ def test_links_that_no_centre_sees(spark):
     assert len(set(want)) == 60
 
 
+def test_components_with_a_link_are_joined(spark):
+    """Components given by hand in one bucket: whatever their centres say, two of
+    them with a link end as one, and others stay apart."""
+    from pyspark.sql import functions as F
+
+    from trapline.llm.components import components
+    from trapline.session import materialize
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, sets = [word() for _ in range(60)], []
+    for _ in range(120):  # one change breaks five shingles of 56: two apart are links, three are not always
+        w = list(base) if r.random() < 0.8 else [word() for _ in range(60)]
+        for at in r.sample(range(0, 60, 6), r.choice([0, 1, 2, 3])):
+            w[at] = word()
+        sets.append(" ".join(w))
+    label = [r.randrange(25) for _ in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(sets)], ["fp", "text"])
+    body = spark.createDataFrame([(b["fp"], b["body"]) for out in D._lists(5)([batch]) for b in out.to_pylist()], "fp long, body binary")
+    contested = spark.createDataFrame([(i, 1000 + c, r.randrange(9), 7) for i, c in enumerate(label)], "fp long, label long, meets long, bucket long")
+
+    def measured(pairs, b):
+        full = pairs.join(b.select(F.col("fp").alias("a"), F.col("body").alias("body_a")), "a").join(b.select(F.col("fp").alias("b"), F.col("body").alias("body_b")), "b")
+        return materialize(full.mapInArrow(D._distances, "a long, b long, far double"), "distances")
+
+    s = [brute.shingle_counts(t) for t in sets]
+    own = [(i, label.index(c)) for i, c in enumerate(label)]
+    want = brute.merged(120, own + [(i, j) for i in range(120) for j in range(i) if brute.jaccard(s[i], s[j]) >= 0.8])
+    found = [(x.a, x.b) for links in D._across(contested, body, 0.8, measured) for x in links.collect()]
+    assert all(brute.jaccard(s[a], s[b]) >= 0.8 for a, b in found)
+    assert brute.merged(120, own + found) == want
+    assert 1 < len(set(want)) < 25
+    assert components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
+
+
 def test_repeated_null_and_empty(spark):
     schema = "doc_id long, text string"
     got = D.classes(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z")], schema)).collect()

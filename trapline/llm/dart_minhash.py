@@ -20,13 +20,16 @@ compared to three of them -- the one that meets most others over all its buckets
 one -- so the pairs number at most three per member, however hot the bucket is.
 Every pair is held to the exact index of its whole shingle lists; links at
 ``threshold`` or more make components.  Buckets whose members lie in one
-component are settled.  In the contested ones a prefix filter finds every link
-that the centres could not: shingles are ordered by the number of contested
-documents that hold them, those held by one component only first, and two
-documents at ``threshold`` must share one of their earliest ``1 - threshold``
-shares, at places that leave room for enough others.  So documents that have a
-frequent passage in common, and nothing else, make no pairs.  The pairs left are
-checked like the others; no link between members of one bucket is lost.
+component are settled.  In the contested ones a prefix filter finds the components
+that may be linked: shingles are ordered by the number of contested documents that
+hold them, those held by one component only first, and two documents at
+``threshold`` must share one of their earliest ``1 - threshold`` shares, at places
+that leave room for enough others.  So components that have a frequent passage in
+common, and nothing else, do not meet.  Two components that meet are compared by
+their centres first; one less the index is a distance, so the triangle inequality
+tells which members, if any, can still be near, and those are checked in turn until
+the two are linked or no member is left.  No two components with a link in one
+bucket stay apart.
 
 Cases: null text is empty; a document without words has no shingles and is a
 class of its own; rows repeated whole fall in one class; a class is named by
@@ -35,6 +38,7 @@ extra columns are ignored."""
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -160,19 +164,18 @@ def _lists(width):
     return run
 
 
-def _similar(threshold):
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column("body_a"), batch.column("body_b")
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                both = int((z[1:] == z[:-1]).sum())
-                keep.append(both >= threshold * (len(z) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
+def _distances(batches):
+    """One less the index of each pair's shingle lists."""
+    for batch in batches:
+        a, b = batch.column("body_a"), batch.column("body_b")
+        far = np.empty(batch.num_rows)
+        for i in range(batch.num_rows):
+            x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
+            z = np.concatenate([x, y])
+            z.sort(kind="stable")
+            both = int((z[1:] == z[:-1]).sum())
+            far[i] = 1 - both / (len(z) - both)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far)], ["a", "b", "far"])
 
 
 def _elements(batches):
@@ -188,23 +191,57 @@ def _elements(batches):
                                                  ["fp", "label", "total", "el"])
 
 
-def _across(contested: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members of one contested bucket that lie in different components
-    and pass the prefix filter: a superset of the links among them."""
+def _neighbours(contested: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of components (lo, hi) that may have a link in one bucket, by the
+    prefix filter over their members: a row per component, bucket and early
+    shingle, however many members hold it."""
     label = contested.select("fp", "label").distinct()
     els = materialize(body.join(label, "fp").mapInArrow(_elements, "fp long, label long, total long, el long"), "elements")
     shared = els.groupBy("el").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     doc = Window.partitionBy("fp")
     rank = F.col("total") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("df", "el"))
-    early = els.join(shared.select("el", "df"), "el").select("fp", "label", "total", "el", rank.alias("rank"))
+    early = els.join(shared.select("el", "df"), "el").select("fp", "total", "el", rank.alias("rank"))
     early = early.where(F.col("rank") <= F.col("total") - F.ceil(F.col("total") * threshold - 1e-6) + 1)
-    rows = materialize(early.join(contested.select("fp", "bucket"), "fp"), "prefixes")
+    held = early.join(contested.select("fp", "label", "bucket"), "fp").groupBy("bucket", "el", "label").agg(
+        F.min("total").alias("short"), F.max("total").alias("long"), F.max(F.col("total") - F.col("rank")).alias("room"))
+    rows = materialize(held, "prefixes")
     x, y = rows.alias("x"), rows.alias("y")
-    total, room = F.col("x.total") + F.col("y.total"), F.least(F.expr("x.total - x.rank"), F.expr("y.total - y.rank")) + 1
-    pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.el = y.el AND x.fp < y.fp AND x.label <> y.label")
-                   & (room >= total * (threshold / (1 + threshold)) - 1e-6)
-                   & (F.least("x.total", "y.total") >= F.greatest("x.total", "y.total") * threshold - 1e-6))
-    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.el = y.el AND x.label < y.label")
+                   & (F.least("x.room", "y.room") + 1 >= (F.col("x.short") + F.col("y.short")) * (threshold / (1 + threshold)) - 1e-6)
+                   & (F.least("x.long", "y.long") >= F.greatest("x.short", "y.short") * threshold - 1e-6))
+    return pairs.select(F.col("x.label").alias("lo"), F.col("y.label").alias("hi")).distinct()
+
+
+def _across(contested: DataFrame, body: DataFrame, threshold: float, measured) -> list[DataFrame]:
+    """Links (a, b) that join every two components with a link in one bucket.
+    One less the index is a distance, so the triangle inequality settles most by
+    few members: centre to centre, then the members of the smaller component to
+    the larger one's centre, and only then the members that may still be near."""
+    most = 1 - threshold + 1e-9
+    near = materialize(_neighbours(contested, body, threshold), "neighbours")
+    member = materialize(contested.groupBy("fp", "label").agg(F.max("meets").alias("meets")).join(
+        near.select(F.explode(F.array("lo", "hi")).alias("label")).distinct(), "label"), "members")
+    centre = member.groupBy("label").agg(F.max(F.struct("meets", "fp"))["fp"].alias("centre"), F.count("*").alias("n"))
+    reach = measured(member.join(centre, "label").where("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")), body)
+    member = materialize(member.join(reach.select(F.col("a").alias("fp"), "far"), "fp", "left").select("fp", "label", F.coalesce("far", F.lit(0.0)).alias("far")), "members")
+    centre = materialize(centre.join(member.groupBy("label").agg(F.max("far").alias("radius")), "label"), "centres")
+    two = (near.join(centre.select(*[F.col(c).alias(f"{c}_lo") for c in centre.columns]), F.col("lo") == F.col("label_lo"))
+           .join(centre.select(*[F.col(c).alias(f"{c}_hi") for c in centre.columns]), F.col("hi") == F.col("label_hi")))
+    swap = F.col("n_lo") > F.col("n_hi")
+    side = lambda c, big: F.when(swap, F.col(f"{c}_{'lo' if big else 'hi'}")).otherwise(F.col(f"{c}_{'hi' if big else 'lo'}"))
+    two = materialize(two.select(*[side(c, b).alias(f"{c}_{'big' if b else 'small'}") for c in ("label", "centre", "radius") for b in (True, False)]), "neighbours")
+    first = measured(two.select(F.col("centre_small").alias("a"), F.col("centre_big").alias("b")), body)
+    open_ = two.join(first.select(F.col("a").alias("centre_small"), F.col("b").alias("centre_big"), "far"), ["centre_small", "centre_big"])
+    open_ = open_.where((F.col("far") > most) & (F.col("far") <= F.col("radius_small") + F.col("radius_big") + most)).drop("far")
+    small = member.select(F.col("fp").alias("a"), F.col("label").alias("label_small"))
+    asked = materialize(open_.join(small, "label_small").select("a", F.col("centre_big").alias("b"), "label_small", "label_big", "radius_big"), "asked")
+    second = measured(asked.select("a", "b").distinct(), body)
+    asked = asked.join(second, ["a", "b"])
+    linked = asked.where(F.col("far") <= most).select("label_small", "label_big").distinct()
+    left = asked.where(F.col("far") <= F.col("radius_big") + most).join(linked, ["label_small", "label_big"], "left_anti")
+    big = member.select(F.col("fp").alias("y"), F.col("label").alias("label_big"), F.col("far").alias("own"))
+    third = left.join(big, "label_big").where((F.col("own") > 0) & (F.col("own") >= F.col("far") - most)).select("a", F.col("y").alias("b")).distinct()
+    return [d.where(F.col("far") <= most).select("a", "b") for d in (first, second, measured(third, body))]
 
 
 def _stars(buckets: DataFrame, threshold: float) -> DataFrame:
@@ -236,23 +273,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE,
         return materialize(source.join(where, ["did", "tkey"]).select("fp", "text").dropDuplicates(["fp"])
                            .mapInArrow(_lists(width), _LIST), "shingles")
 
-    def verified(pairs: DataFrame, body: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame, body: DataFrame) -> DataFrame:
         full = (pairs.join(body.select(F.col("fp").alias("a"), F.col("body").alias("body_a")), "a")
                 .join(body.select(F.col("fp").alias("b"), F.col("body").alias("body_b")), "b"))
-        return materialize(full.mapInArrow(_similar(threshold), "a long, b long"), "similar")
+        return materialize(full.mapInArrow(_distances, "a long, b long, far double"), "distances")
 
     pairs = materialize(_stars(bucket, threshold), "pairs")
-    links = verified(pairs, lists(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))))
+    links = measured(pairs, lists(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))))
+    links = links.where(F.col("far") <= 1 - threshold + 1e-9).select("a", "b")
     label = components(links)
     member = bucket.join(label.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = member.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     contested = materialize(member.join(mixed.select("band", "key"), ["band", "key"])
-                            .select("fp", "label", F.xxhash64("band", "key").alias("bucket")), "contested")
-    body = lists(contested.select("fp"))
-    left = materialize(_across(contested, body, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verified(left, body)
-    if more.limit(1).count():
-        label = components(links.union(more))
+                            .select("fp", "label", "meets", F.xxhash64("band", "key").alias("bucket")), "contested")
+    more = _across(contested, lists(contested.select("fp")), threshold, measured)
+    if any(m.limit(1).count() for m in more):
+        label = components(functools.reduce(DataFrame.union, more, links))
     single = F.when(F.col("total") == 0, F.xxhash64("did", "tkey", F.lit("no words"))).otherwise(F.coalesce("label", "fp"))
     named = materialize(sketch.select("did", "tkey", "doc_id", "fp", "total").join(label.withColumnRenamed("node", "fp"), "fp", "left")
                         .select("did", "tkey", "doc_id", single.alias("cls")), "classes")
