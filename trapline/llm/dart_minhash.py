@@ -27,9 +27,9 @@ hold them, those held by one component only first, and two documents at
 that leave room for enough others.  So components that have a frequent passage in
 common, and nothing else, do not meet.  Two components that meet are compared by
 their centres first; one less the index is a distance, so the triangle inequality
-tells which members, if any, can still be near, and those are checked in turn until
-the two are linked or no member is left.  No two components with a link in one
-bucket stay apart.
+tells which members, if any, can still be near.  Those meet in blocks of bounded
+size, not in pairs, and each yields its nearest neighbour there at most.  No two
+components with a link in one bucket stay apart.
 
 Cases: null text is empty; a document without words has no shingles and is a
 class of its own; rows repeated whole fall in one class; a class is named by
@@ -51,6 +51,7 @@ from trapline.llm.components import components
 from trapline.session import materialize
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
+BLOCK = 1 << 17  # bytes of shingle lists
 _U = np.uint64
 
 
@@ -239,9 +240,43 @@ def _across(contested: DataFrame, body: DataFrame, threshold: float, measured) -
     asked = asked.join(second, ["a", "b"])
     linked = asked.where(F.col("far") <= most).select("label_small", "label_big").distinct()
     left = asked.where(F.col("far") <= F.col("radius_big") + most).join(linked, ["label_small", "label_big"], "left_anti")
-    big = member.select(F.col("fp").alias("y"), F.col("label").alias("label_big"), F.col("far").alias("own"))
-    third = left.join(big, "label_big").where((F.col("own") > 0) & (F.col("own") >= F.col("far") - most)).select("a", F.col("y").alias("b")).distinct()
-    return [d.where(F.col("far") <= most).select("a", "b") for d in (first, second, measured(third, body))]
+    left = left.groupBy(F.col("label_big").alias("label"), F.col("a").alias("fp")).agg(F.min("far").alias("far"))
+    big = member.join(left.select("label").distinct(), "label", "left_semi")
+    x, y = _blocks(left, body, "xs"), _blocks(big, body, "ys")
+    third = materialize(x.join(y, "label").select("xs", "ys").mapInArrow(_nearest(most), "a long, b long"), "nearest")
+    return [d.where(F.col("far") <= most).select("a", "b") for d in (first, second)] + [third]
+
+
+def _blocks(rows: DataFrame, body: DataFrame, name: str) -> DataFrame:
+    """(label, list of fp, far, body): the rows of a label in blocks of about BLOCK bytes, by hash."""
+    full = rows.select("label", "fp", "far").join(body, "fp")
+    parts = full.groupBy("label").agg(F.ceil(F.sum(F.length("body") + 16) / BLOCK).alias("parts"))
+    full = full.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    return full.groupBy("label", "part").agg(F.collect_list(F.struct("fp", "far", "body")).alias(name)).drop("part")
+
+
+def _nearest(most: float):
+    """For each of a block's documents the nearest of another block's, if it is a
+    link; those that the distances to a common centre keep apart are passed over."""
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for i in range(batch.num_rows):
+                xs, ys = batch.column("xs")[i].values, batch.column("ys")[i].values
+                size = np.array([len(v.as_buffer()) // 8 for v in ys.field("body")])
+                flat = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in ys.field("body")])
+                at, own, fps = np.cumsum(size) - size, ys.field("far").to_numpy(), ys.field("fp").to_pylist()
+                for fp, far, v in zip(xs.field("fp").to_pylist(), xs.field("far").to_pylist(), xs.field("body")):
+                    mine = np.frombuffer(v.as_buffer(), np.uint64)
+                    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    both = np.add.reduceat(hit, at, dtype=np.int64)
+                    gap = np.where(own >= far - most, 1 - both / (size + len(mine) - both), 2.0)
+                    k = int(np.argmin(gap))
+                    if gap[k] <= most:
+                        a.append(fp)
+                        b.append(fps[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return run
 
 
 def _stars(buckets: DataFrame, threshold: float) -> DataFrame:
