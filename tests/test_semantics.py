@@ -205,3 +205,47 @@ def test_caps_of_none_keep_every_finding(spark):
     assert A.dedupe_and_cap(df, None, None).count() == 9
     assert A.dedupe_and_cap(df, 4, 2).count() == 4
     assert A.dedupe_and_cap(df, None, None, evidence_chars=60).count() == 1
+
+
+def test_claims_in_long_elements_are_found(spark):
+    """A claim after character 600 of one paragraph, on the parser path and as a
+    column; a container that repeats it adds no second finding."""
+    from pyspark.sql import functions as F
+
+    from trapline.operators.detectors import engines as E
+    from trapline.sources.extract import extract_pages
+    prose = "A calm sentence about a walk in the park without any offer in it. " * 12
+    text = prose + "Only 2 rooms left, reserve for $99! " + prose
+    pages = spark.createDataFrame([(1, "https://a/b", f"<div><p>{text}</p><p>Only 2 rooms left, reserve for $99!</p></div>")], "page_id long, url string, html string")
+    got = E.detect(extract_pages(pages), ["text"]).collect()
+    assert [(r.type, r.evidence) for r in got] == [("Numeric Scarcity Claim", '"Only 2 rooms left, reserve for $99!"')]
+    df = spark.createDataFrame([([("p", text, ""), ("p", "v1.5 is out", "")],)], "text_elements array<struct<tag:string,text:string,classes:string>>")
+    out = df.select(E.claims(F.col("text_elements")).alias("c")).first().c
+    assert " ".join(c.text for c in out[:-1]) == text.strip() + " " or "".join(c.text for c in out[:-1]).replace(" ", "") == text.replace(" ", "")
+    assert out[-1].text == "v1.5 is out"
+
+
+def test_evidence_is_whole(spark):
+    from trapline.operators.detectors import engines as E
+    from trapline.sources.extract import extract_pages
+    label, prices = "Send me the newsletter " + "and more news " * 40, "".join(f'<span class="price">${i}.99</span>' for i in range(9))
+    html = f'<label><input type="checkbox" name="n" checked>{label}</label><div class="cart">{prices}</div><p>checkout</p>'
+    got = {r.type: r.evidence for r in E.detect(extract_pages(spark.createDataFrame([(1, "https://a/b", html)], "page_id long, url string, html string")), ["dom"]).collect()}
+    assert label.strip() in got["Pre-Selected Marketing Checkbox"]
+    assert "$8.99" in got["Potential Drip Pricing"] and "$0.99" in got["Potential Drip Pricing"]
+
+
+def test_deep_pages_equal_the_sorted_list(spark, monkeypatch):
+    import pytest
+
+    from trapline.operators import analytics as N
+    store = spark.range(700).selectExpr("concat('s', lpad(id, 4, '0')) as scan_id", "'u' as url", "'d' as domain", "id as trust_score", "'A' as grade",
+                                        "id as total_patterns", "'low' as risk_label", "cast(id % 40 as long) as timestamp").repartition(5)
+    want = [r.scan_id for r in store.orderBy("timestamp", "scan_id", ascending=False).collect()]
+    monkeypatch.setattr(N, "NEAR_ROWS", 10)
+    for page, limit in ((1, 60), (3, 100), (7, 100), (8, 100), (2, 650)):
+        rows = sorted(N.paged_history(store, page, limit).collect(), key=lambda r: r.position)
+        assert [r.scan_id for r in rows] == want[(page - 1) * limit:page * limit]
+        assert [r.position for r in rows] == list(range((page - 1) * limit + 1, min(page * limit, 700) + 1))
+    with pytest.raises(ValueError):
+        N.paged_history(store, 1, 0)

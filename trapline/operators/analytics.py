@@ -12,22 +12,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.functions.columns import exact_avg, round_half_up
+from trapline.session import materialize
 
 
 def _recent(store: DataFrame, ts: str = "timestamp") -> Window:
     return Window.orderBy(F.col(ts).desc(), F.col("scan_id").desc())
 
 
+NEAR_ROWS = 10_000
+
+
 def paged_history(store: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
-    """Newest first (ties: higher scan_id first), 1-based page; the API
-    clamps limit to 1..50.  A global top-(page*limit) is a bounded sort."""
-    limit = max(1, min(50, int(limit)))
-    page = max(1, int(page))
+    """Newest first (ties: higher scan_id first), 1-based page of ``limit`` rows
+    (any number from 1; less is refused).  The first NEAR_ROWS rows are a bounded
+    sort; a page beyond them is found by dealing the rows by range, counting each
+    range, and numbering only the ranges that the page lies in."""
+    if limit < 1 or page < 1:
+        raise ValueError("page and limit start at 1")
     offset = (page - 1) * limit
     cols = ["scan_id", "url", "domain", "trust_score", "grade", "total_patterns", "risk_label", "timestamp"]
-    top = store.select(*cols).orderBy(F.col("timestamp").desc(), F.col("scan_id").desc()).limit(offset + limit)
-    return (top.withColumn("position", F.row_number().over(_recent(top)).cast("bigint"))
-            .where(F.col("position") > offset))
+    order = [F.col("timestamp").desc(), F.col("scan_id").desc()]
+    if offset + limit <= NEAR_ROWS:
+        top = store.select(*cols).orderBy(*order).limit(offset + limit)
+        return (top.withColumn("position", F.row_number().over(_recent(top)).cast("bigint"))
+                .where(F.col("position") > offset))
+    n = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(store.select(*cols).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "history-ranges")
+    before, skip = 0, F.lit(None).cast("bigint")
+    for r in sorted(dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_range"]):  # one row a range
+        if before < offset + limit and before + r["n"] > offset:
+            skip = F.when(F.col("_range") == r["_range"], F.lit(before)).otherwise(skip)
+        before += r["n"]
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_skip")
+    return (dealt.withColumn("_skip", skip).where("_skip is not null").withColumn("position", place.cast("bigint"))
+            .where((F.col("position") > offset) & (F.col("position") <= offset + limit)).select(*cols, "position"))
 
 
 def top_categories(store: DataFrame, findings: DataFrame, recent: int = 50, k: int = 5) -> DataFrame:

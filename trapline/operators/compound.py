@@ -43,8 +43,7 @@ def compound_findings(raw: DataFrame, brand: str = fixed.SUMMARY_BRAND) -> DataF
         F.array_sort(F.collect_list(F.struct("p", "type"))).alias("_tp"),
     ).where((F.col("total_weight") >= fixed.COMPOUND_TRIGGER_WEIGHT)
             & (F.col("n_categories") >= fixed.COMPOUND_MIN_CATEGORIES))
-    t = t.withColumn("types", F.slice(F.array_distinct(F.transform("_tp", lambda s: s["type"])),
-                                      1, fixed.COMPOUND_MAX_TYPES))
+    t = t.withColumn("types", F.array_distinct(F.transform("_tp", lambda s: s["type"])))
     conf = round_half_up(
         F.least(F.lit(0.95), F.lit(0.60) + F.lit(0.35) * (F.lit(1.0) - F.exp(-F.col("total_weight") / F.lit(12.0)))), 3)
     return t.select(

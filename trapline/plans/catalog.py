@@ -378,6 +378,16 @@ def q_history_page(spark, sf):
     return N.paged_history(report_store(spark, sf), page=3, limit=20)
 
 
+@register("history_deep_page", "WITH " + store_sql() + """
+SELECT * FROM (
+  SELECT scan_id, url, domain, trust_score, grade, total_patterns, risk_label, timestamp,
+         row_number() OVER (ORDER BY timestamp DESC, scan_id DESC) AS position FROM store)
+WHERE position > 10800 AND position <= 11700""")
+def q_history_deep_page(spark, sf):
+    """N1 far from the newest: the ranges that page 13 of 900 lies in."""
+    return N.paged_history(report_store(spark, sf), page=13, limit=900)
+
+
 @register("top_categories", "WITH " + store_sql() + """,
 last AS (SELECT scan_id FROM store ORDER BY timestamp DESC, scan_id DESC LIMIT 50),
 c AS (SELECT category, CAST(count(*) AS BIGINT) AS n FROM raw_f WHERE scan_id IN (SELECT scan_id FROM last)
@@ -1208,14 +1218,19 @@ te AS (SELECT page_id, unnest(tags) AS tag, unnest(attrs) AS a, unnest(texts) AS
               unnest(range(len(tags))) AS i FROM te0),
 te1 AS (SELECT page_id, tag, i, {O.strip('raw_t')} AS t,
                trim(regexp_replace(regexp_extract(a, 'class="([^"]*)"', 1), '\\s+', ' ', 'g')) AS cls FROM te),
-el AS (SELECT * FROM te1 WHERE length(t) > 5 AND length(t) < 500),
+el AS (SELECT * FROM te1 WHERE length(t) > 5),
 ctx AS (SELECT page_id, lower(string_agg(t, ' ' ORDER BY i)) AS c FROM el WHERE t <> '' GROUP BY page_id),
+unit AS (
+  SELECT page_id, tag, i, cls, 0 AS j, t FROM el WHERE length(t) < {E.TEXT_MAX_LEN}
+  UNION ALL
+  SELECT page_id, tag, i, cls, unnest(range(len(s))), unnest(s)
+  FROM (SELECT *, string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM el WHERE length(t) >= {E.TEXT_MAX_LEN})),
 cand AS (
-  SELECT el.page_id, el.i, lower(el.t) AS low, lower({strip_t}) AS k, el.t,
+  SELECT el.page_id, el.i, el.j, lower(el.t) AS low, lower({strip_t}) AS k, el.t,
          CASE WHEN el.cls <> '' THEN el.tag || ' .' || replace(el.cls, ' ', '.') ELSE el.tag END AS element,
          ({any_re('ctx.c', E.PRICE_CONTEXT)} OR {O.any_contains('ctx.c', E.CTA_KW)}
           OR {any_re('lower(el.t)', E.PRICE_CONTEXT)} OR {O.any_contains('lower(el.t)', E.CTA_KW)}) AS ok_ctx
-  FROM el JOIN ctx USING (page_id) WHERE el.t <> '' AND length(el.t) < {E.TEXT_MAX_LEN}),
+  FROM unit el JOIN ctx USING (page_id) WHERE el.t <> ''),
 typed AS (
   SELECT *, CASE WHEN {any_re('low', E.NUMERIC_SCARCITY)} THEN (CASE WHEN ok_ctx THEN 'Numeric Scarcity Claim' END)
                  WHEN {any_re('low', E.STANDALONE_URGENCY)} THEN 'Standalone Urgency Claim'
@@ -1223,7 +1238,7 @@ typed AS (
                    THEN (CASE WHEN regexp_matches(low, '[0-9]+') AND ok_ctx THEN 'Urgency/Scarcity Messaging' END) END AS type
   FROM cand)
 SELECT page_id, type, element FROM (
-  SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY i) AS r FROM typed WHERE type IS NOT NULL)
+  SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY i, j) AS r FROM typed WHERE type IS NOT NULL)
 WHERE r = 1"""
 
 
@@ -1239,7 +1254,7 @@ def q_text_rules_regex(spark, sf):
                      F.regexp_extract_all(h, F.lit(TEXT_EL_RE), 3).alias("t"))
     els = F.filter(F.transform(z, lambda x: F.struct(x["tag"].alias("tag"), py_strip(x["t"]).alias("text"),
                                                      _classes(x["a"]).alias("classes"))),
-                   lambda e: (F.length(e["text"]) > 5) & (F.length(e["text"]) < 500))
+                   lambda e: F.length(e["text"]) > 5)
     df = p.select("page_id", els.alias("text_elements"))
     out = df.select("page_id", F.explode(E.text_engine()).alias("f"))
     return out.select("page_id", F.col("f.type").alias("type"), F.col("f.element").alias("element"))
@@ -1316,10 +1331,10 @@ def _timer_price_sql() -> str:
     cls = "lower(trim(regexp_replace(regexp_extract(a, 'class=\"([^\"]*)\"', 1), '\\s+', ' ', 'g')))"
     idl = "lower(regexp_extract(a, 'id=\"([^\"]*)\"', 1))"
     timer = (f"({O.any_contains('cls', X.TIMER_CLASSES)} OR {O.any_contains('idl', X.TIMER_IDS)} "
-             f"OR {O.any_contains('lower(substring(t, 1, 200))', X.TIMER_TEXT_KEYWORDS)} "
+             f"OR {O.any_contains('lower(t)', X.TIMER_TEXT_KEYWORDS)} "
              f"OR {O.any_contains('a', [d + '=' for d in X.TIMER_DATA_ATTRS])})")
     price = (f"(({O.any_contains('cls', X.PRICE_CLASS_KEYWORDS)} OR {O.any_contains('idl', X.PRICE_CLASS_KEYWORDS)}) "
-             f"AND regexp_matches(t, {O.q(X.CURRENCY_RE.pattern)}) AND length(t) < 80)")
+             f"AND regexp_matches(t, {O.q(X.CURRENCY_RE.pattern)}))")
     return "WITH " + planted_pages_sql() + f""",
 te0 AS (SELECT page_id, html, regexp_extract_all(html, {O.q(TEXT_EL_RE)}, 1) AS tags,
                regexp_extract_all(html, {O.q(TEXT_EL_RE)}, 2) AS attrs,
@@ -1328,7 +1343,7 @@ te AS (SELECT page_id, unnest(tags) AS tag, coalesce(unnest(attrs), '') AS a, {O
 te1 AS (SELECT page_id, tag, a, t, {cls} AS cls, {idl} AS idl FROM te),
 np AS (SELECT page_id, count_if({price}) AS n_prices FROM te1 GROUP BY page_id)
 SELECT page_id, 'Countdown Timer / Fake Urgency' AS type, tag || '.' || cls AS element
-FROM te1 WHERE {timer} AND {O.any_contains('lower(substring(t, 1, 200))', E.TIMER_URGENCY_KW)}
+FROM te1 WHERE {timer} AND {O.any_contains('lower(t)', E.TIMER_URGENCY_KW)}
 UNION ALL
 SELECT np.page_id, 'Potential Drip Pricing', 'Multiple price elements'
 FROM np JOIN te0 USING (page_id) WHERE n_prices >= 3 AND {O.any_contains('lower(te0.html)', E.CHECKOUT_SIGNALS)}"""
@@ -1351,15 +1366,15 @@ def q_timer_price_rules_regex(spark, sf):
     def is_timer(e):
         c, i = F.lower(_classes(e["a"])), F.lower(_attr(e["a"], "id"))
         return (E._has(c, X.TIMER_CLASSES) | E._has(i, X.TIMER_IDS)
-                | E._has(F.lower(F.substring(e["t"], 1, 200)), X.TIMER_TEXT_KEYWORDS)
+                | E._has(F.lower(e["t"]), X.TIMER_TEXT_KEYWORDS)
                 | E._has(e["a"], [d + "=" for d in X.TIMER_DATA_ATTRS]))
 
     def is_price(e):
         c, i = F.lower(_classes(e["a"])), F.lower(_attr(e["a"], "id"))
         return ((E._has(c, X.PRICE_CLASS_KEYWORDS) | E._has(i, X.PRICE_CLASS_KEYWORDS))
-                & e["t"].rlike(X.CURRENCY_RE.pattern) & (F.length(e["t"]) < 80))
+                & e["t"].rlike(X.CURRENCY_RE.pattern))
     timers = F.transform(F.filter(els, is_timer), lambda e: F.struct(
-        e["tag"].alias("tag"), F.substring(e["t"], 1, 200).alias("text"), F.lower(_classes(e["a"])).alias("classes"),
+        e["tag"].alias("tag"), e["t"].alias("text"), F.lower(_classes(e["a"])).alias("classes"),
         F.lower(_attr(e["a"], "id")).alias("id")))
     prices = F.transform(F.filter(els, is_price), lambda e: F.struct(e["t"].alias("text"),
                                                                     F.lower(_classes(e["a"])).alias("classes")))

@@ -143,7 +143,7 @@ cmp_ty AS (
   SELECT scan_id, string_agg(type, ', ' ORDER BY p) AS types
   FROM (SELECT scan_id, type, p, row_number() OVER (PARTITION BY scan_id ORDER BY p) AS r
         FROM (SELECT scan_id, type, min(pos) AS p FROM cmp_v GROUP BY scan_id, type))
-  WHERE r <= {fixed.COMPOUND_MAX_TYPES} GROUP BY scan_id),
+  GROUP BY scan_id),
 cmp AS (
   SELECT t.scan_id, {fixed.COMPOUND_RANK} AS erank, CAST(1 AS BIGINT) AS seq,
          CAST({fixed.COMPOUND_RANK} AS BIGINT) * {SHIFT} + 1 AS pos,
