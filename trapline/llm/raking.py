@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 
 from trapline.session import discard, materialize, scratch_tables
 
-ROUNDS, SHARE, DAMPING, LEAST_SHARE, SEED = 8, 0.9, 0.7, 0.005, "mix"  # LEAST_SHARE: oracle() only
+ROUNDS, SHARE, DAMPING, SEED = 8, 0.9, 0.7, "mix"
 TOPICS = [("contact", "@|https?://"), ("legal", "(?i)licen[cs]e|copyright"), ("figures", "[0-9]{3}")]
-OTHER = "other"
 SIDES = ["source", "lang", "topic"]
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -135,16 +134,12 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *SIDES, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
 
 
-def oracle(rounds: int = ROUNDS, share: float = SHARE, damping: float = DAMPING, least: float = LEAST_SHARE, seed: str = SEED, topics=TOPICS) -> str:
+def oracle(rounds: int = ROUNDS, share: float = SHARE, damping: float = DAMPING, seed: str = SEED, topics=TOPICS) -> str:
     """The same in DuckDB SQL."""
     case = " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{n}'" for n, p in topics)
     steps = [f"""d as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, case {case} else 'prose' end as topic,
   len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'))::bigint as n_tokens from documents)"""]
-    for s in SIDES:
-        steps.append(f"k_{s} as (select {s} from d group by {s} having sum(n_tokens) >= {least} * greatest((select sum(n_tokens) from d), 1))")
-    pool = ", ".join(f"case when {s} in (select {s} from k_{s}) then {s} else '{OTHER}' end as {s}" for s in SIDES)
-    steps.append(f"p as (select doc_id, n_tokens, {pool} from d)")
-    steps.append("c as (select source, lang, topic, sum(n_tokens)::double as tokens from p group by all)")
+    steps.append("c as (select source, lang, topic, sum(n_tokens)::double as tokens from d group by all)")
     for s in SIDES:
         steps.append(f"""w_{s} as (select {s}, pow(t / (select sum(tokens) from c), {damping}) / sum(pow(t / (select sum(tokens) from c), {damping})) over () as want
   from (select {s}, sum(tokens) as t from c group by {s}) where t > 0)""")
@@ -164,4 +159,4 @@ def oracle(rounds: int = ROUNDS, share: float = SHARE, damping: float = DAMPING,
     return ("with " + ",\n".join(steps) + f"""
 select doc_id, source, lang, topic, n_tokens, round(weight, 6) as weight, round(probability, 6) as probability,
   ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '{seed}'), 1, 8))::bigint / 4294967296.0 < probability as selected
-from p join q using (source, lang, topic)""")
+from d join q using (source, lang, topic)""")
