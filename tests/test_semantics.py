@@ -249,3 +249,28 @@ def test_deep_pages_equal_the_sorted_list(spark, monkeypatch):
         assert [r.position for r in rows] == list(range((page - 1) * limit + 1, min(page * limit, 700) + 1))
     with pytest.raises(ValueError):
         N.paged_history(store, 1, 0)
+
+
+def test_hot_key_is_folded_in_many_segments(spark):
+    """One URL with most rows, dense stretches, gaps at the TTL exactly, cookies and
+    forced refreshes: same flags as one fold over the key, in more than one task."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from trapline.sources import requests as RQ
+    r, ttl, rows, t = random.Random(8), 100, [], 0
+    for i in range(3000):
+        t += r.choice([0, 1, 5, 30, 60, 99, 100, 101, 250, 900]) if r.random() < 0.3 else 1
+        rows.append((i, t, "hot" if r.random() < 0.7 else f"k{i % 5}", r.random() < 0.02, 3 if r.random() < 0.1 else None))
+    df = spark.createDataFrame(rows, "event_id long, t long, cache_key string, force_refresh boolean, cookie_count int")
+    df = df.select("event_id", F.timestamp_seconds("t").alias("ts"), "cache_key", "force_refresh", "cookie_count", F.lit(True).alias("ok"))
+    want, last = {}, {}
+    for i, t, k, force, cookies in rows:
+        hit = cookies is None and not force and k in last and t - last[k] < ttl
+        want[i] = (hit, cookies is None and not force)
+        if cookies is None and not hit:
+            last[k] = t
+    out = RQ.suppress_repeats(df, ttl, 8).withColumn("task", F.spark_partition_id()).collect()
+    assert {x.event_id: (x.cache_hit, x.cache_lookup) for x in out} == want
+    assert len({x.task for x in out if x.cache_key == "hot"}) > 4

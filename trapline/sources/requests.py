@@ -10,10 +10,11 @@ smoothing; requests of one key never have to fit in one array or group.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trapline.session import materialize
 from trapline.functions.columns import py_strip
 from trapline.sources.tables import read_table
 
@@ -111,7 +112,7 @@ def _ttl_fold(ttl_us: int):
     def fold(batches):
         cur, last_write = None, None
         for pdf in batches:
-            keys = pdf["cache_key"].to_numpy()
+            keys = pdf["_segment"].to_numpy()
             ts = pdf["_ts_us"].to_numpy()
             cookies = pdf["_cookies"].to_numpy()
             force = pdf["force_refresh"].to_numpy()
@@ -128,23 +129,52 @@ def _ttl_fold(ttl_us: int):
                         hit[i] = True
                         continue                  # served from cache, no write
                 last_write = ts[i]                # miss or forced refresh writes
-            yield pdf.assign(cache_hit=hit, cache_lookup=lookup).drop(columns=["_ts_us", "_cookies"])
+            yield pdf.assign(cache_hit=hit, cache_lookup=lookup).drop(columns=["_ts_us", "_cookies", "_segment"])
     return fold
 
 
+def with_segments(v: DataFrame, ttl_us: int) -> DataFrame:
+    """``_segment`` of each request: a name shared by requests of one key whose fate
+    does not depend on any request outside.  A segment starts at a request that
+    writes whatever came before: a forced refresh, or one that follows the last
+    request without cookies after the TTL or more.
+
+    The gap is found in slots of one TTL: within a slot by a window over (key,
+    slot), across slots by the last request of the slot before, since anything
+    older lies a TTL back.  So no window holds a key's whole history but the one
+    over its slot summaries."""
+    slot = v.withColumn("_active", ~F.col("_cookies")).withColumn("_slot", F.floor(F.col("_ts_us") / F.lit(ttl_us)))
+    own = Window.partitionBy("cache_key", "_slot").orderBy("_ts_us", "event_id")
+    before = F.max(F.when(F.col("_active"), F.col("_ts_us"))).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    last = slot.where("_active").groupBy("cache_key", (F.col("_slot") + 1).alias("_slot")).agg(F.max("_ts_us").alias("_last"))
+    slot = slot.withColumn("_before", before).join(last, ["cache_key", "_slot"], "left")
+    gap = F.col("_ts_us") - F.coalesce("_before", "_last")
+    mark = F.struct("_ts_us", "event_id")
+    starts = F.when(F.col("_active") & (F.coalesce("force_refresh", F.lit(False)) | gap.isNull() | (gap >= ttl_us)), mark)
+    slot = slot.withColumn("_mark", F.max(starts).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = slot.groupBy("cache_key", "_slot").agg(F.max("_mark").alias("_end"))
+    carried = F.last("_end", ignorenulls=True).over(Window.partitionBy("cache_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    slot = slot.join(ends.select("cache_key", "_slot", carried.alias("_carried")), ["cache_key", "_slot"])
+    mark = F.coalesce("_mark", "_carried")
+    return slot.select(*v.columns, F.concat_ws(" ", "cache_key", mark["_ts_us"].cast("string"), mark["event_id"].cast("string")).alias("_segment"))
+
+
 def suppress_repeats(valid: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS,
                      num_partitions: int | None = None) -> DataFrame:
     """S5 (batch): flag requests served from the result cache.  Rows are
-    hash-partitioned by cache key and sorted by (ts, event_id)."""
+    hash-partitioned by segment (see ``with_segments``), so a hot key's history
+    is folded in as many tasks as it has segments, and sorted by (ts, event_id)."""
     v = valid.where(F.col("ok")).select(
         "event_id", "ts", "cache_key", "force_refresh",
         F.col("cookie_count").isNotNull().alias("_cookies"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts_us"))
-    parted = v.repartition(num_partitions, "cache_key") if num_partitions else v.repartition("cache_key")
-    parted = parted.sortWithinPartitions("cache_key", "ts", "event_id")
+    ttl_us = ttl_seconds * 1_000_000
+    seg = with_segments(materialize(v, "requests"), ttl_us)  # read three times: validated once
+    parted = seg.repartition(num_partitions, "_segment") if num_partitions else seg.repartition("_segment")
+    parted = parted.sortWithinPartitions("_segment", "ts", "event_id")
     schema = T.StructType([f for f in v.schema.fields if f.name not in ("_ts_us", "_cookies")]
                           + [T.StructField("cache_hit", T.BooleanType()), T.StructField("cache_lookup", T.BooleanType())])
-    return parted.mapInPandas(_ttl_fold(ttl_seconds * 1_000_000), schema)
+    return parted.mapInPandas(_ttl_fold(ttl_us), schema)
 
 
 def cache_stats(flags: DataFrame) -> DataFrame:
