@@ -15,7 +15,7 @@ FAST = ["compound_patterns", "findings_calibrated", "calibration_stats", "fusion
         "request_validation", "repeat_scan_suppression", "cache_stats", "text_chunks", "chunk_features",
         "stream_trust_smoothing", "report_upsert", "report_lookup", "report_export", "finding_views",
         "signal_mean", "quick_scan", "page_rules_regex", "cookie_rules_regex", "dom_rules_regex", "visual_rules_regex",
-        "text_rules_regex", "link_rules_regex", "timer_price_rules_regex", "ml_confusion", "ml_class_metrics", "ml_gate"]
+        "text_rules_regex", "link_rules_regex", "timer_price_rules_regex", "ml_confusion", "ml_class_metrics", "ml_gate", "custom_engines"]
 
 
 def test_every_oracle_has_a_query():

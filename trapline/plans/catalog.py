@@ -646,6 +646,37 @@ def q_dom_diff(spark, sf):
     return PS.snapshot_diff(before, after).select("scan_id", "type", "severity", "confidence", "evidence")
 
 
+def _refresh_engine(page):
+    """A custom engine: pages that send the visitor elsewhere; it fails on some."""
+    if page["page_id"] % 7 == 3:
+        raise ValueError(f"cannot read page {page['page_id']}")
+    if 'http-equiv="refresh"' in (page["html"] or ""):
+        yield {"type": "Forced Redirect", "category": "misdirection", "severity": "LOW", "confidence": 0.5, "element": "meta"}
+
+
+def _button_engine(page):
+    """A custom engine: one finding per button with a style of its own."""
+    for b in page["buttons"]:
+        if b["style"]:
+            yield {"type": "Styled Button", "category": "visual_obstruction", "severity": "LOW", "confidence": 0.5, "element": "button", "evidence": b["text"]}
+
+
+@register("custom_engines", "WITH " + planted_pages_sql() + """,
+b AS (SELECT page_id, unnest(range(len(regexp_extract_all(html, '<button[^>]*style="[^"]+"[^>]*>[^<]+</button>')))) AS i FROM planted)
+SELECT page_id AS scan_id, 'refresh' AS engine, 'ValueError: cannot read page ' || page_id AS outcome FROM planted WHERE page_id % 7 = 3
+UNION ALL
+SELECT page_id, 'refresh', 'Forced Redirect' FROM planted WHERE page_id % 7 <> 3 AND contains(html, 'http-equiv="refresh"')
+UNION ALL
+SELECT page_id, 'buttons', 'Styled Button' FROM b""")
+def q_custom_engines(spark, sf):
+    """Two custom engines beside the built-in ones, one of which fails on some
+    pages: its error rows there, its findings elsewhere, the other's everywhere."""
+    from trapline.operators.detectors import registry as Reg
+    out = Reg.detect(PS.extract(planted_pages(spark, sf)), ["cookie"], {"refresh": _refresh_engine, "buttons": _button_engine})
+    own = out.findings.where(F.col("erank") == fixed.CUSTOM_ENGINE_RANK).select("scan_id", "engine", F.col("type").alias("outcome"))
+    return own.unionByName(out.errors.select("scan_id", "engine", F.col("error").alias("outcome")))
+
+
 @register("quick_page_scan")
 def q_quick_page_scan(spark, sf):
     """P2 over planted pages."""
