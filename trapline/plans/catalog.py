@@ -547,9 +547,9 @@ g AS (SELECT doc_id, l, {_rd_grade_sql("t")}, CAST(len({lw}) AS BIGINT) AS nlw,
 {row(RD.D30, "fk_grade >= 16", f"'FK Grade Level: ' || {g1} || '/20 (college graduate+ required to comprehend)'")}
 UNION ALL {row(RD.D31, "fk_grade >= 14 AND fk_grade < 16", f"'FK Grade Level: ' || {g1} || '/20'")}
 UNION ALL {row(RD.D32, "nlw > 0 AND (density > 5 OR phr >= 2)", f"'Jargon density: ' || printf('%.1f', {O.rnd('density', 1)}) || ' per 1000 words'")}
-UNION ALL {row(RD.D33, anyre(RD.ARBITRATION_PATTERNS), "'Arbitration / class-action waiver language detected in page text.'")}
-UNION ALL {row(RD.D34, anyre(RD.PRICE_HIKE_PATTERNS), "'Introductory price with future price hike clause detected in page text.'")}
-UNION ALL {row(RD.D35, anyre(RD.EXIT_FEE_PATTERNS), "'Early cancellation / exit fee clause detected in page text.'")}"""
+UNION ALL {row(RD.D33, anyre(RD.ARBITRATION_PATTERNS), "'The page text gives up court or class proceedings.'")}
+UNION ALL {row(RD.D34, anyre(RD.PRICE_HIKE_PATTERNS), "'The page text names a first price and a later, higher one.'")}
+UNION ALL {row(RD.D35, anyre(RD.EXIT_FEE_PATTERNS), "'The page text charges for leaving early.'")}"""
 
 
 @register("readability_findings", _rd_findings_sql())

@@ -400,9 +400,9 @@ ELSE
   || CAST(greatest(1, n_scored_categories) AS VARCHAR)
   || (CASE WHEN n_scored_categories = 1 THEN ' category on ' ELSE ' categories on ' END) || domain || '.'
   || (CASE WHEN n_critical > 0 THEN ' ' || CAST(n_critical AS VARCHAR) || ' CRITICAL issue(s) confirmed — direct user harm (forced consent, hidden charges or tracking without consent). Regulatory action risk is HIGH.' ELSE '' END)
-  || (CASE WHEN n_high > 0 THEN ' ' || CAST(n_high AS VARCHAR) || ' HIGH severity manipulation(s) found that seriously compromise user autonomy.' ELSE '' END)
-  || (CASE WHEN n_medium > 0 THEN ' ' || CAST(n_medium AS VARCHAR) || ' MEDIUM severity issue(s) that apply behavioral pressure.' ELSE '' END)
-  || (CASE WHEN n_low > 0 THEN ' ' || CAST(n_low AS VARCHAR) || ' LOW severity observation(s) worth addressing for best practices.' ELSE '' END)
+  || (CASE WHEN n_high > 0 THEN ' ' || CAST(n_high AS VARCHAR) || ' HIGH finding(s) that take choices out of the visitor''s hands.' ELSE '' END)
+  || (CASE WHEN n_medium > 0 THEN ' ' || CAST(n_medium AS VARCHAR) || ' MEDIUM finding(s) that press the visitor to act.' ELSE '' END)
+  || (CASE WHEN n_low > 0 THEN ' ' || CAST(n_low AS VARCHAR) || ' LOW finding(s) to tidy up.' ELSE '' END)
   || ' Trust Score: ' || {sc} || '/100 — Grade: ' || grade || '.'
   || (CASE WHEN scan_state = 'unauthenticated' THEN ' Note: Limited scan due to missing user session. Some deep patterns may be hidden.' ELSE '' END)
 END"""
