@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables."""
 
+import itertools
 import hashlib
 import re
 from collections import Counter
@@ -84,40 +85,74 @@ def base_counts(text):
 
 
 def quotes(rows):
-    """(conv, turn, role, own text, n_quoted, n_linked, reply_to, thread, depth) of distinct messages."""
-    out, norm = [], lambda x: " ".join(x.replace("\u00a0", " ").split()).lower()
-    says = re.compile(r"(?i)^[ \t>]*on .* wrote:[ \t]*$")
-    marks = re.compile(r"^((?:[ \t]*>)+)")
-    msgs = {}
-    for c, t, r, x in rows:
-        lines = []
-        for line in re.sub("\r\n?", "\n", x or "").split("\n"):
-            m = marks.match(line)
-            lines.append((re.sub(r"^((?:[ \t]*>)+)[ \t]?", "", line), m.group(1).count(">") if m else 0, bool(says.match(line))))
-        msgs[c, t, r, x] = lines
-    first = {}
-    for (c, t, r, x), lines in msgs.items():
-        for line, level, said in lines:
-            if level == 0 and not said:
-                k = c, norm(line)
-                first[k] = min(first.get(k, (t, r, x)), (t, r, x))
-    parent = {}
-    for (c, t, r, x), lines in msgs.items():
-        votes, quoted, hits = Counter(), 0, 0
-        for line, level, _ in lines:
-            if level:
-                quoted += 1
-                o = first.get((c, norm(line)))
-                if o and re.search(r"\w", norm(line)) and o[0] < t:
-                    hits += 1
-                    if level == 1:
+    """(conv, turn, role, own text, n_quoted, n_linked, reply_to, thread, depth, position) of
+    distinct messages: every unit of every earlier message is compared by its text."""
+    norm = lambda x: " ".join(x.replace("\u00a0", " ").split()).lower()
+    texty = lambda x: any(c.isalnum() for c in x)
+
+    def split(text):
+        for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+            level, bare = 0, line
+            while bare.lstrip(" \t").startswith(">"):
+                level, bare = level + 1, bare.lstrip(" \t")[1:]
+            bare = bare[1:] if level and bare[:1] in (" ", "\t") else bare
+            said = line.lstrip(" \t>").lower().startswith("on ") and line.rstrip(" \t").lower().endswith(" wrote:")
+            yield level, bare, said
+
+    def stretches(lines):
+        for key, group in itertools.groupby(lines, key=lambda x: x[::2]):
+            if not key[1]:
+                yield key[0], [x[1] for x in group]
+
+    def paragraphs(part):
+        out, blank = [[]], False
+        for line in part:
+            if blank and norm(line):
+                out.append([])
+            out[-1].append(line)
+            blank = not norm(line)
+        return out
+
+    msgs = {m: list(split(m[3] or "")) for m in dict.fromkeys(rows)}
+    units, singles = {}, {}
+    for m, lines in msgs.items():
+        own = [part for level, part in stretches(lines) if level == 0]
+        several = [sum(own, []), *own, *(p for part in own for p in paragraphs(part))]
+        units[m] = {norm(" ".join(x)) for x in several}
+        singles[m] = {norm(x) for part in own for x in part}
+    quoted, up = {}, {}
+    for m, lines in msgs.items():
+        def holder(where, text):
+            have = [o for o in msgs if o[0] == m[0] and o[1] < m[1] and text in where[o]]
+            return max(have, key=lambda o: o[1]) if texty(text) and have else None
+        n = hits = 0
+        votes = Counter()
+        for level, part in stretches(lines):
+            if level == 0:
+                continue
+            n += len(part)
+            whole = holder(units, norm(" ".join(part)))
+            for p in paragraphs(part):
+                para = holder(units, norm(" ".join(p)))
+                for line in p:
+                    o = (whole or para or holder(singles, norm(line))) if texty(line) else None
+                    hits += o is not None
+                    if o and level == 1:
                         votes[o] += 1
-        parent[c, t, r, x] = (quoted, hits, max(votes, key=lambda o: (votes[o], o[0])) if votes else None)
-    for (c, t, r, x), lines in msgs.items():
-        quoted, hits, up = parent[c, t, r, x]
-        depth, root, p = 0, t, up
-        while p:
-            depth, root, p = depth + 1, p[0], parent[(c, *p)][2]
-        own = "\n".join(line for line, level, said in lines if level == 0 and not said).strip(" ") if quoted else x or ""
-        out.append((c, t, r, own, quoted, hits, up[0] if up else None, root, depth))
+        quoted[m] = n, hits
+        up[m] = max(votes, key=lambda o: (votes[o], o[1])) if votes else None
+    answers = {}
+    for m in sorted(msgs, key=lambda m: m[1]):
+        answers.setdefault(up[m], []).append(m)
+    out = []
+
+    def read(m, root, depth, place):
+        lines = msgs[m]
+        own = "\n".join(x for level, x, said in lines if level == 0 and not said).strip(" ") if any(x[0] for x in lines) else m[3] or ""
+        out.append((*m[:3], own, *quoted[m], up[m][1] if up[m] else None, root[1], depth, place))
+        for x in answers.get(m, []):
+            place = read(x, root, depth + 1, place + 1)
+        return place
+    for m in answers.get(None, []):
+        read(m, m, 0, 0)
     return out

@@ -19,9 +19,12 @@ def threads():
                 up = r.choice(texts).split("\n")
                 out.append("On Monday X wrote:")
                 a = r.randrange(len(up))
-                out += [r.choice(["> ", ">", " > "]) + x.upper() if r.random() < .3 else "> " + x for x in up[a:a + r.randint(1, 5)]]
+                some = up[a:a + r.randint(1, 5)] if r.random() < .6 else up
+                if r.random() < .3:   # the client breaks lines anew
+                    some = [" ".join(some[i:i + 2]) for i in range(0, len(some), 2)]
+                out += [r.choice(["> ", ">", " > "]) + x.upper() if r.random() < .3 else "> " + x for x in some]
             out += [r.choice([line(), "Thanks", ""]) for _ in range(r.randint(1, 4))]
-            texts.append(r.choice(["\n", "\r\n"]).join(out) if False else "\n".join(out))
+            texts.append("\n".join(out))
             rows.append((c, t, r.choice(["user", "assistant"]), texts[-1]))
     return rows
 
@@ -29,9 +32,9 @@ def threads():
 def test_links_match_brute_force(spark):
     rows = threads()
     df = spark.createDataFrame([(*x, 1, "x") for x in rows], SCHEMA).repartition(3)
-    got = [(r.conv_id, r.turn, r.role, r.text, r.n_quoted, r.n_linked, r.reply_to, r.thread, r.depth) for r in Q.linked(df).collect()]
+    got = [(r.conv_id, r.turn, r.role, r.text, r.n_quoted, r.n_linked, r.reply_to, r.thread, r.depth, r.position) for r in Q.linked(df).collect()]
     assert sorted(got, key=str) == sorted(brute.quotes(rows), key=str)
-    assert max(x[-1] for x in got) >= 3 and sum(x[5] for x in got) > 20
+    assert max(x[-2] for x in got) >= 3 and max(x[-1] for x in got) >= 5 and sum(x[5] for x in got) > 20
 
 
 def test_nested_levels_and_cases(spark):
@@ -51,5 +54,40 @@ def test_nested_levels_and_cases(spark):
     assert Q.linked(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def links(spark, *texts):
+    rows = [(1, t, "user", x, 1, "x") for t, x in enumerate(texts)]
+    return {r.turn: r for r in Q.linked(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_rewrapped_passage_is_linked(spark):
+    r = links(spark, "one two three four\nfive six seven", "other text", "> one two\n> three four five\n>six seven\nyes")[2]
+    assert (r.n_quoted, r.n_linked, r.reply_to) == (3, 3, 0)
+
+
+def test_whole_passage_goes_before_single_lines(spark):
+    r = links(spark, "alpha beta\nmore here", "gamma delta\nmore there", "alpha beta\ngamma delta", "> alpha beta\n> gamma delta\nso")[3]
+    assert (r.n_linked, r.reply_to) == (2, 2)
+
+
+def test_latest_holder_and_partial_quotes(spark):
+    got = links(spark, "same words", "same words", "> same words\nx", "first part\n\nsecond part\nits end", "> second part its end\n>\n> made up",
+                "> its end\n> alien", "same words")
+    assert [got[t].reply_to for t in range(7)] == [None, None, 1, None, 3, 3, None]
+    assert (got[4].n_quoted, got[4].n_linked, got[5].n_linked) == (3, 1, 1)
+
+
+def test_reply_order_of_a_long_chain_and_of_many_answers(spark):
+    """Turns lie in several blocks, one message has most of the answers."""
+    n = 2 * Q.SPAN + 300
+    rows = [(1, 0, "user", "start of all", 1, "x")]
+    rows += [(1, t, "user", f"> start of all\nanswer {t}", 1, "x") for t in range(1, n)]
+    rows += [(2, 0, "user", "line 0", 1, "x")] + [(2, t, "user", f"> line {t - 1}\nline {t}", 1, "x") for t in range(1, 70)]
+    rows += [(1, n, "user", "> answer 7\nlate", 1, "x")]
+    got = {(r.conv_id, r.turn): r for r in Q.linked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(got[2, t].depth, got[2, t].position, got[2, t].thread) for t in range(70)] == [(t, t, 0) for t in range(70)]
+    assert all(got[1, t].position == t + (t > 7) and got[1, t].depth == (t > 0) for t in range(n))
+    assert (got[1, n].reply_to, got[1, n].depth, got[1, n].position) == (7, 2, 8)
+
+
 def test_given_table_keeps_its_messages(spark):
     assert Q.op4(spark, SF_SMALL).count() == spark.read.parquet(f"{SF_SMALL}/conversations.parquet").count()
