@@ -77,18 +77,39 @@ def test_scores_match_the_definition(spark):
 
 
 def test_probabilities_sum_to_one():
-    words, counts = np.array([3, 5, 9]), np.array([10, 6, 4])
-    size = 4
-    pairs, pc = np.array([1 * size + 2, 1 * size + 3, 2 * size + 1, 4 * size + 1]), np.array([5, 2, 4, 3])
-    triples, tc = np.array([0 * size + 1, 3 * size + 2]), np.array([3, 2])
-    a = B.Automaton(words, counts, 5, pairs, pc, triples, tc, 21, 4)
-    rest = (21 - 20 + 0.5 + 0.5) / a.denominator  # one rare known word and the unknown class
-    for history in ([], [1], [2], [1, 2], [1, 1], [3], [2, 1, 3]):
-        start = a.walk(history)
-        total = sum(10 ** (a.walk(history + [w]) - start) for w in (1, 2, 3)) + 10 ** (a.walk(history + [0]) - start) * rest
+    """Three words (numbers 0 to 2) of counts 10, 6, 4 and an unknown one (3); five texts."""
+    count, n, v, d = np.array([10, 6, 4, 5]), 21, 4, B.DISCOUNT
+    den = n + 0.5 * (v + 1)
+    one = np.r_[(count[:3] + 0.5) / den, 0.5 / den]
+    pairs = {(0, 1): 5, (0, 2): 2, (1, 0): 4, (4, 0): 3}
+    triples = {(0, 1, 0): 3, (4, 0, 1): 2}
+    at = {p: i for i, p in enumerate(pairs)}
+    two = {p: (c - d) / (count[p[0]] if p[0] < 4 else 5) for p, c in pairs.items()}
+    three = {t: (c - d) / pairs[t[:2]] for t, c in triples.items()}
+
+    def back(high, low):
+        return math.log10((1 - sum(high)) / (1 - sum(low))) if high else math.nan
+    word_back = [back([two[p] for p in pairs if p[0] == x], [one[p[1]] for p in pairs if p[0] == x]) for x in range(5)]
+    pair_back = [back([three[t] for t in triples if t[:2] == p], [two[t[1:]] for t in triples if t[:2] == p]) for p in pairs]
+    arr = lambda x: np.array(list(x))
+    a = B.Automaton(np.log10(one), arr(word_back), arr(p[0] for p in pairs), arr(p[1] for p in pairs), np.log10(arr(two.values())), arr(pair_back),
+                    arr(at[t[:2]] for t in triples), arr(at[t[1:]] for t in triples), arr(t[2] for t in triples), np.log10(arr(three.values())))
+    rest = (1 - one[:3].sum()) / one[3]   # what the unknown word stands for
+    for history in ([], [0], [1], [0, 1], [0, 0], [2], [1, 0, 2], [3, 0]):
+        begin = a.walk(history)
+        total = sum(10 ** (a.walk(history + [w]) - begin) for w in range(3)) + 10 ** (a.walk(history + [3]) - begin) * rest
         assert abs(total - 1) < 1e-9, history
 
 
+def test_blocks_rounds_and_cache_do_not_change_scores(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").repartition(3)
+    key = lambda r: (r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6))
+    whole = sorted(map(key, B.score_documents(docs).collect()))
+    monkeypatch.setattr(B, "BLOCK", 30_000)
+    monkeypatch.setattr(B, "ROUNDS", 2)
+    assert sorted(map(key, B.score_documents(docs, cached=500).collect())) == whole
+
+
 def test_empty_and_untrained(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert B.score_documents(df).collect() == []

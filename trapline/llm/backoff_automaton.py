@@ -13,17 +13,18 @@ state and adds up.
 Counts cover all training documents, combined inside each task before the
 shuffle.  Every word, and every pair and triple seen ``LEAST`` times or more, is
 in the model: the count is fixed, so the model grows with the corpus.  It is
-never held in one place.  States and arcs are a written table with the weights
-pushed along the walk: an arc carries its log-probability minus what the failure
-path would have given, and a context's backoff weight goes to the n-gram that
-enters it.  A text's score is then the sum of the weights of the words, pairs and
-triples in it, the same as the walk of ``Automaton``, and each of them is one
-lookup by its 64-bit hash.
-
-The most frequent arcs, ``CACHED`` at most, are broadcast and looked up on the
-spot, which also keeps hot keys out of the shuffle; all others come by a join, as (document, n-gram, times) rows.  A
-Bloom filter of fixed size holds back rows whose n-gram is surely not in the
-model.  Both change the cost and not the result.
+never held in one place: states and arcs are a written table by n-gram hash, with
+the arc's log-probability and the backoff weight of the state it enters.
+
+Documents are dealt in blocks of about ``BLOCK`` bytes.  A block asks once for each
+distinct n-gram in it, gets the arcs and failure weights by a join, builds the part
+of the automaton that its texts can reach and walks every text on it.  Blocks go in
+``ROUNDS`` rounds, so that only that share of the answers is on disk at once, and
+shuffle files end with the job that wrote them.
+
+The most frequent arcs, ``CACHED`` at most, are broadcast, which keeps hot keys out
+of the join; a Bloom filter of fixed size holds back questions for n-grams that are
+surely not in the model.  Both change the cost and not the result.
 
 Cases: null text is empty and has the end token only; a null id counts as the
 empty text when documents are split; repeated rows are scored alike, each is
@@ -32,6 +33,8 @@ gives an empty result; extra columns are ignored."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -46,6 +49,7 @@ END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 PAIR_TURN, TRIPLE_TURN = 23, 29
 BLOCKS = 1 << 21
 FLUSH = 1 << 21
+BLOCK, ROUNDS = 4 << 20, 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -125,9 +129,16 @@ def _total(train: DataFrame, columns_of, names: list[str]) -> DataFrame:
             .groupBy(*names).agg(F.sum("c").alias("c")))
 
 
-def _release(spark) -> None:
-    """Lets Spark's cleaner drop the shuffles of plans that nobody holds any more."""
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def short_shuffles(spark):
+    """Inside, shuffle files are deleted when the job that wrote them ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
 
 
 def _filter(table: DataFrame, key: str) -> np.ndarray:
@@ -155,50 +166,53 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """The model in one place, for tables that fit: what the pushed weights add up to.
-    States: 0 root, 1..W words, W+1 start of text, then kept pairs.  Arcs by
-    state * (W + 1) + word."""
-
-    def __init__(self, words, word_counts, start_count, pairs, pair_counts, triples, triple_counts, n, v, discount=DISCOUNT):
-        size = len(words) + 1
-        self.words, self.size, self.denominator = words, size, n + 0.5 * (v + 1)
-        one = np.r_[0.5, word_counts + 0.5] / self.denominator
-        self.one = np.log10(one)
-        self.one_word = self.one.tolist()
-        context = np.r_[0, word_counts, start_count].astype(np.float64)
-        back = np.zeros(size + 1 + len(pairs))
-        fail = np.zeros(size + 1 + len(pairs), np.int64)
-
-        pv, pw = pairs // size, pairs % size
-        two = (pair_counts - discount) / context[pv]
-        left = 1 - np.bincount(pv, two, size + 1)
-        rest = 1 - np.bincount(pv, one[pw], size + 1)
-        back[:size + 1] = np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
-        ts, tw = triples // size, triples % size
-        three = (triple_counts - discount) / pair_counts[ts] if len(triples) else np.empty(0)
-        lower = two[_find(pairs, pw[ts] * size + tw)] if len(triples) else np.empty(0)
-        left = 1 - np.bincount(ts, three, len(pairs))
-        rest = 1 - np.bincount(ts, lower, len(pairs))
-        back[size + 1:] = np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
-        fail[size + 1:] = pw
-        self.back, self.fail = back.tolist(), fail.tolist()
-
-        # a state is worth entering only if arcs leave it
-        opens = np.zeros(size + 1 + len(pairs), bool)
-        opens[pv] = True
-        opens[size + 1 + ts] = True
-        enter = np.where(opens[:size], np.arange(size), 0)
-        self.enter = enter.tolist()
-        self.start = size if opens[size] else 0
-        state2 = np.where(opens[size + 1:], size + 1 + np.arange(len(pairs)), enter[pw])
-        to3 = state2[_find(pairs, pw[ts] * size + tw)] if len(triples) else np.empty(0, np.int64)
-        keys = np.concatenate([pv * size + pw, (size + 1 + ts) * size + tw])
-        self.arcs = dict(zip(keys.tolist(), zip(np.log10(np.concatenate([two, three])).tolist(), np.concatenate([state2, to3]).tolist())))
+    """States: 0 root, 1..W words, W+1 start of text, then pairs; arcs by state * W + word.
+    A state without arcs (its backoff weight is NaN) is not entered: the walk goes
+    to the one that its failure arc would lead to."""
+
+    def __init__(self, one, word_back, pv, pw, two, pair_back, ts, tq, tw, three):
+        """``one``: log-probability of each of the W words; ``word_back``: backoff weight of
+        the W words and the start; pairs: first word (W: start), second word, log-probability
+        and backoff weight; triples: first and last pair in them, last word, log-probability."""
+        size = self.size = len(one)
+        self.one = one.tolist()
+        enter = np.where(np.isnan(word_back), 0, 1 + np.arange(size + 1))
+        self.enter, self.start = enter.tolist(), int(enter[size])
+        self.back = np.nan_to_num(np.concatenate([[0.0], word_back, pair_back])).tolist()
+        self.fail = np.concatenate([np.zeros(size + 2, np.int64), enter[pw]]).tolist()
+        state = np.where(np.isnan(pair_back), enter[pw], size + 2 + np.arange(len(pw)))
+        keys = np.concatenate([(1 + pv) * size + pw, (size + 2 + ts) * size + tw])
+        self.arcs = dict(zip(keys.tolist(), zip(np.concatenate([two, three]).tolist(), np.concatenate([state, state[tq]]).tolist())))
+
+    @classmethod
+    def of_block(cls, tok, at, h, logp, back, unknown):
+        """The part that the texts ``tok``, ``at`` can reach, from rows of the model by
+        hash ``h`` (sorted); also the texts' word numbers and which words are known."""
+        def rows(keys):
+            place = _find(h, keys)
+            hit = place >= 0
+            return hit, np.where(hit, logp[place], 0.0) if len(h) else np.zeros(len(keys)), np.where(hit, back[place], np.nan) if len(h) else np.full(len(keys), np.nan)
+        words, ids = np.unique(tok, return_inverse=True)
+        size = len(words)
+        known, own, word_back = rows(C.as_long(words))
+        _, _, start_back = rows(C.as_long(np.array([START])))
+        _, pair, first, _, triple = grams(tok, at)
+        pairs, where, which = np.unique(pair, return_index=True, return_inverse=True)
+        hit, two, pair_back = rows(C.as_long(pairs))
+        number = np.cumsum(hit) - 1
+        where = where[hit]
+        pv = np.where(first[where], size, ids[where - 1])
+        later = np.flatnonzero(~first)
+        triples, i = np.unique(triple, return_index=True)
+        hit3, three, _ = rows(C.as_long(triples))
+        i = later[i[hit3]]
+        automaton = cls(unknown + own, np.r_[word_back, start_back], pv, ids[where], two[hit], pair_back[hit],
+                        number[which[i - 1]], number[which[i]], ids[i], three[hit3])
+        return automaton, ids, known
 
     def walk(self, ids: list[int]) -> float:
-        """Log10 probability of a document's tokens, without the one-word share of
-        tokens that are not kept words (id 0)."""
-        arcs, back, fail, enter, one, size = self.arcs, self.back, self.fail, self.enter, self.one_word, self.size
+        """Log10 probability of a text's words, left to right."""
+        arcs, back, fail, size = self.arcs, self.back, self.fail, self.size
         state, total = self.start, 0.0
         for w in ids:
             while state:
@@ -210,15 +224,14 @@ class Automaton:
                 total += back[state]
                 state = fail[state]
             else:
-                if w:
-                    total += one[w]
-                    state = enter[w]
+                total += self.one[w]
+                state = self.enter[w]
         return total
 
 
 def arcs(train: DataFrame, counts: DataFrame, n: int, v: int, word_least: float, least: float) -> DataFrame:
-    """h, c, base (one-word share over that of an unknown word), value (pushed
-    weight), known (a word), for all words, pairs and triples of the model."""
+    """h, c, logp (of a word: over that of an unknown one) and back (backoff weight of the
+    state, null where no arc leaves it) of all words, pairs and triples of the model."""
     spark, before = train.sparkSession, set(scratch_tables())
     unknown = n + 0.5 * (v + 1)
     start, end = int(START.view(np.int64)), int(END.view(np.int64))
@@ -232,7 +245,6 @@ def arcs(train: DataFrame, counts: DataFrame, n: int, v: int, word_least: float,
     pairs = _total(train, pair_columns, ["v", "w"]).where(F.col("c") >= least).withColumn("p", joint_column("v", "w", PAIR_TURN))
     pairs = materialize(pairs.join(contexts, "v").join(kept.select(F.col("h").alias("w"), ((F.col("c") + 0.5) / unknown).alias("one")), "w")
                         .select("p", "v", "c", ((F.col("c") - DISCOUNT) / F.col("of")).alias("two"), "one"), "pairs")
-    _release(spark)
     held = spark.sparkContext.broadcast(_filter(pairs, "p"))
 
     def triple_columns(tok, at):
@@ -243,75 +255,104 @@ def arcs(train: DataFrame, counts: DataFrame, n: int, v: int, word_least: float,
     triples = _total(train, triple_columns, ["p", "q"]).where(F.col("c") >= least).withColumn("t", joint_column("p", "q", TRIPLE_TURN))
     triples = materialize(triples.join(pairs.select("p", F.col("c").alias("of")), "p").join(pairs.select(F.col("p").alias("q"), F.col("two").alias("lower")), "q")
                           .select("t", "p", "c", ((F.col("c") - DISCOUNT) / F.col("of")).alias("three"), "lower"), "triples")
-    _release(spark)
 
     left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
     back = materialize(pairs.groupBy(F.col("v").alias("state")).agg(F.log10(left("two") / left("one")).alias("back"))
                        .union(triples.groupBy("p").agg(F.log10(left("three") / left("lower")))), "states")
-    enters = F.coalesce("back", F.lit(0.0))
-    own = F.log10(2 * F.col("c") + 1)
-    none, no = F.lit(0.0), F.lit(0)
-    words = counts.join(back.withColumnRenamed("state", "h"), "h", "left").select("h", "c", own.alias("base"), (own + enters).alias("value"), F.lit(1).alias("known"))
-    begin = back.where(F.col("state") == start).join(contexts.withColumnRenamed("v", "state"), "state").select("state", "of", none, "back", no)
-    two = (pairs.join(back.select(F.col("state").alias("v"), F.col("back").alias("fails")), "v").join(back.withColumnRenamed("state", "p"), "p", "left")
-           .select("p", "c", none, F.log10(F.col("two") / F.col("one")) - F.col("fails") + enters, no))
-    three = triples.join(back.withColumnRenamed("state", "p"), "p").select("t", "c", none, F.log10(F.col("three") / F.col("lower")) - F.col("back"), no)
-    out = materialize(words.union(begin).union(two).union(three), "arcs")
+    none = F.lit(None).cast("double")
+    words = counts.join(back.withColumnRenamed("state", "h"), "h", "left").select("h", "c", F.log10(2 * F.col("c") + 1).alias("logp"), "back")
+    begin = back.where(F.col("state") == start).join(contexts.withColumnRenamed("v", "state"), "state").select("state", "of", none, "back")
+    two = pairs.join(back.withColumnRenamed("state", "p"), "p", "left").select("p", "c", F.log10("two"), "back")
+    out = materialize(words.union(begin).union(two).union(triples.select("t", "c", F.log10("three"), none)), "arcs")
     discard(spark, [x for x in scratch_tables() if x not in before], out)
-    _release(spark)
     return out
 
 
-_SCORE = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>"
-_SCORE_PA = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                       ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64())),
-                       ("times", pa.list_(pa.int32()))])
+_DEALT = "block long, doc_id long, held_out boolean, text string"
+_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_SCORE_PA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                       ("base_score", pa.float64()), ("score", pa.float64())])
+_ASK_PA = pa.schema([("block", pa.int64()), ("h", pa.int64())])
 
 
-def _scores(cache):
+def _dealt(size: int):
+    """Rows with their block: neighbours, ``size`` bytes of text or one longer text."""
     def rows(batches):
-        held, base_of, value_of, known_of, bits = cache.value
-        uid = TaskContext.get().partitionId() << 40
+        used = TaskContext.get().partitionId() << 43
         for batch in batches:
-            for part, data, offs in C.pieces(batch, "text"):
-                tok, at = tokens(data, offs)
-                n = part.num_rows
-                _, pair, first, _, triple = grams(tok, at)
-                of = np.repeat(np.arange(n), np.diff(at))
-                h = C.as_long(np.concatenate([tok, np.full(n, START), pair, triple]))
-                doc = np.concatenate([of, np.arange(n), of, of[~first]])
-                order = np.argsort(h, kind="stable")
-                h, doc = h[order], doc[order]
-                new = np.r_[True, h[1:] != h[:-1]]
-                u, which = h[new], np.cumsum(new) - 1
-                place = _find(held, u)
-                rest = ((place < 0) & _maybe(bits, u))[which]
-                place = place[which]
-                hit = place >= 0
-                d, at_held = doc[hit], place[hit]
-                added = [np.bincount(d, x[at_held], n) for x in (known_of, base_of, value_of)]
-                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-                i = np.flatnonzero(new)
-                times = np.diff(np.append(i, len(h))).astype(np.int32)
-                some = rest[i]
-                i, times = i[some], times[some]
-                order = np.argsort(doc[i], kind="stable")
-                i, times = i[order], times[order]
-                cut = pa.array(np.searchsorted(doc[i], np.arange(n + 1)).astype(np.int32))
-                yield C.record(_SCORE_PA, np.arange(uid, uid + n), part.column("doc_id"), part.column("held_out"), np.diff(at),
-                               added[0].astype(np.int64), added[1], added[2], pa.ListArray.from_arrays(cut, pa.array(h[i])), pa.ListArray.from_arrays(cut, pa.array(times)))
-                uid += n
+            _, offs = C.buffers(batch.column("text"))
+            block = pa.array((used + offs[:-1]) // size)
+            used += int(offs[-1])
+            yield pa.RecordBatch.from_arrays([block, *batch.columns], names=["block", *batch.schema.names])
     return rows
 
 
+def _asked(cache):
+    """The distinct n-grams of each block that may be in the model and are not cached."""
+    def rows(batches):
+        held, _, _, bits = cache.value
+        now, have = None, []
+
+        def flush():
+            h = np.unique(np.concatenate(have))
+            return C.record(_ASK_PA, np.full(len(h), now), h)
+        for batch in batches:
+            block = batch.column("block").to_numpy(zero_copy_only=False)
+            cuts = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)] if len(block) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if have and block[a] != now:
+                    yield flush()
+                    have = []
+                now = block[a]
+                for _, data, offs in C.pieces(batch.slice(a, b - a), "text"):
+                    tok, at = tokens(data, offs)
+                    _, pair, _, _, triple = grams(tok, at)
+                    h = np.unique(C.as_long(np.concatenate([tok, [START], pair, triple])))
+                    h = h[_maybe(bits, h)]
+                    have.append(h[_find(held, h) < 0])
+        if have:
+            yield flush()
+    return rows
+
+
+def _walked(cache, unknown: float):
+    """Scores of a block's texts, from the block's answers and the cached arcs."""
+    def block(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        text = docs.column("text").combine_chunks()
+        tok, at = tokens(*C.buffers(text))
+        _, pair, _, _, triple = grams(tok, at)
+        need = np.unique(C.as_long(np.concatenate([tok, [START], pair, triple])))
+        held, logp, back, _ = cache.value
+        place = _find(held, need)
+        place = place[place >= 0]
+        own = [answers.column(x).to_numpy() for x in ("h", "logp", "back")]
+        own[1:] = [x.astype(np.float64) for x in own[1:]]
+        h, first = np.unique(np.concatenate([held[place], own[0]]), return_index=True)
+        logp, back = (np.concatenate([x[place], y])[first] for x, y in ((logp, own[1]), (back, own[2])))
+        automaton, ids, known = Automaton.of_block(tok, at, h, logp, back, unknown)
+        n = len(text)
+        of = np.repeat(np.arange(n), np.diff(at))
+        cuts = at.tolist()
+        score = [automaton.walk(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.Table.from_batches([C.record(_SCORE_PA, docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), np.diff(at),
+                                               np.bincount(of, known[ids], n).astype(np.int64), np.bincount(of, np.array(automaton.one)[ids], n), score)])
+    return block
+
+
 def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word_share: float = 0.0, gram_share: float = 0.0,
                     cached: int = CACHED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  A
     ``word_share`` or ``gram_share`` of all tokens asks for a smaller model."""
     spark = docs.sparkSession
+    with short_shuffles(spark):
+        return _scored(spark, docs, text, doc_id, word_share, gram_share, cached)
+
+
+def _scored(spark, docs: DataFrame, text: str, doc_id: str, word_share: float, gram_share: float, cached: int) -> DataFrame:
+    before = set(scratch_tables())
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")
-    rows = C.bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-                       (F.crc32(ident) % 5 == 1).alias("held_out"))
+    rows = C.bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), (F.crc32(ident) % 5 == 1).alias("held_out"),
+                                          F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     train = rows.where(~F.col("held_out"))
     counts = materialize(_total(train, lambda tok, at: (tok, tok), ["h"]), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -325,16 +366,21 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         least_step = k
     top = model.where(step >= least_step).toArrow()
     order = np.argsort(top.column("h").to_numpy())
-    cache = spark.sparkContext.broadcast((*[top.column(x).to_numpy()[order] for x in ("h", "base", "value", "known")], _filter(model, "h")))
-    table = materialize(rows.mapInArrow(_scores(cache), _SCORE), "scores")
-    tail = table.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("h"), F.col("t.times").alias("k"))
-    tail = (tail.join(model.where(step < least_step), "h")
-            .groupBy("uid").agg(*[F.sum(F.col("k") * F.col(x)).alias(f"rare_{x}") for x in ("base", "value", "known")]))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    unknown = F.col("n_tokens") * float(np.log10(0.5 / (n + 0.5 * (v + 1))))
-    return (table.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(tail, "uid", "left")
-            .select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                    (unknown + F.col("base") + zero("rare_base")).alias("base_score"), (unknown + F.col("score") + zero("rare_value")).alias("score")))
+    cache = spark.sparkContext.broadcast((top.column("h").to_numpy()[order], *[top.column(x).to_numpy().astype(np.float64)[order] for x in ("logp", "back")],
+                                          _filter(model, "h")))
+    unknown = float(np.log10(0.5 / (n + 0.5 * (v + 1))))
+    dealt = materialize(rows.mapInArrow(_dealt(BLOCK), _DEALT), "blocks")
+    out = []
+    for k in range(ROUNDS):
+        own = dealt.where(F.pmod("block", F.lit(ROUNDS)) == k)
+        answers = own.select("block", "text").mapInArrow(_asked(cache), "block long, h long").join(model.where(step < least_step).select("h", "logp", "back"), "h")
+        walked = own.groupBy("block").cogroup(answers.select("block", "h", "logp", "back").groupBy("block")).applyInArrow(_walked(cache, unknown), _SCORE)
+        out.append(materialize(walked, "scores"))
+    found = out[0]
+    for x in out[1:]:
+        found = found.union(x)
+    discard(spark, [x for x in scratch_tables() if x not in before], found)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
