@@ -49,7 +49,7 @@ END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 PAIR_TURN, TRIPLE_TURN = 23, 29
 BLOCKS = 1 << 21
 FLUSH = 1 << 21
-BLOCK, ROUNDS = 4 << 20, 4
+BLOCK, ROUNDS = 2 << 20, 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -185,13 +185,18 @@ class Automaton:
         self.arcs = dict(zip(keys.tolist(), zip(np.concatenate([two, three]).tolist(), np.concatenate([state, state[tq]]).tolist())))
 
     @classmethod
-    def of_block(cls, tok, at, h, logp, back, unknown):
-        """The part that the texts ``tok``, ``at`` can reach, from rows of the model by
-        hash ``h`` (sorted); also the texts' word numbers and which words are known."""
+    def of_block(cls, tok, at, models, unknown):
+        """The part that the texts ``tok``, ``at`` can reach, from rows of the model
+        (hash sorted, log-probability, backoff weight) in one or more tables; also the
+        texts' word numbers and which words are known."""
         def rows(keys):
-            place = _find(h, keys)
-            hit = place >= 0
-            return hit, np.where(hit, logp[place], 0.0) if len(h) else np.zeros(len(keys)), np.where(hit, back[place], np.nan) if len(h) else np.full(len(keys), np.nan)
+            hit, logp, back = np.zeros(len(keys), bool), np.zeros(len(keys)), np.full(len(keys), np.nan)
+            for h, of_logp, of_back in models:
+                place = _find(h, keys)
+                own = place >= 0
+                hit |= own
+                logp[own], back[own] = of_logp[place[own]], of_back[place[own]]
+            return hit, logp, back
         words, ids = np.unique(tok, return_inverse=True)
         size = len(words)
         known, own, word_back = rows(C.as_long(words))
@@ -203,9 +208,10 @@ class Automaton:
         where = where[hit]
         pv = np.where(first[where], size, ids[where - 1])
         later = np.flatnonzero(~first)
-        triples, i = np.unique(triple, return_index=True)
+        may = hit[which[later - 1]] & hit[which[later]]  # a triple's two pairs are in the model
+        triples, i = np.unique(triple[may], return_index=True)
         hit3, three, _ = rows(C.as_long(triples))
-        i = later[i[hit3]]
+        i = later[may][i[hit3]]
         automaton = cls(unknown + own, np.r_[word_back, start_back], pv, ids[where], two[hit], pair_back[hit],
                         number[which[i - 1]], number[which[i]], ids[i], three[hit3])
         return automaton, ids, known
@@ -306,9 +312,11 @@ def _asked(cache):
                 now = block[a]
                 for _, data, offs in C.pieces(batch.slice(a, b - a), "text"):
                     tok, at = tokens(data, offs)
-                    _, pair, _, _, triple = grams(tok, at)
-                    h = np.unique(C.as_long(np.concatenate([tok, [START], pair, triple])))
-                    h = h[_maybe(bits, h)]
+                    _, pair, first, _, triple = grams(tok, at)
+                    may, later = _maybe(bits, pair), np.flatnonzero(~first)
+                    triple = triple[may[later - 1] & may[later]]
+                    h = np.concatenate([tok[_maybe(bits, tok)], [START], pair[may], triple[_maybe(bits, triple)]])
+                    h = np.unique(C.as_long(h))
                     have.append(h[_find(held, h) < 0])
         if have:
             yield flush()
@@ -320,16 +328,10 @@ def _walked(cache, unknown: float):
     def block(docs: pa.Table, answers: pa.Table) -> pa.Table:
         text = docs.column("text").combine_chunks()
         tok, at = tokens(*C.buffers(text))
-        _, pair, _, _, triple = grams(tok, at)
-        need = np.unique(C.as_long(np.concatenate([tok, [START], pair, triple])))
-        held, logp, back, _ = cache.value
-        place = _find(held, need)
-        place = place[place >= 0]
-        own = [answers.column(x).to_numpy() for x in ("h", "logp", "back")]
-        own[1:] = [x.astype(np.float64) for x in own[1:]]
-        h, first = np.unique(np.concatenate([held[place], own[0]]), return_index=True)
-        logp, back = (np.concatenate([x[place], y])[first] for x, y in ((logp, own[1]), (back, own[2])))
-        automaton, ids, known = Automaton.of_block(tok, at, h, logp, back, unknown)
+        h, logp, back = (answers.column(x).to_numpy() for x in ("h", "logp", "back"))
+        h, first = np.unique(h, return_index=True)
+        own = (h, *(x.astype(np.float64)[first] for x in (logp, back)))
+        automaton, ids, known = Automaton.of_block(tok, at, [own, cache.value[:3]], unknown)
         n = len(text)
         of = np.repeat(np.arange(n), np.diff(at))
         cuts = at.tolist()
