@@ -274,3 +274,15 @@ def test_hot_key_is_folded_in_many_segments(spark):
     out = RQ.suppress_repeats(df, ttl, 8).withColumn("task", F.spark_partition_id()).collect()
     assert {x.event_id: (x.cache_hit, x.cache_lookup) for x in out} == want
     assert len({x.task for x in out if x.cache_key == "hot"}) > 4
+
+
+def test_finding_views_filter_by_severity(spark):
+    from trapline.operators import report as R
+    rows = [(1, 1, "urgency", "CRITICAL"), (1, 2, "privacy", "HIGH"), (1, 3, "nagging", "LOW"), (1, 4, "social_proof", "LOW"), (1, 5, "privacy", "CRITICAL"),
+            (2, 1, "nagging", "LOW"), (2, 2, None, None)]
+    rep = spark.createDataFrame(rows, "scan_id long, report_pos int, category string, severity string")
+    view = lambda *a: {r.scan_id: tuple(r)[1:] for r in R.finding_views(rep, *a).collect()}
+    assert view() == {1: (5, 3, 2, "urgency,privacy,nagging"), 2: (2, 0, 0, "nagging")}
+    assert view(["HIGH", "CRITICAL"]) == {1: (3, 3, 2, "urgency,privacy")}
+    assert view(["LOW"], 1) == {1: (2, 0, 0, "nagging"), 2: (1, 0, 0, "nagging")} and view([]) == {}
+    assert R.by_severity(rep).count() == 7 and R.by_severity(rep, ["LOW"]).count() == 3

@@ -962,30 +962,43 @@ def q_report_export(spark, sf):
                                 F.concat(F.col("total_patterns").cast("string"), F.lit(" patterns"))).alias("text_line"))
 
 
-@register("finding_views", _with_pipeline(*PIPE, O.report_ctes()) + f""",
+def _views_oracle(severities: list[str] | None = None) -> str:
+    """Views of the report findings ``f`` of the given severities."""
+    keep = "" if severities is None else " WHERE severity IN (" + ", ".join(f"'{x}'" for x in severities) + ")"
+    return _with_pipeline(*PIPE, O.report_ctes()) + f""",
+f AS (SELECT * FROM rep{keep}),
 c AS (SELECT scan_id, category, min({O.case_map('severity', fixed.REPORT_SEVERITY_ORDER, 5)} * 100000 + report_pos) AS k
-      FROM rep GROUP BY scan_id, category),
+      FROM f GROUP BY scan_id, category),
 t AS (SELECT scan_id, string_agg(category, ',' ORDER BY k) AS top_categories
       FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY k) AS r FROM c) WHERE r <= 3 GROUP BY scan_id)
-SELECT r.scan_id, CAST(count_if(severity IN ('HIGH', 'CRITICAL')) AS BIGINT) AS high_critical,
+SELECT f.scan_id, CAST(count(*) AS BIGINT) AS findings, CAST(count_if(severity IN ('HIGH', 'CRITICAL')) AS BIGINT) AS high_critical,
        CAST(count_if(severity = 'CRITICAL') AS BIGINT) AS critical, any_value(t.top_categories) AS top_categories
-FROM rep r JOIN t USING (scan_id) GROUP BY r.scan_id""")
+FROM f JOIN t USING (scan_id) GROUP BY f.scan_id"""
+
+
+def _report(spark, sf):
+    return R.report_findings(P.run_findings(fx.overlay_scans(spark, sf), fx.overlay_findings(spark, sf)).validated)
+
+
+@register("finding_views", _views_oracle())
 def q_finding_views(spark, sf):
-    """Per scan, HIGH+CRITICAL count, CRITICAL count and the first three
-    distinct categories in severity-then-report order."""
-    from pyspark.sql import Window
-    from trapline.functions.columns import lookup
-    run = P.run_findings(fx.overlay_scans(spark, sf), fx.overlay_findings(spark, sf))
-    rep = R.report_findings(run.validated)
-    k = lookup(F.col("severity"), fixed.REPORT_SEVERITY_ORDER, 5) * 100000 + F.col("report_pos")
-    c = rep.groupBy("scan_id", "category").agg(F.min(k).alias("k"))
-    top = (c.withColumn("r", F.row_number().over(Window.partitionBy("scan_id").orderBy("k"))).where(F.col("r") <= 3)
-           .groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("k", "category"))).alias("_t"))
-           .select("scan_id", F.array_join(F.transform("_t", lambda s: s["category"]), ",").alias("top_categories")))
-    counts = rep.groupBy("scan_id").agg(
-        F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).cast("bigint").alias("high_critical"),
-        F.count_if(F.col("severity") == "CRITICAL").cast("bigint").alias("critical"))
-    return counts.join(top, "scan_id")
+    """Per scan, its findings, HIGH+CRITICAL and CRITICAL count and the first
+    three distinct categories in severity-then-report order."""
+    return R.finding_views(_report(spark, sf))
+
+
+@register("finding_views_urgent", _views_oracle(["HIGH", "CRITICAL"]))
+def q_finding_views_urgent(spark, sf):
+    """The same over HIGH and CRITICAL findings only."""
+    return R.finding_views(_report(spark, sf), ["HIGH", "CRITICAL"])
+
+
+@register("findings_by_severity", _with_pipeline(*PIPE, O.report_ctes()) + """
+SELECT scan_id, CAST(report_pos AS BIGINT) AS report_pos, type, category, severity, confidence FROM rep WHERE severity IN ('MEDIUM', 'LOW')""")
+def q_findings_by_severity(spark, sf):
+    """The finding list filtered to MEDIUM and LOW."""
+    return R.by_severity(_report(spark, sf), ["MEDIUM", "LOW"]).select(
+        "scan_id", F.col("report_pos").cast("bigint").alias("report_pos"), "type", "category", "severity", "confidence")
 
 
 ANCHOR_TAGS = ["p", "span", "div", "label", "h1", "h2", "h3", "h4", "h5", "h6", "li", "a", "button"]
