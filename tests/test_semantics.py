@@ -286,3 +286,24 @@ def test_finding_views_filter_by_severity(spark):
     assert view(["HIGH", "CRITICAL"]) == {1: (3, 3, 2, "urgency,privacy")}
     assert view(["LOW"], 1) == {1: (2, 0, 0, "nagging"), 2: (1, 0, 0, "nagging")} and view([]) == {}
     assert R.by_severity(rep).count() == 7 and R.by_severity(rep, ["LOW"]).count() == 3
+
+
+def test_domain_history_keeps_the_last_scans(spark):
+    from trapline.operators import temporal as T
+    scans = spark.createDataFrame([("a", i, i // 2, 50 + i) for i in range(8)] + [("b", 90, 1, 7), (None, 91, 1, 8)],
+                                  "domain string, scan_id long, scan_ts long, raw_score long")
+    found = spark.createDataFrame([(7, "t2", "c1"), (7, "t1", "c1"), (7, "t2", "c1"), (0, "gone", "gone"), (90, None, "c")],
+                                  "scan_id long, type string, category string")
+    got = {(r.domain, r.place): tuple(r)[2:] for r in T.domain_history(scans, found).collect()}
+    assert [got["a", p][0] for p in range(1, 6)] == [7, 6, 5, 4, 3] and len(got) == 7
+    assert got["a", 1] == (7, 57, 3, "t1,t2", "c1") and got["a", 2] == (6, 56, 0, "", "")
+    assert got["b", 1] == (90, 7, 1, "", "c") and got[None, 1][0] == 91
+
+
+def test_category_details_and_engine_counts(spark):
+    from trapline.operators import report as R
+    rep = spark.createDataFrame([(1, 1, "odd_one"), (1, 2, "privacy"), (1, 3, "privacy"), (1, 4, "urgency")], "scan_id long, report_pos int, category string")
+    got = [tuple(r)[1:5] for r in R.category_details(rep).orderBy("place").collect()]
+    assert [(g[0], g[1], g[3]) for g in got] == [(1, "privacy", 2), (2, "odd_one", 1), (3, "urgency", 1)] and got[1][2] == "Odd One"
+    raw = spark.createDataFrame([(1, "dom"), (1, "dom"), (1, "text")], "scan_id long, engine string")
+    assert sorted(map(tuple, R.engine_counts(raw).collect())) == [(1, "dom", 2), (1, "text", 1)]

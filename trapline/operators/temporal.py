@@ -164,3 +164,15 @@ def metric_totals(timings: DataFrame, name: str = "name", ts: str = "ts", tie: s
         round_half_up(exact_sum(F.col(value)), 2).alias("total_ms"),
         round_half_up(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))), 2).alias("last_ms"),
     )
+
+
+def domain_history(scans: DataFrame, findings: DataFrame, score: str = "raw_score", last: int = fixed.TEMPORAL_WINDOW) -> DataFrame:
+    """The ``last`` scans of each domain, newest first (place from 1): score, number of
+    findings, and their types and categories (sorted, joined by ",").  Only scans that
+    stay are joined to their findings, which are reduced to one row a scan before."""
+    w = Window.partitionBy("domain").orderBy(F.desc("scan_ts"), F.desc("scan_id"))
+    kept = scans.select("domain", "scan_id", "scan_ts", F.col(score).alias("score")).withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= last)
+    per = findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"), *[
+        F.array_join(F.array_sort(F.collect_set(c)), ",").alias(n) for c, n in (("type", "types"), ("category", "categories"))])
+    return (kept.join(per, "scan_id", "left").select("domain", "place", "scan_id", "score", F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings"),
+                                                     F.coalesce("types", F.lit("")).alias("types"), F.coalesce("categories", F.lit("")).alias("categories")))

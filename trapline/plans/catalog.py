@@ -1001,6 +1001,35 @@ def q_findings_by_severity(spark, sf):
         "scan_id", F.col("report_pos").cast("bigint").alias("report_pos"), "type", "category", "severity", "confidence")
 
 
+@register("category_details", _with_pipeline(*PIPE, O.report_ctes()) + """
+SELECT c.scan_id, row_number() OVER (PARTITION BY c.scan_id ORDER BY n DESC, first) AS place, c.category,
+       coalesce(i.name, list_aggregate(list_transform(string_split(replace(c.category, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ')) AS name,
+       CAST(n AS BIGINT) AS findings, coalesce(l.refs, '') AS refs
+FROM rcat c LEFT JOIN catinfo i USING (category)
+LEFT JOIN (SELECT category, string_agg(DISTINCT ref, '; ' ORDER BY ref) AS refs FROM legal GROUP BY category) l USING (category)""")
+def q_category_details(spark, sf):
+    """Category breakdown with names and legal references."""
+    return R.category_details(_report(spark, sf))
+
+
+@register("engine_counts", _with_pipeline(O.overlay_a(), O.compound_ctes()) + """
+SELECT scan_id, engine, CAST(count(*) AS BIGINT) AS findings FROM all_pre GROUP BY scan_id, engine""")
+def q_engine_counts(spark, sf):
+    """Raw findings per scan and engine."""
+    return R.engine_counts(with_compound(_raw(spark, sf)))
+
+
+@register("domain_history", _with_pipeline(O.overlay_a()) + f""",
+h AS (SELECT domain, scan_id, raw_score AS score, row_number() OVER (PARTITION BY domain ORDER BY scan_ts DESC, scan_id DESC) AS place FROM scans_a2),
+g AS (SELECT scan_id, count(*) AS n, string_agg(DISTINCT type, ',' ORDER BY type) AS types,
+             string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM raw_f GROUP BY scan_id)
+SELECT domain, place, scan_id, score, CAST(coalesce(n, 0) AS BIGINT) AS findings, coalesce(types, '') AS types, coalesce(categories, '') AS categories
+FROM h LEFT JOIN g USING (scan_id) WHERE place <= {fixed.TEMPORAL_WINDOW}""")
+def q_domain_history(spark, sf):
+    """Each domain's last scans with score, finding types and categories."""
+    return T.domain_history(fx.overlay_scans(spark, sf), fx.overlay_findings(spark, sf))
+
+
 ANCHOR_TAGS = ["p", "span", "div", "label", "h1", "h2", "h3", "h4", "h5", "h6", "li", "a", "button"]
 
 
