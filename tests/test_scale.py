@@ -26,3 +26,19 @@ def test_extraction_holds_a_slice_of_pages(spark):
     for i, url, h in rows:
         want = X.extract_page(h, url)
         assert {k: [x.asDict() for x in v] if isinstance(v, list) else v for k, v in got[i].asDict().items() if k in want} == want
+
+
+def test_dense_blocks_come_straight_from_the_vectors(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from trapline.operators import svd as S
+    rows = [(i, Vectors.dense([float(i), 0.0, 2.0, 0.0, 1.0]) if i % 3 == 0 else Vectors.sparse(5, [1, 4], [float(i), -1.0]) if i % 3 == 1 else Vectors.sparse(5, [], []))
+            for i in range(2 * S.ROWS + 7)]
+    batch = pa.Table.from_batches(S._plain(spark.createDataFrame(rows, ["k", "v"]), "v").toArrow().to_batches()).combine_chunks().to_batches()[0]
+    for cut in (batch, batch.slice(5), batch.slice(3, 0)):
+        got = [(p.column("k").to_pylist(), x.copy(), sq) for p, x, sq in S._dense(cut, 5)]
+        for keys, x, sq in got:
+            want = np.array([rows[k][1].toArray() for k in keys])
+            assert np.array_equal(x, want) and np.allclose(sq, (want * want).sum(axis=1))
+        assert [k for keys, _, _ in got for k in keys] == cut.column("k").to_pylist()
