@@ -42,3 +42,30 @@ def test_dense_blocks_come_straight_from_the_vectors(spark):
             want = np.array([rows[k][1].toArray() for k in keys])
             assert np.array_equal(x, want) and np.allclose(sq, (want * want).sum(axis=1))
         assert [k for keys, _, _ in got for k in keys] == cut.column("k").to_pylist()
+
+
+def test_stream_smoothing_shares_state_groups(spark, tmp_path):
+    """Domains of one state group keep their own histories, over several micro-batches."""
+    from pyspark.sql import functions as F
+
+    from trapline.operators import temporal as T
+    from trapline.streaming import incremental as ST
+    rows = [(i, None if i % 7 == 0 else f"site-{i % 7}", 1000 + i, (i * 37) % 96) for i in range(120)]
+    df = spark.createDataFrame(rows, "scan_id long, domain string, t long, raw_score long").select("scan_id", "domain", F.timestamp_seconds("t").alias("scan_ts"), "raw_score")
+    for k in range(3):
+        df.where((F.col("scan_id") >= 40 * k) & (F.col("scan_id") < 40 * k + 40)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ST.file_stream(spark, str(tmp_path / "in"), df.schema, max_files=1)
+    cols = ["scan_id", "domain", "raw_score", "smoothed_score", "history_depth"]
+    got = spark.read.parquet(ST.run_available_now(ST.smoothing_stream(stream, groups=2), "shared-groups")).select(cols)
+    want = T.smooth_trust(df, score="raw_score").select(cols)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_dealt_by_key_keeps_tasks_small(spark):
+    from trapline.session import dealt_by_key, materialize
+    t = materialize(spark.range(10_000).selectExpr("id", "id % 500 AS k"), "dealt")
+    big = dealt_by_key(t, "k", rows_per_task=100)
+    assert big.rdd.getNumPartitions() == 100
+    assert max(len(p) for p in big.rdd.glom().collect()) < 500
+    assert big.count() == 10_000
+    assert dealt_by_key(t, "k", rows_per_task=10_000).count() == 10_000

@@ -5,7 +5,8 @@
   last write + TTL, when it can no longer serve a request.
 * T1/T2 — per-domain trust smoothing with keyed state holding the last five
   recorded (smoothed) scores: ``applyInPandasWithState``; state size is O(5)
-  per domain and groups are bounded by the micro-batch size.
+  per domain, domains share ``SMOOTH_GROUPS`` state rows by a hash, and groups
+  are bounded by the micro-batch size.
 * S19 — report sink: every micro-batch is appended with its write time by
   ``foreachBatch``; readers use the latest-per-scan view (last write wins).
 
@@ -20,6 +21,7 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,19 +85,25 @@ SMOOTH_OUT = T.StructType([
     T.StructField("raw_score", T.LongType()), T.StructField("smoothed_score", T.LongType()),
     T.StructField("history_depth", T.LongType())])
 SMOOTH_STATE = T.StructType([T.StructField("history", T.StringType())])
+# Domains share this many state groups: a group costs milliseconds however few rows
+# it gets, so there must not be one for each of millions of domains.
+SMOOTH_GROUPS = 1 << 14
 
 
 def _smooth_group(window: int, decay: float):
     powers = [decay ** i for i in range(window)]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        hist = json.loads(state.get[0]) if state.exists else []
-        batch = pd.concat(list(pdfs)).sort_values(["scan_ts", "scan_id"])
+        histories = {d: h for d, h in json.loads(state.get[0])} if state.exists else {}
+        batch = pd.concat(list(pdfs))
+        batch = batch.iloc[np.lexsort((batch["scan_id"].to_numpy(), batch["scan_ts"].to_numpy()))]
+        domains = [None if pd.isna(d) else d for d in batch["domain"].tolist()]
         out_s, out_d = [], []
-        for s in batch["raw_score"].astype("int64"):
+        for d, s in zip(domains, batch["raw_score"].astype("int64").tolist()):
+            hist = histories.get(d, [])
             out_d.append(len(hist))
             if len(hist) <= 1:
-                sm = int(s)
+                sm = s
             else:
                 vals = [float(s)] + [float(h) for h in reversed(hist)]
                 ws = [1.0] + powers[:len(hist)]
@@ -107,18 +115,18 @@ def _smooth_group(window: int, decay: float):
                     den += w
                 sm = int(round(num / den))
             out_s.append(sm)
-            hist = (hist + [sm])[-window:]
-        state.update((json.dumps(hist),))
-        yield pd.DataFrame({"scan_id": batch["scan_id"].astype("int64").values, "domain": key[0],
+            histories[d] = (hist + [sm])[-window:]
+        state.update((json.dumps(list(histories.items())),))
+        yield pd.DataFrame({"scan_id": batch["scan_id"].astype("int64").values, "domain": domains,
                             "raw_score": batch["raw_score"].astype("int64").values,
                             "smoothed_score": out_s, "history_depth": out_d})
     return fn
 
 
 def smoothing_stream(scans: DataFrame, window: int = fixed.TEMPORAL_WINDOW,
-                     decay: float = fixed.TEMPORAL_DECAY) -> DataFrame:
+                     decay: float = fixed.TEMPORAL_DECAY, groups: int = SMOOTH_GROUPS) -> DataFrame:
     """T1/T2 on a stream of (scan_id, domain, scan_ts, raw_score)."""
-    return scans.groupBy("domain").applyInPandasWithState(
+    return scans.withColumn("_group", F.pmod(F.xxhash64("domain"), F.lit(groups))).groupBy("_group").applyInPandasWithState(
         _smooth_group(window, decay), SMOOTH_OUT, SMOOTH_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
