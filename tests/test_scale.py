@@ -125,3 +125,27 @@ def test_risk_reads_the_findings_once(spark):
     out = K.risk_assessment(df)
     assert [(r.scan_id, r.finding_count, r.severity_distribution, r.category_distribution) for r in out.collect()] == [(1, 4, "HIGH:2,LOW:1", "urgency:3")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_readability_counts_in_one_pass_over_the_bytes(spark, monkeypatch):
+    """The Arrow pass counts as the column expressions do, whatever the slices."""
+    from pyspark.sql import functions as F
+
+    from trapline.operators.detectors import readability as R
+    odd = ["", " ", "...", "a.b.c", "!?.  \n .", "One. Two? three!\x0b.\x0b", "don't 'tis '' queue Ae e the eerie like", "İstanbul Kelvin été naïve",
+           "日本。日本. x", "waiver Pursuant pursuant' waivers breach-breach", "after\x0b3 months, price\x0bwill be", "then $9.5 / month", "binding\narbitration",
+           "you now waive every right é to a jury", "exit fee exit  fee", "A" * 5000 + ". " + "lie " * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd * 3)], "doc_id long, text string").coalesce(1)
+    b = df.select("doc_id", F.col("text").alias("_t"), F.lower("text").alias("_l"))
+    words = F.regexp_extract_all("_l", F.lit(R.WORD_RE), 0)
+    want = b.select("doc_id", *R.grade_columns(F.col("_t")), F.size(words).cast("long").alias("n_low_words"),
+                    F.size(F.filter(words, lambda w: w.isin(R.JARGON_WORDS))).cast("long").alias("n_jargon"),
+                    *[F.col("_l").rlike("(?:" + "|".join(f"(?:{p})" for p in ps) + ")").alias(n) for n, ps in R.RULES.items()])
+    want = sorted(want.collect())
+    assert any(r.has_price_hike for r in want) and any(r.n_jargon for r in want)
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(R, "SLICE_BYTES", size)
+        got = R.with_counts(b, rules=True).withColumn("fk_grade", R.fk_grade()).select(*want[0].asDict())
+        assert sorted(got.collect()) == want
+    plan = R.readability_findings(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp_extract_all" not in plan
