@@ -149,3 +149,38 @@ def test_readability_counts_in_one_pass_over_the_bytes(spark, monkeypatch):
         assert sorted(got.collect()) == want
     plan = R.readability_findings(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "regexp_extract_all" not in plan
+
+
+def test_written_stage_keeps_no_shuffle_files(spark):
+    """The shuffle files of a written table go when its write ends; the setting is put back."""
+    from pyspark.sql import functions as F
+
+    from trapline.session import materialize
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(key, None)
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(i).getName() for i in range(blocks.size())}
+    before = {x for x in shuffles() if x.startswith("shuffle_")}
+    df = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(3, "k")
+    kept = materialize(df, "kept")
+    assert spark.conf.get(key, None) == had
+    left = {x for x in shuffles() if x.startswith("shuffle_")} - before
+    assert not left and kept.count() == 1000
+
+
+def test_full_scan_keeps_its_reports_alone(spark):
+    from pyspark.sql import functions as F
+
+    from trapline.plans import full_scan as P
+    from trapline.session import scratch_tables
+    scans, f = _own_findings(spark)
+    scans = scans.withColumn("scan_ts", F.timestamp_seconds("scan_id"))
+    scans = scans.withColumn("url", F.lit("u"))
+    before = set(scratch_tables())
+    out = P.full_scan(scans, f)
+    assert [t.rsplit("/", 1)[-1][:-33] for t in scratch_tables() if t not in before] == ["scan-reports"]
+    run = P.run_findings(scans, f)
+    rows = {r.scan_id: r for r in out.collect()}
+    assert len(rows) == 45 and {r.scan_id: r.trust_score for r in run.reports.collect()} == {k: r.trust_score_raw for k, r in rows.items()}
